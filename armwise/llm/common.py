@@ -68,9 +68,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
-_LOWER = _BYTES.copy()
-_LOWER[65:91] = _BYTES[97:123]
+BYTES = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
+_LOWER = BYTES.copy()
+_LOWER[65:91] = BYTES[97:123]
 _LOW_BYTE = np.arange(256, dtype=np.uint8)
 _LOW_BYTE[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -104,7 +104,7 @@ def hash_words(texts: list[bytes], lower: bool = False, tails: bool = False) ->
     if len(edge) % 2:
         edge = np.append(edge, len(joined))
     starts, ends = edge[::2], edge[1::2]
-    sums = prefix_hash((_LOWER if lower else _BYTES)[joined])
+    sums = prefix_hash((_LOWER if lower else BYTES)[joined])
     _, down = powers(len(joined))
     hashes = mix((sums[ends] - sums[starts]) * down[starts]) if len(starts) else np.zeros(0, _U)
     bounds = np.cumsum([len(t) + 1 for t in texts])

@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 from armwise.llm import common as C
 
 CHUNK, STRIDE = 8, 512
-#: Ids in a segment, but for longer documents.
-SEGMENT = 1 << 20
-#: Distinct pieces of text whose ids a task remembers.
-CACHE = 300_000
+#: Ids in a segment at least, but for the last of a shard.
+SEGMENT = 1 << 19
+#: Bytes of text that a task encodes at once.
+HELD = 2 << 20
+#: Pieces of text that a worker remembers.
+CACHE = 2_000_000
 _LEVEL = pa.struct([("chunks", pa.binary()), ("more", pa.binary()), ("ranks", pa.list_(pa.int32()))])
 _SEGMENTS = "shard int, segment int, base bigint, n bigint, docs array<bigint>, lens array<bigint>, levels array<struct<chunks binary, more binary, ranks array<int>>>"
 
@@ -70,11 +72,12 @@ def access(levels: list[dict], i: int) -> int:
 
 
 class Encoder:
-    """``tokenizers`` behind a memory of pieces.
+    """A byte-level BPE of ``tokenizers`` behind a memory of pieces, kept in arrays.
 
     A cut before a single space between two characters that are not white space is a cut between tokens
-    for a byte-level BPE: its words take at most the one space before them. Pieces between such cuts are
-    encoded by themselves, each distinct one once while remembered.
+    for a byte-level BPE: its words take at most the one space before them. Pieces between such cuts, known
+    by 64-bit hashes of their bytes, are encoded once while remembered. New pieces go to the tokenizer
+    joined, as they stood in the texts; the tokens' lengths in bytes tell them apart again.
     """
 
     def __init__(self, path: str):
@@ -85,61 +88,115 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        parts = text.split(" ")
-        if "" not in parts and not any(p[0].isspace() or p[-1].isspace() for p in parts):
-            return parts[:1] + [" " + p for p in parts[1:]]
-        out, safe = [parts[0]], bool(parts[0]) and not parts[0][-1].isspace()
-        for part in parts[1:]:
-            if safe and part and not part[0].isspace():
-                out.append(" " + part)
-            else:
-                out[-1] += " " + part
-            safe = bool(part) and not part[-1].isspace()
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(t) for t in texts]
-        new = list({p for pieces in cut for p in pieces if p not in self.known})
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, list({p for pieces in cut for p in pieces})
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(found.ids, dtype="<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a byte-level token is a byte
+        self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.first, self.size, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), [np.zeros(0, np.uint32)]
+
+    def learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        """Encode new pieces, in the order of their keys."""
+        if len(self.keys) + len(keys) > CACHE:
+            self.forget()
+        alone = [i for i, p in enumerate(pieces) if p[:1] != b" "]
+        joined = [i for i, p in enumerate(pieces) if p[:1] == b" "]
+        runs = [[i] for i in alone] + [joined[k : k + 512] for k in range(0, len(joined), 512)]
+        found = self.tokenizer.encode_batch_fast([b"".join(pieces[i] for i in run).decode() for run in runs], add_special_tokens=False)
+        ids = [np.array(f.ids, np.uint32) for f in found]
+        order = np.array([i for run in runs for i in run], np.int64)
+        pool = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        ends = np.cumsum(np.array([len(pieces[i]) for i in order], np.int64))
+        reached = np.cumsum(self.bytes[pool])
+        last = np.searchsorted(reached, ends)
+        if len(ends) and not (reached[last] == ends).all():
+            raise ValueError("not a byte-level BPE whose words start at a space")
+        size = np.diff(last + 1, prepend=0)
+        base = len(self.pool[0])
+        first = base + last + 1 - size
+        at = np.searchsorted(self.keys, keys[order])
+        by = np.argsort(keys[order], kind="stable")
+        at, order = at[by], order[by]
+        self.keys, self.first, self.size = np.insert(self.keys, at, keys[order]), np.insert(self.first, at, first[by]), np.insert(self.size, at, size[by].astype(np.int32))
+        self.pool = [np.concatenate([self.pool[0], pool])]
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, joined, and their number for each text."""
+        lens = np.array([len(t) for t in texts], np.int64)
+        data = b"".join(texts)
+        starts = _cuts(np.frombuffer(data, np.uint8), np.cumsum(lens) - lens)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        ends = np.append(starts[1:], len(data))
+        sums, (_, down) = C.prefix_hash(C.BYTES[np.frombuffer(data, np.uint8)]), C.powers(len(data))
+        keys, where, at = np.unique(C.mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > CACHE:
+            self.forget()
+        spot = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = self.keys[spot] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if new.any():
+            self.learn(keys[new], [data[a:e] for a, e in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
+            spot = np.searchsorted(self.keys, keys)
+        size, first = self.size[spot][at].astype(np.int64), self.first[spot][at]
+        total = np.cumsum(size)
+        ids = self.pool[0][np.repeat(first - (total - size), size) + np.arange(total[-1])]
+        upto = np.concatenate([[0], total])[np.searchsorted(starts, np.cumsum(lens))]
+        return ids, np.diff(upto, prepend=0)
+
+
+def _cuts(data: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Starts of the pieces: of the non-empty texts, and single spaces between characters that are surely
+    not white space (of those beyond ASCII, all whose UTF-8 may be white space are left uncut)."""
+    n = len(data)
+    at = np.flatnonzero(data == 32)
+    at = at[(at > 2) & (at < n - 1)]
+    after, one, two, three = data[at + 1], data[at - 1], data[at - 2], data[at - 3]
+    safe = ~_MAYBE_SPACE[after] & ~np.isin(after, (0xC2, 0xE1, 0xE2, 0xE3)) & ~_MAYBE_SPACE[one] & ((one < 0x80) | ((two != 0xC2) & ~np.isin(three, (0xE1, 0xE2, 0xE3))))
+    marks = np.zeros(n + 1, bool)
+    marks[at[safe]] = True
+    marks[heads] = True
+    return np.flatnonzero(marks[:n])
+
+
+_MAYBE_SPACE = np.zeros(256, bool)
+_MAYBE_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """The worker's encoder: Python workers serve one task after another, and keep what they know."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _segments(path: str, end_id: int, id_col: str, text_col: str):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, shard = Encoder(path), TaskContext.get().partitionId()
-        docs, parts, total, base, segment = [], [], 0, 0, 0
+        encoder, shard = _encoder(path), TaskContext.get().partitionId()
+        docs, lens, parts, total, base, segment = [], [], [], 0, 0, 0
 
         def flush():
-            nonlocal docs, parts, total, base, segment
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            row = {"shard": shard, "segment": segment, "base": base, "n": len(ids), "docs": docs, "lens": [len(p) // 4 for p in parts], "levels": encode_levels(ids)}
+            nonlocal docs, lens, parts, total, base, segment
+            ids = np.concatenate(parts)
+            row = {"shard": shard, "segment": segment, "base": base, "n": len(ids), "docs": docs, "lens": lens, "levels": encode_levels(ids)}
             base, segment = base + len(ids), segment + 1
-            docs, parts, total = [], [], 0
+            docs, lens, parts, total = [], [], [], 0
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(_LEVEL)]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
-        for ids, texts in C.text_chunks(batches, [id_col, text_col], text_col, 1 << 20):
-            for doc, found in zip(ids, encoder.encode([t.decode() for t in texts]), strict=True):
-                docs.append(doc)
-                parts.append(found + end)
-                total += len(parts[-1]) // 4
-                if total >= SEGMENT:
-                    yield flush()
+        for ids, texts in C.text_chunks(batches, [id_col, text_col], text_col, HELD):
+            found, n = encoder.encode(texts)
+            docs += ids
+            lens += (n + 1).tolist()
+            parts.append(np.insert(found, np.cumsum(n), end_id))
+            total += len(parts[-1])
+            if total >= SEGMENT:
+                yield flush()
         if docs:
             yield flush()
 
