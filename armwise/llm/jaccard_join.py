@@ -13,10 +13,12 @@
    first has an agreeing word among its own, and the other sends that part too. Where a set has too few
    non-empty parts for this, its band takes each shingle as a part of its own, which never are too few.
 4. Classes that share a word are candidates. First each meets at most two of the classes that come first
-   in its words; these pairs are verified on the shingles and joined to components. Then, of all that
-   share a word, only pairs across components remain, and those that the Hamming distance of a bit sketch
-   allows are verified. Pairs inside a component cannot change the result, so a group of thousands of near
-   copies costs its size and not its square.
+   in its words; these pairs are verified on the shingles and joined to components. Then rounds over some
+   of the words verify, for each word, the pairs of its best connected class. At last, of all that share
+   any word, the pairs across components remain, and all of those that the Hamming distance of a bit
+   sketch allows are verified. Pairs inside a component cannot change the result, so a group of thousands
+   of near copies costs its size and not its square. (A word of one such group is still handled in one
+   task, in numpy, when one of its members is in another component.)
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ WIDTH = 5
 HELD = 5 << 20
 #: 64-bit words of the bit sketch that prunes residual candidates.
 SKETCH = 16
+#: Rows of open words in a bucket.
+GROUP_ROWS = 1 << 15
+#: Merging rounds look at one word in so many, and end when a round finds fewer links than this.
+MERGE_WORDS, MERGE_LEAST = 8, 200
 #: Below this size a band takes every shingle as a part.
 SMALL = 32
 _U = np.uint64
@@ -247,12 +253,12 @@ def _leads(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.asarray(x, np.int64)) for x in cols], names=["a", "b", "words"])
 
 
-def _labelled_words(weak: set[int]):
+def _all_words(weak: set[int]):
     def run(batches):
         for batch in batches:
             keys = [_sent(n, C.unsigned(x.values.to_numpy(zero_copy_only=False)), weak) for n, x in zip(batch.column("n").to_pylist(), batch.column("shingles"), strict=True)]
             off = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("comp"), C.lists(np.concatenate([np.zeros(0, _U), *keys]).view(np.int64), off, pa.int64())], names=["doc", "comp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), C.lists(np.concatenate([np.zeros(0, _U), *keys]).view(np.int64), off, pa.int64())], names=["doc", "keys"])
 
     return run
 
@@ -268,19 +274,56 @@ def _sketches(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("n"), pa.array(n - k), pa.array(bits, pa.binary())], names=["doc", "n", "u", "bits"])
 
 
+class _Groups:
+    """Rows of one bucket: classes that share a word with a class of another component."""
+
+    def __init__(self, table: pa.Table):
+        self.key, self.doc, self.comp, self.n, self.u = (np.asarray(table[c], np.int64) for c in ("key", "doc", "comp", "n", "u"))
+        self.bits = np.frombuffer(b"".join(table["bits"].to_pylist()), _U).reshape(len(self.key), SKETCH)
+        order = np.argsort(self.key, kind="stable")
+        self.groups = np.split(order, np.flatnonzero(_starts(self.key[order]))[1:])
+
+    def outside(self, group: np.ndarray) -> np.ndarray:
+        """Members outside the largest component: of any pair across components, one is among them."""
+        names, counts = np.unique(self.comp[group], return_counts=True)
+        return group[self.comp[group] != names[np.argmax(counts)]]
+
+    def allowed(self, x: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Members of other components that sizes and bit sketches allow to be similar to x, and their distance."""
+        n, u = self.n, self.u
+        rest = group[(self.comp[group] != self.comp[x]) & (3 * n[group] <= 4 * n[x]) & (3 * n[x] <= 4 * n[group])]
+        apart = np.bitwise_count(self.bits[rest] ^ self.bits[x]).sum(axis=1)
+        fit = apart <= (n[rest] + n[x]) // 7 - u[rest] - u[x]
+        return rest[fit], apart[fit]
+
+    def pairs(self, found: list[tuple[int, np.ndarray]]) -> pa.Table:
+        a = np.concatenate([np.full(len(y), self.doc[x]) for x, y in found]) if found else np.zeros(0, np.int64)
+        b = np.concatenate([self.doc[y] for _, y in found]) if found else np.zeros(0, np.int64)
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+        return pa.table([pa.array(both[0].astype(np.int64)), pa.array(both[1].astype(np.int64))], names=["a", "b"])
+
+
+def _hubs(table: pa.Table) -> pa.Table:
+    """For each word, pairs of the member with most partners and these, and of each other with its nearest."""
+    g, found = _Groups(table), []
+    for group in g.groups:
+        each = {int(x): g.allowed(x, group) for x in g.outside(group)}
+        each = {x: v for x, v in each.items() if len(v[0])}
+        if not each:
+            continue
+        met, times = np.unique(np.concatenate([v[0] for v in each.values()]), return_counts=True)
+        hub = int(met[np.lexsort((g.doc[met], -times))[0]])
+        star = g.allowed(hub, group)[0]
+        found.append((hub, star))
+        covered = {hub, *star.tolist()}
+        found += [(x, y[np.lexsort((g.doc[y], apart))[:1]]) for x, (y, apart) in each.items() if x not in covered]
+    return g.pairs(found)
+
+
 def _crossing(table: pa.Table) -> pa.Table:
-    """Pairs of different components that share a word and whose sizes and bit sketches allow the similarity."""
-    key, doc, comp, n, u = (np.asarray(table[c], np.int64) for c in ("key", "doc", "comp", "n", "u"))
-    bits = np.frombuffer(b"".join(table["bits"].to_pylist()), _U).reshape(len(key), SKETCH)
-    order = np.argsort(key, kind="stable")
-    pairs: set[tuple[int, int]] = set()
-    for group in np.split(order, np.flatnonzero(_starts(key[order]))[1:]):
-        names, counts = np.unique(comp[group], return_counts=True)
-        for x in group[comp[group] != names[np.argmax(counts)]]:  # of any pair across, one is outside the largest
-            rest = group[(comp[group] != comp[x]) & (3 * n[group] <= 4 * n[x]) & (3 * n[x] <= 4 * n[group])]
-            rest = rest[np.bitwise_count(bits[rest] ^ bits[x]).sum(axis=1) <= (n[rest] + n[x]) // 7 - u[rest] - u[x]]
-            pairs.update((min(int(doc[x]), d), max(int(doc[x]), d)) for d in doc[rest].tolist())
-    return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+    """All pairs of different components that share a word and may be similar."""
+    g = _Groups(table)
+    return g.pairs([(x, g.allowed(x, group)[0]) for group in g.groups for x in g.outside(group)])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -314,15 +357,29 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     met = met.groupBy("a", "b").agg(F.sum("words").alias("words")).groupBy("b").agg(F.min("a").alias("one"), F.max_by("a", F.struct("words", -F.col("a"))).alias("two"))
     links = C.written(_verified(met.select(F.explode(F.array_distinct(F.array("one", "two"))).alias("a"), "b"), sets), "links")
 
-    comps = components(links)
-    labelled = sets.join(comps, sets["doc"] == comps["node"], "left").select("doc", "n", "shingles", F.coalesce("component", "doc").alias("comp"))
-    words = labelled.mapInArrow(_labelled_words(weak), "doc bigint, comp bigint, keys array<bigint>").select("doc", "comp", F.explode("keys").alias("key"))
-    words = C.written(words, "words")
-    mixed = words.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    crossing = words.join(mixed, "key").join(sets.mapInArrow(_sketches, "doc bigint, n bigint, u bigint, bits binary"), "doc")
-    crossing = crossing.withColumn("bucket", F.pmod("key", F.lit(4 * n_buckets))).groupBy("bucket").applyInArrow(_crossing, "a bigint, b bigint").distinct()
+    words = C.written(sets.mapInArrow(_all_words(weak), "doc bigint, keys array<bigint>").select("doc", F.explode("keys").alias("key")), "words")
+    sketches = C.written(sets.mapInArrow(_sketches, "doc bigint, n bigint, u bigint, bits binary"), "sketches")
+
+    def open_rows(words: DataFrame) -> DataFrame:
+        """Rows (key, doc, comp, n, u, bits) of the words that classes of different components share."""
+        comps = components(links)
+        known = words.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
+        mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        return C.written(known.join(mixed, "key"), "open")
+
+    def pairs_of(rows: DataFrame, find) -> DataFrame:
+        dealt = rows.join(sketches, "doc").withColumn("bucket", F.pmod("key", F.lit(max(1, rows.count() // GROUP_ROWS))))
+        return _verified(dealt.groupBy("bucket").applyInArrow(find, "a bigint, b bigint").distinct(), sets)
+
+    some = words.where(f"pmod(key, {MERGE_WORDS}) = 0")
+    while True:  # any pairs will do here; what they join is left out of the last step, which looks at all words
+        new = C.written(pairs_of(open_rows(some), _hubs), "links")
+        links = C.written(links.union(new), "links")
+        if new.count() < MERGE_LEAST:
+            break
+    crossing = pairs_of(open_rows(words), _crossing)
     copies = digest.where("n > 0").join(classes, ["h1", "h2", "n"]).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    final = components(links.union(_verified(crossing, sets)).union(copies))
+    final = components(links.union(crossing).union(copies))
     out = digest.join(final, digest["doc"] == final["node"], "left")
     kind = dict(docs.dtypes)[id_col]
     return out.select(F.col("doc").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
