@@ -23,7 +23,7 @@ from armwise.llm import common as C
 MOST_EXAMPLES = 20_000
 #: Chi-square and number of examples from which on a term counts.
 CHI_SQUARE, LEAST_EXAMPLES = 30.0, 5
-NEIGHBOURS, PRIOR_WEIGHT, BLOCK = 25, 1.0, 64
+NEIGHBOURS, PRIOR_WEIGHT, BLOCK, FIRST_BLOCKS = 25, 1.0, 64, 8
 #: Texts of equal terms are searched once while remembered.
 CACHE = 50_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -40,7 +40,11 @@ class Index:
     ids: np.ndarray
     labels: np.ndarray
     prior: float
-    postings: list[tuple[np.ndarray, np.ndarray]]
+    #: Postings of all terms one after another: examples in ascending order, their weights, and for each
+    #: term and block where its postings begin (the last column: where the term's end).
+    examples: np.ndarray
+    weights: np.ndarray
+    begin: np.ndarray
     blocks: np.ndarray
     seen: dict = field(default_factory=dict)
 
@@ -49,28 +53,33 @@ class Index:
         w = np.array([(1 + np.log(counts[t])) * self.idf[t] for t in at])
         return at, w / np.linalg.norm(w)
 
+    def cosines(self, at: list[int], w: np.ndarray, opened: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The examples of some blocks that share a term, and their cosines."""
+        start, end = self.begin[np.ix_(at, opened)].ravel(), self.begin[np.ix_(at, opened + 1)].ravel()
+        n = end - start
+        upto = np.cumsum(n)
+        if not len(upto) or not upto[-1]:
+            return np.zeros(0, np.int64), np.zeros(0)
+        place = np.repeat(start - (upto - n), n) + np.arange(upto[-1])
+        found, where = np.unique(self.examples[place], return_inverse=True)
+        return found, np.bincount(where, weights=self.weights[place] * np.repeat(np.repeat(w, len(opened)), n))
+
     def nearest(self, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine above 0 (ties: smaller place), and the cosines."""
+        """The k examples of greatest cosine above 0 (ties: smaller place), and the cosines.
+
+        The blocks of highest bound set a k-th best cosine; then all that may still reach it are opened.
+        """
         at, w = self.weigh(counts)
         bound = w @ self.blocks[at]
         order = np.argsort(-bound, kind="stable")
-        places, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for lo in range(0, len(order), 8):
-            opened = order[lo : lo + 8]
-            if bound[opened[0]] <= 0 or len(places) == k and bound[opened[0]] < cosines[-1] - 1e-12:
-                break
-            scores = np.zeros((len(opened), BLOCK))
-            for t, x in zip(at, w, strict=True):
-                docs, weights = self.postings[t]
-                for i, b in enumerate(opened):
-                    a, e = np.searchsorted(docs, (b * BLOCK, (b + 1) * BLOCK))
-                    scores[i, docs[a:e] - b * BLOCK] += x * weights[a:e]
-            new = (opened[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            flat = scores.ravel()
-            places, cosines = np.concatenate([places, new[flat > 0]]), np.concatenate([cosines, flat[flat > 0]])
-            best = np.lexsort((places, -np.round(cosines, 12)))[:k]
-            places, cosines = places[best], cosines[best]
-        return places, cosines
+        order = order[bound[order] > 0]
+        places, cosines = self.cosines(at, w, np.sort(order[:FIRST_BLOCKS]))
+        least = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
+        rest = order[FIRST_BLOCKS:]
+        more, others = self.cosines(at, w, np.sort(rest[bound[rest] >= least - 1e-9]))
+        places, cosines = np.concatenate([places, more]), np.concatenate([cosines, others])
+        best = np.lexsort((places, -np.round(cosines, 12)))[:k]
+        return places[best], cosines[best]
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         counts: dict[int, int] = {}
@@ -96,16 +105,17 @@ def build(rows: list[tuple[int, int, dict[str, int]]], idf: dict[str, float], pr
     terms = {t: i for i, t in enumerate(names)}
     weights = np.array([idf[t] for t in names])
     n_blocks = -(-len(rows) // BLOCK)
-    index = Index(terms, weights, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64), prior, [], np.zeros((len(names), n_blocks)))
-    lists: list[tuple[list, list]] = [([], []) for _ in names]
+    index = Index(terms, weights, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64), prior, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 1), np.int64), np.zeros((len(names), n_blocks)))
+    listed = []
     for place, (_, _, counts) in enumerate(rows):
         at, w = index.weigh({terms[t]: n for t, n in counts.items()})
-        for t, x in zip(at, w, strict=True):
-            lists[t][0].append(place)
-            lists[t][1].append(x)
-    index.postings = [(np.array(d, np.int64), np.array(w)) for d, w in lists]
-    for t, (docs, w) in enumerate(index.postings):
-        np.maximum.at(index.blocks[t], docs // BLOCK, w)
+        listed += [(t, place, x) for t, x in zip(at, w, strict=True)]
+    listed.sort()
+    term = np.array([x[0] for x in listed], np.int64)
+    index.examples, index.weights = np.array([x[1] for x in listed], np.int64), np.array([x[2] for x in listed])
+    np.maximum.at(index.blocks, (term, index.examples // BLOCK), index.weights)
+    place = term * (n_blocks + 1) + index.examples // BLOCK
+    index.begin = np.searchsorted(place, np.arange(len(names) * (n_blocks + 1))).reshape(len(names), n_blocks + 1)
     return index
 
 
