@@ -36,6 +36,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids up to which a list of rejected documents is broadcast; longer ones join by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, rejected: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not in the one column of ``rejected``; a null id matches a null id.
+
+    The list is written and counted first: a short one is broadcast, so that the texts stay where they are.
+    """
+    ids = written(rejected.select(F.col(rejected.columns[0]).alias("__rejected")).distinct(), "rejected")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, docs[id_col].eqNullSafe(F.col("__rejected")), "left_anti")
+
+
 def buckets(spark: SparkSession, per_partition: int = 4) -> int:
     """Buckets of a bucketed exchange; they follow ``spark.sql.shuffle.partitions``, the cluster's own lever."""
     return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -95,6 +95,4 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without a passage of the benchmark, columns unchanged."""
-    found = overlaps(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__leak"), F.lit(True).alias("__leaked")).distinct()
-    out = docs.join(found, docs[id_col].eqNullSafe(F.col("__leak")), "left").where(F.col("__leaked").isNull())
-    return out.select(*[docs[f"`{c}`"] for c in docs.columns])
+    return C.without(docs, overlaps(docs, benchmark, id_col, text_col).select(id_col), id_col)

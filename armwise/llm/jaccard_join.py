@@ -387,5 +387,6 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
 
 def keep_one(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is their group's smallest: one document of each group stays."""
-    groups = similar_groups(docs, width, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).cast("bigint").alias("__id")).distinct()
-    return docs.join(groups, F.coalesce(docs[id_col].cast("bigint"), F.lit(C.LAST_ID)) == F.col("__id"), "left_semi")
+    groups = similar_groups(docs, width, id_col, text_col)
+    others = groups.where(F.col(id_col) != F.col("component_id")).select(id_col)
+    return C.without(docs, others.select(F.when(F.col(id_col) != C.LAST_ID, F.col(id_col)).alias(id_col)), id_col)
