@@ -1,4 +1,4 @@
-"""The corpus operators as queries over whole tables, and DuckDB SQL for those that SQL can express."""
+"""The corpus operators as queries over whole tables; their SQL is in ``oracles``."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from armwise.llm import class_lm, decontamination, exact_dedup, jaccard_join, language_id, mixing, secret_scan, substring_dedup, token_output, toxicity
 from armwise.llm import common as C
+from armwise.llm.oracles import ORACLES as ORACLES
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,14 +68,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_jaccard_join, op4_language_id, op5_token_output, op6_source_mixing, op7_decontamination, op8_exact_dedup, op9_class_lm, op10_toxicity)}
-
-_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-
-ORACLES = {
-    "op8_exact_dedup": r"""
-        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-        n AS (SELECT doc_id, length(text) AS size, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS norm FROM t),
-        g AS (SELECT norm, arg_min(doc_id, (-size, doc_id)) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
-        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM n JOIN g USING (norm)
-    """,
-}

@@ -1,0 +1,20 @@
+"""Every corpus query with SQL gives DuckDB's rows on the small test tables."""
+
+import duckdb
+import pytest
+
+from armwise.llm.queries import ORACLES, QUERIES
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_equals_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
+    want = con.execute(ORACLES[name]).fetch_df()
+    got = QUERIES[name](spark, DATA).toPandas()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns and len(got)
+    assert sorted(got[columns].itertuples(index=False, name=None)) == sorted(want[columns].itertuples(index=False, name=None))
