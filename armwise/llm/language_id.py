@@ -8,6 +8,8 @@ What all prototypes have in common (their mean) is taken out of both sides first
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +22,10 @@ DIMENSIONS, GRAM, SEED = 512, 3, 20240607
 MOST_EXAMPLES = 20_000
 #: n-grams whose vectors a task remembers.
 CACHE = 60_000
+#: Weight of an n-gram that a text holds once; that of n is STEPS * sqrt(n), rounded.
+STEPS = 16
+#: Texts and characters that are bundled in one product, and n-grams in it.
+TOGETHER, HELD, SLICE = 64, 1 << 20, 1 << 14
 #: Distance of cosines, in units of which a language loses a factor e of the score.
 SHARP = 0.02
 
@@ -60,33 +66,69 @@ class Profiler:
             keys |= codes[place : len(codes) - GRAM + 1 + place] << np.uint64(21 * place)
         return np.unique(keys, return_counts=True)
 
-    def vector(self, text: str | None) -> np.ndarray | None:
-        """The text's bundle, scaled to length 1; None without letters."""
-        found = self.grams(text) if text else None
-        if found is None:
-            return None
-        keys, counts = found
+    def rows_of(self, keys: np.ndarray) -> np.ndarray:
+        """The vectors of sorted distinct n-grams."""
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         missing = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
         if missing.any():
             new = keys[missing]
             self.add(new if len(self.keys) + len(new) <= CACHE else keys)
             at = np.searchsorted(self.keys, keys)
-        total = np.sqrt(counts).astype(np.float32) @ self.rows[at]
-        length = np.linalg.norm(total)
-        return total / length if length else None
+        return self.rows[at]
+
+    def vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The bundles of the texts that have letters, scaled to length 1, and the places of these texts.
+
+        Texts are bundled together: their n-grams' weights, a row each, times the n-grams' vectors. Weights
+        are whole numbers, so that the sums are exact and do not depend on which texts share a product.
+        """
+        found = [self.grams(t) if t else None for t in texts]
+        places = np.array([i for i, f in enumerate(found) if f is not None], np.int64)
+        if not len(places):
+            return np.zeros((0, DIMENSIONS)), places
+        keys, at = np.unique(np.concatenate([found[i][0] for i in places]), return_inverse=True)
+        weights = np.rint(STEPS * np.sqrt(np.concatenate([found[i][1] for i in places]))).astype(np.float32)
+        row = np.repeat(np.arange(len(places)), [len(found[i][0]) for i in places])
+        total = np.zeros((len(places), DIMENSIONS))
+        for lo in range(0, len(keys), SLICE):
+            some = keys[lo : lo + SLICE]
+            inside = slice(None) if len(keys) <= SLICE else (at >= lo) & (at < lo + SLICE)
+            table = np.zeros((len(places), len(some)), np.float32)
+            table[row[inside], at[inside] - lo] = weights[inside]
+            total += table @ self.rows_of(some)
+        return total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9), places
+
+
+@functools.cache
+def _profiler() -> Profiler:
+    """One for each Python worker: what it remembers serves the next tasks too."""
+    return Profiler()
+
+
+def _groups(texts: list[str | None]):
+    """Slices of up to TOGETHER texts and, but for longer ones, about HELD characters."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if i - start == TOGETHER or size + len(text or "") > HELD and i > start:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(text or "")
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 def _bundles(text_col: str, lang_col: str):
     def run(batches):
-        profiler, sums = Profiler(), {}
+        profiler, sums = _profiler(), {}
         for batch in batches:
-            for text, lang in zip(batch.column(text_col).to_pylist(), batch.column(lang_col).to_pylist(), strict=True):
-                vector = profiler.vector(text)
-                if vector is not None:
+            texts, langs = batch.column(text_col).to_pylist(), batch.column(lang_col).to_pylist()
+            for part in _groups(texts):
+                vectors, places = profiler.vectors(texts[part])
+                # In whole numbers, so that sums do not depend on their order.
+                for vector, place in zip(np.rint(vectors * 2**20).astype(np.int64), places, strict=True):
+                    lang = langs[part][place]
                     sums[lang] = sums.get(lang, 0) + vector
-        # In whole numbers, so that sums do not depend on their order.
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([np.rint(v.astype(np.float64) * 2**20).astype(np.int64).tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "bundle"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "bundle"])
 
     return run
 
@@ -115,27 +157,25 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_i
     are scored each; other columns are not read; an empty table gives an empty result.
     """
     names = sorted(known)
-    matrix = np.array([known[k] for k in names], dtype=np.float32).reshape(len(names), DIMENSIONS)
-    centre = matrix.mean(axis=0) if len(names) > 1 else np.zeros(DIMENSIONS, np.float32)
+    matrix = np.array([known[k] for k in names], dtype=np.float64).reshape(len(names), DIMENSIONS)
+    centre = matrix.mean(axis=0) if len(names) > 1 else np.zeros(DIMENSIONS)
     turned = matrix - centre
-    turned = (turned / np.maximum(np.linalg.norm(turned, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    turned = turned / np.maximum(np.linalg.norm(turned, axis=1, keepdims=True), 1e-9)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        profiler = Profiler()
+        profiler = _profiler()
         for batch in batches:
-            out = []
-            for text in batch.column(text_col).to_pylist():
-                vector = profiler.vector(text) if names else None
-                if vector is None:
-                    out.append(("und", 0.0, 0.0))
-                    continue
-                rest = vector - centre
-                cosines = turned @ rest / max(float(np.linalg.norm(rest)), 1e-9)
-                best = int(np.argmax(cosines))
-                share = 1.0 / float(np.exp((cosines.astype(np.float64) - cosines[best]) / SHARP).sum())
-                out.append((names[best], share, float(cosines[best])))
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], names=[id_col, "lang_pred", "score", "cosine"])
+            texts = batch.column(text_col).to_pylist()
+            best, share, cosine = np.full(len(texts), len(names)), np.zeros(len(texts)), np.zeros(len(texts))
+            for part in _groups(texts) if names else ():
+                vectors, places = profiler.vectors(texts[part])
+                at = places + part.start
+                rest = vectors - centre
+                cosines = np.einsum("nd,ld->nl", rest, turned) / np.maximum(np.linalg.norm(rest, axis=1, keepdims=True), 1e-9)
+                best[at], cosine[at] = np.argmax(cosines, axis=1), cosines.max(axis=1)
+                share[at] = 1.0 / np.exp((cosines - cosine[at, None]) / SHARP).sum(axis=1)
+            found = pa.array([*names, "und"], pa.string()).take(pa.array(best))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), found, pa.array(share), pa.array(cosine)], names=[id_col, "lang_pred", "score", "cosine"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, cosine double")
