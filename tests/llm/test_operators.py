@@ -108,6 +108,24 @@ def test_language_id(docs, empty):
     assert language_id.prototypes(empty) == {} and {r.lang_pred for r in language_id.identify(docs, {}).collect()} == {"und"}
 
 
+def test_language_bundles(monkeypatch):
+    """Texts bundled together are what each is alone: the weighted sum of its n-grams' products of letters."""
+    texts = [t for _, t, *_ in corpus()] + ["Straße, 東京!", "\ud800x", "123 456", "a" * 5000]
+    profiler = language_id.Profiler()
+    got, places = profiler.vectors(texts)
+    assert set(range(len(texts))) - set(places.tolist()) == {0, 1, 2, len(texts) - 2}
+    for vector, place in zip(got, places, strict=True):
+        letters = [ord(c) if c.isalpha() else 0 for c in f" {texts[place].lower()} "]
+        letters = [c for k, c in enumerate(letters) if c or k == 0 or letters[k - 1]]
+        counts = collections.Counter(zip(letters, letters[1:], letters[2:], strict=False))
+        total = sum(round(16 * math.sqrt(n)) * math.prod(np.roll(profiler.letter(c).astype(int), k) for k, c in enumerate(gram)) for gram, n in counts.items())
+        assert np.allclose(vector, total / np.linalg.norm(total), atol=1e-12)
+    monkeypatch.setattr(language_id, "SLICE", 50)
+    monkeypatch.setattr(language_id, "CACHE", 70)
+    small = language_id.Profiler()
+    assert all((small.vectors([texts[p]])[0][0] == v).all() for v, p in zip(got, places, strict=True))
+
+
 def test_language_id_held_out(spark):
     rows = C.documents(spark, "/root/testdata/sf0.01")
     found = language_id.identify(rows, language_id.prototypes(rows.where(~C.fold("doc_id", 4, 2)))).join(rows.select("doc_id", "lang"), "doc_id").where(C.fold("doc_id", 4, 2))
