@@ -77,7 +77,8 @@ class Encoder:
     A cut before a single space between two characters that are not white space is a cut between tokens
     for a byte-level BPE: its words take at most the one space before them. Pieces between such cuts, known
     by 64-bit hashes of their bytes, are encoded once while remembered. New pieces go to the tokenizer
-    joined, as they stood in the texts; the tokens' lengths in bytes tell them apart again.
+    joined, as they stood in the texts; the tokens' lengths in bytes tell them apart again. Texts that hold
+    one of the tokenizer's added tokens are left to it whole, as it was loaded.
     """
 
     def __init__(self, path: str):
@@ -87,7 +88,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.together = 512 if not any(b" " in t for t in self.added) else 1  # joined pieces must not make an added token
         vocabulary = self.tokenizer.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a byte-level token is a byte
         self.bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
@@ -102,7 +104,7 @@ class Encoder:
             self.forget()
         alone = [i for i, p in enumerate(pieces) if p[:1] != b" "]
         joined = [i for i, p in enumerate(pieces) if p[:1] == b" "]
-        runs = [[i] for i in alone] + [joined[k : k + 512] for k in range(0, len(joined), 512)]
+        runs = [[i] for i in alone] + [joined[k : k + self.together] for k in range(0, len(joined), self.together)]
         found = self.tokenizer.encode_batch_fast([b"".join(pieces[i] for i in run).decode() for run in runs], add_special_tokens=False)
         ids = [np.array(f.ids, np.uint32) for f in found]
         order = np.array([i for run in runs for i in run], np.int64)
@@ -123,6 +125,21 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, joined, and their number for each text."""
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not whole:
+            return self.encode_pieces(texts)
+        rest = list(texts)
+        for i in whole:
+            rest[i] = b""
+        ids, n = self.encode_pieces(rest)
+        found = [np.array(f.ids, np.uint32) for f in self.tokenizer.encode_batch_fast([texts[i].decode() for i in whole], add_special_tokens=False)]
+        sizes = np.array([len(f) for f in found], np.int64)
+        ids = np.insert(ids, np.repeat((np.cumsum(n) - n)[whole], sizes), np.concatenate(found))
+        n[whole] = sizes
+        return ids, n
+
+    def encode_pieces(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for texts without added tokens."""
         lens = np.array([len(t) for t in texts], np.int64)
         data = b"".join(texts)
         starts = _cuts(np.frombuffer(data, np.uint8), np.cumsum(lens) - lens)

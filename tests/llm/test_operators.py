@@ -159,6 +159,23 @@ def test_pieces_of_white_space():
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens(spark, tmp_path):
+    """Added tokens in a text are the ids that a freshly loaded tokenizer gives them."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(byte_bpe())
+    texts = ["plain words", "end.<|endoftext|> a", "", "<|endoftext|><|endoftext|>", "a <|endoftext| > b", " x <|endoftext|>\n é  y", "tail"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[1] == [437, 13, 50256, 257]
+    ids, n = token_output.Encoder(byte_bpe()).encode([t.encode() for t in texts])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    token_output.write_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), str(tmp_path / "ids"), byte_bpe())
+    got, start = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_output.read_documents(spark, str(tmp_path / "ids")).collect()}, 0
+    for i, w in enumerate(want):
+        assert got[i] == (start, len(w) + 1, zlib.crc32(np.array([*w, 0], "<u4").tobytes()))
+        start += len(w) + 1
+
+
 def test_mixing(docs):
     slots, taken = mixing.mix(docs)
     rows = taken.collect()
