@@ -202,6 +202,17 @@ def test_decontamination(spark, docs):
     assert {r.doc_id for r in decontamination.clean(docs, bench).collect()} == {r[0] for r in corpus()} - want
 
 
+def test_decontamination_excerpts(spark):
+    """Excerpts of 11 to 20 words from inside an item, inside a longer text: found if 13 aligned words agree by 80 %."""
+    item = [f"item{i}" for i in range(40)]
+    cases = {n: (n, item[12 : 12 + n]) for n in range(8, 21)}
+    rows = [(k, " ".join([*[f"a{i}" for i in range(30)], *part, *[f"b{i}" for i in range(30)]])) for k, (_, part) in cases.items()]
+    rows += [(100 + n, " ".join([*[f"a{i}" for i in range(30)], *item[:n], *[f"b{i}" for i in range(30)]])) for n in range(8, 21)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id int, text string")
+    got = {r.doc_id: r for r in decontamination.overlaps(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert set(got) == {*range(11, 21), *range(111, 121)} and all(got[n].agreeing == n and got[n].compared == max(13, n) for n in range(11, 21))
+
+
 def test_exact_dedup(spark):
     rows = [(3, "a b"), (1, "ab"), (2, "a\nb "), (4, None), (5, ""), (6, "x"), (6, "x"), (None, "x"), (7, "alone")]
     got = sorted(map(tuple, exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).select("doc_id", "keep_id", "group_size", "kept").collect()), key=str)
