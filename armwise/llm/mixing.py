@@ -2,9 +2,10 @@
 
 Each source's documents, in a pseudo-random order, form a stream of words that is cut into blocks of
 equal length. Golden-ratio points fall into the sources' shares of the unit interval and so deal slots
-to sources evenly at every prefix. The slots of a source are ranked, and slot r takes block r modulo the
-number of blocks: a source below its target is read again from its start. The schedule runs until every
-source has filled its target, which the last slot of a source meets to the word.
+to sources evenly at every prefix. Shares go by the slots that a source needs for its target, and SPARE
+more; of its slots it uses as many as it needs, evenly spaced. The used slots of a source are ranked, and
+slot r takes block r modulo the number of blocks: a source below its target is read again from its
+start. Every source, however small, fills its target, which its last slot meets to the word.
 
 Prefix sums over a hot source never run in one task: rows are dealt to groups by their random order, the
 groups are summed first, and ranks and offsets inside a group are added to those sums.
@@ -28,6 +29,8 @@ SLOT_ROWS = 1 << 16
 #: Slots per source at the smallest target; a source's share of slots then comes within a few per cent.
 FINE = 256
 LEAST_BLOCK = 64
+#: Slots of a source beyond those it needs: more than golden-ratio points may stray from any share.
+SPARE = 32
 
 
 def _golden(i: Column) -> Column:
@@ -82,7 +85,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 0, id
     spark = docs.sparkSession
     rows = C.written(_sized(docs, id_col, text_col, source_col, row_col), "sizes")
     goal = C.written(targets(rows.select("source", "size"), weights).withColumn("key", F.xxhash64(F.col("source").isNull(), F.coalesce("source", F.lit("")))), "targets")
-    facts = goal.agg(F.sum("source_size"), F.min(F.when(F.col("source_size") > 0, F.col("target"))), F.count(F.lit(1))).first()
+    facts = goal.agg(F.sum("source_size"), F.min(F.when(F.col("source_size") > 0, F.col("target")))).first()
     total, least = int(facts[0] or 0), float(facts[1] or 0.0)
     block = max(LEAST_BLOCK, int(min(least / FINE, total / (1 << 12))))
     groups = max(1, rows.count() // GROUP_ROWS)
@@ -101,19 +104,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 0, id
 
     # Slots: points of the schedule, through the sources' cumulative shares, by cells of the unit interval.
     shares = goal.where("target > 0").withColumns({"quota": F.round("target").cast("bigint")}).where("quota > 0")
-    shares = shares.withColumn("high", F.sum("quota").over(Window.orderBy("key"))).withColumn("all", F.sum("quota").over(Window.partitionBy()))
-    shares = shares.select("key", "source", "source_size", "quota", ((F.col("high") - F.col("quota")) / F.col("all")).alias("lo"), (F.col("high") / F.col("all")).alias("hi"))
+    n_blocks = F.ceil(F.col("source_size") / block)
+    shares = shares.withColumn("need", F.expr("quota div source_size") * n_blocks + F.ceil(F.pmod("quota", "source_size") / block))
+    shares = shares.withColumn("high", F.sum(F.col("need") + SPARE).over(Window.orderBy("key"))).withColumn("all", F.sum(F.col("need") + SPARE).over(Window.partitionBy()))
+    slots_n = int(shares.agg(F.max("all")).first()[0] or 0)
+    shares = shares.select("key", "source", "source_size", "quota", "need", ((F.col("high") - F.col("need") - SPARE) / F.col("all")).alias("lo"), (F.col("high") / F.col("all")).alias("hi"))
     cells = 1024
     table = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)))))
-    n_sources = int(facts[2] or 0)
-    # A source of share p has m*p slots but for O(log m); so many more fill every quota.
-    slots_n = math.ceil(total / block * (1 + 16 / FINE)) + 32 * n_sources if total else 0
     points = spark.range(slots_n).withColumn("u", _golden(F.col("id"))).withColumn("cell", F.least(F.floor(F.col("u") * cells), F.lit(cells - 1)))
-    dealt = points.join(table, "cell").where("u >= lo and u < hi").select(F.col("id").alias("slot"), "key", "source_size", "quota", F.shiftright(F.col("id"), 16).alias("part"))
+    dealt = points.join(table, "cell").where("u >= lo and u < hi").select(F.col("id").alias("slot"), "key", "source_size", "quota", "need", F.shiftright(F.col("id"), 16).alias("part"))
     counts = dealt.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("earlier", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    counts = counts.withColumn("earlier", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("dealt", F.sum("n").over(Window.partitionBy("key"))).drop("n")
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("key", "part").orderBy("slot")) - 1).join(counts, ["key", "part"]).withColumn("rank", F.col("rank") + F.col("earlier"))
-    n_blocks = F.ceil(F.col("source_size") / block)
+    # Of its dealt slots a source uses those at which the whole part of rank * need / dealt goes up.
+    used = F.expr("(rank * need) div dealt")
+    ranked = ranked.where(F.expr("((rank + 1) * need) div dealt") > used).withColumn("rank", used)
     ranked = ranked.withColumns({"block": F.pmod("rank", n_blocks), "pass": F.floor(F.col("rank") / n_blocks)})
     # What is left of the quota when the slot's turn comes: a pass takes the whole source.
     ranked = ranked.withColumn("left", F.col("quota") - F.col("pass") * F.col("source_size") - F.col("block") * block).where("left > 0")

@@ -192,6 +192,18 @@ def test_mixing(docs):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mixing_small_sources(spark):
+    """Sources of 1 to 130 words beside millions take their targets to the word, spread over the schedule."""
+    small = {f"s{n}": n for n in (1, 10, 40, 65, 130)}
+    rows = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(small.items())] + [(100 + i, "big", 20_000) for i in range(200)], "doc_id bigint, source string, n int")
+    slots, taken = mixing.mix(rows.select("doc_id", "source", F.repeat(F.lit("w "), F.col("n")).alias("text")))
+    got = {r.source: (r.got, r.goal) for r in taken.groupBy("source").agg(F.sum("taken").alias("got"), F.max("target").alias("goal")).collect()}
+    assert all(got[s] == (3 * n, 3 * n) for s, n in small.items()) and abs(got["big"][0] - got["big"][1]) <= 1
+    last = slots.agg(F.max("slot")).first()[0]
+    ends = slots.join(taken.select("row", "source"), "row").groupBy("source").agg(F.max("slot").alias("end")).collect()
+    assert all(r.end > last / 2 for r in ends)
+
+
 def test_decontamination(spark, docs):
     rng = random.Random(9)
     passage = corpus()[7][1].split()[-60:-20]
