@@ -1,10 +1,10 @@
-"""Removal of long repeated passages by compacting a De Bruijn graph of word windows.
+"""Removal of long repeated passages by hashes of word windows, dealt by minimiser.
 
-Every run of ``width`` words is an edge of the graph. Consecutive edges that share their smallest
-inner n-gram (the anchor) lie on one nonbranching path and travel as one record, so the graph is dealt
-out by anchor: all copies of an edge meet in one bucket. There, the edges that occur more than once are
-found, each is checked against the source coordinates of its copies, and all but the earliest occurrence
-become spans. Spans of one document that touch are then glued by a Spark join on the document.
+Every run of ``width`` words is an edge, as in a De Bruijn graph. Consecutive edges that share their
+smallest inner n-gram (the anchor) travel as one record, and records are dealt out by anchor: all copies
+of an edge meet in one bucket. There, the edges that occur more than once are found, by their hashes
+alone, and all but the earliest occurrence become spans. Spans of one document are then gathered by
+document. No graph is built: no nodes are joined, no paths compacted, and no words looked up again.
 
 Hot passages: each task sends one record for an edge that it meets many times, the earliest one, and
 turns the others into spans itself, so a passage in a third of all rows reaches a bucket once per task.
