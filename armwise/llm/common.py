@@ -21,33 +21,79 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set (local tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The application's folder in the cluster's ``spark.checkpoint.dir``; it goes when the application ends.
+
+    Where none is set, a temporary folder serves a local master (tests); a cluster has to name one.
+    """
+    sc = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not place:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(place)
-    return place.rstrip("/")
+        sc.setCheckpointDir(place)
+    own = f"{place.rstrip('/')}/armwise-{sc.applicationId}"
+    if own not in _marked:
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        system = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _marked.add(own)
+    return own
+
+
+_marked: set[str] = set()
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application has written; DataFrames over them can then not be read any more."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    _marked.discard(shared_dir(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/armwise-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The column that ``keyed`` adds.
+KEY = "__key"
+
+
+def keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, bool]:
+    """``docs`` with KEY, a bigint that is each row's own and in the order of the ids (null last).
+
+    Where no id is null or repeats (told by one count of the ids) it is the id; the second result is then True.
+    Otherwise rows are range-partitioned and sorted by id, numbered, and written once with their numbers, so
+    that all later scans agree on them.
+    """
+    ids = docs.select(F.col(id_col).cast("bigint").alias("id"))
+    if ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").isEmpty():
+        return docs.withColumn(KEY, F.col(id_col).cast("bigint")), True
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])  # deals out one id that many rows have
+    rows = docs.withColumns({"__salt": salt, KEY: F.col(id_col).cast("bigint")})
+    order = [F.col(KEY).asc_nulls_last(), F.col("__salt")]
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("__salt")
+    return written(rows.withColumn(KEY, F.monotonically_increasing_id()), "keyed"), False
+
+
 #: Ids up to which a list of rejected documents is broadcast; longer ones join by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
 def without(docs: DataFrame, rejected: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id is not in the one column of ``rejected``; a null id matches a null id.
+    """The rows of ``docs`` whose id is not in the one column of ``rejected``; a null id is in no list.
 
     The list is written and counted first: a short one is broadcast, so that the texts stay where they are.
     """
-    ids = written(rejected.select(F.col(rejected.columns[0]).alias("__rejected")).distinct(), "rejected")
+    ids = written(rejected.select(F.col(rejected.columns[0]).alias("__rejected")).where("__rejected is not null").distinct(), "rejected")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, docs[id_col].eqNullSafe(F.col("__rejected")), "left_anti")
+    return docs.join(ids, docs[id_col] == F.col("__rejected"), "left_anti")
 
 
 def buckets(spark: SparkSession, per_partition: int = 4) -> int:

@@ -55,3 +55,19 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(before) == tuple(after):
             break
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select("a", "a")).distinct()
+
+
+def absorbed(known: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``known`` (node, component) after more links (a, b).
+
+    Only links between different components are contracted, as links of the components' names; nodes that are
+    not in ``known`` are components of their own. A component of very many nodes is one hot key of the last
+    join, whose other side has a row for each merged component: Spark broadcasts it, or splits the hot key.
+    """
+    one = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    two = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    across = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = components(across.where("a <> b").distinct())
+    name = merged.select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    moved = known.join(name, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
+    return C.written(moved.union(merged.join(known, "node", "left_anti").select("node", "component")), "components")

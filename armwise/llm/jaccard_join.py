@@ -1,7 +1,8 @@
 """Exact self-join of documents by the Jaccard similarity of their word shingles, with parity sketches.
 
 1. Documents of equal sets become one class; the smallest id represents it.
-2. Shingles are counted over the corpus by a bucketed exchange. One that a single document holds is part
+2. Shingles are counted over the corpus by a bucketed exchange, and those that several documents hold go back
+   to the buckets of their documents. Both ways, rows are packets of a task's shingles for a bucket. One that a single document holds is part
    of the symmetric difference with any partner. At similarity 0.75 a partner holds three quarters of a
    set, so a class with more than a quarter of its shingles to itself has no partner and is done. This
    also settles documents that merely share a popular passage.
@@ -17,8 +18,11 @@
    of the words verify, for each word, the pairs of its best connected class. At last, of all that share
    any word, the pairs across components remain, and all of those that the Hamming distance of a bit
    sketch allows are verified. Pairs inside a component cannot change the result, so a group of thousands
-   of near copies costs its size and not its square. (A word of one such group is still handled in one
-   task, in numpy, when one of its members is in another component.)
+   of near copies costs its size and not its square. A word of more than BLOCK classes is compared in blocks
+   of BLOCK by BLOCK of them, each a group of its own, so no task ever holds a whole hot word.
+
+Joins on a class that many pairs name (verification) or on a set that many copies have are sort-merge joins,
+which Spark splits at hot keys.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from armwise.llm import common as C
-from armwise.llm.components import components
+from armwise.llm.components import absorbed, components
 
 WIDTH = 5
 HELD = 5 << 20
@@ -37,6 +41,8 @@ HELD = 5 << 20
 SKETCH = 16
 #: Rows of open words in a bucket.
 GROUP_ROWS = 1 << 15
+#: Classes of a word in a group; more are compared in blocks.
+BLOCK = 1 << 13
 #: Merging rounds look at one word in so many, and end when a round finds fewer links than this.
 MERGE_WORDS, MERGE_LEAST = 8, 200
 #: Below this size a band takes every shingle as a part.
@@ -93,7 +99,7 @@ def _dealt(bucket: np.ndarray, doc: np.ndarray, key: np.ndarray, known: bool) ->
     return pa.RecordBatch.from_arrays(
         [
             pa.array(bucket[at][heads].astype(np.int32)),
-            pa.array([known] * len(heads)),
+            pa.array([known] * len(heads), pa.bool_()),
             C.lists(doc[at], off, pa.int64()),
             C.lists(m.astype(np.int32), off, pa.int32()),
             C.lists((key & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32), koff, pa.int32()),
@@ -140,8 +146,9 @@ def _shingles(n_buckets: int, width: int, id_col: str, text_col: str):
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Of one bucket, the shingles that two or more documents hold."""
+    """Of one bucket, the shingles that two or more documents hold, in packets for the documents' buckets."""
     doc, key, known = _undealt(table)
+    bucket, n_buckets = table["bucket"][0].as_py(), table["of"][0].as_py()
     done_doc, done_key = doc[known], key[known]
     doc, key = doc[~known], key[~known]
     order = np.argsort(key, kind="stable")
@@ -149,7 +156,13 @@ def _shared(table: pa.Table) -> pa.Table:
     same = ~_starts(key)
     many = (same | np.append(same[1:], False)) & (doc != _SEVERAL)
     doc = np.concatenate([done_doc, doc[many]])
-    key = np.concatenate([done_key, _whole(key[many], table["bucket"][0].as_py())])
+    key = np.concatenate([done_key, _whole(key[many], bucket)])
+    return pa.Table.from_batches([_dealt(C.bucket_of(C.mix(doc.view(_U)), n_buckets), doc, key, True)])
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """(doc, shingles) of one bucket of documents."""
+    doc, key, _ = _undealt(table)
     order = np.argsort(doc, kind="stable")
     key, doc = key[order], doc[order]
     at = np.flatnonzero(_starts(doc))
@@ -223,10 +236,15 @@ def _met(bucket, keys, docs, stars) -> pa.RecordBatch:
     bucket, keys, docs = bucket[order], keys[order], docs[order]
     at = np.flatnonzero(_starts(bucket))
     off, none = np.append(at, len(bucket)), np.zeros(len(at) + 1, np.int64)
-    rows = pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), C.lists(keys.view(np.int64), off, pa.int64()), C.lists(docs, off, pa.int64()), *[C.lists(np.zeros(0, np.int64), none, pa.int64())] * 3], names=["bucket", "key", "doc", "a", "b", "words"])
+    empties = [C.lists(np.zeros(0, np.int64), none, pa.int64())] * 3
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(bucket[at].astype(np.int32)), C.lists(keys.view(np.int64), off, pa.int64()), C.lists(docs, off, pa.int64()), *empties],
+        names=["bucket", "key", "doc", "a", "b", "words"],
+    )
     one = np.array([0, len(stars[0])])
     empty = C.lists(np.zeros(0, np.int64), np.zeros(2, np.int64), pa.int64())
-    pairs = pa.RecordBatch.from_arrays([pa.array([int(bucket[0])], pa.int32()), empty, empty, *[C.lists(np.asarray(x, np.int64), one, pa.int64()) for x in stars]], names=rows.schema.names)
+    found = [C.lists(np.asarray(x, np.int64), one, pa.int64()) for x in stars]
+    pairs = pa.RecordBatch.from_arrays([pa.array([int(bucket[0])], pa.int32()), empty, empty, *found], names=rows.schema.names)
     return pa.concat_batches([rows, pairs])
 
 
@@ -275,10 +293,10 @@ def _sketches(batches):
 
 
 class _Groups:
-    """Rows of one bucket: classes that share a word with a class of another component."""
+    """Rows of one bucket: for each group the classes that share a word with a class of another component."""
 
     def __init__(self, table: pa.Table):
-        self.key, self.doc, self.comp, self.n, self.u = (np.asarray(table[c], np.int64) for c in ("key", "doc", "comp", "n", "u"))
+        self.key, self.doc, self.comp, self.n, self.u, self.side = (np.asarray(table[c], np.int64) for c in ("key", "doc", "comp", "n", "u", "side"))
         self.bits = np.frombuffer(b"".join(table["bits"].to_pylist()), _U).reshape(len(self.key), SKETCH)
         order = np.argsort(self.key, kind="stable")
         self.groups = np.split(order, np.flatnonzero(_starts(self.key[order]))[1:])
@@ -289,9 +307,13 @@ class _Groups:
         return group[self.comp[group] != names[np.argmax(counts)]]
 
     def allowed(self, x: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Members of other components that sizes and bit sketches allow to be similar to x, and their distance."""
+        """Members of other components that sizes and bit sketches allow to be similar to x, and their distance.
+
+        Where a group holds two different slices of a word, partners are of the other slice.
+        """
         n, u = self.n, self.u
-        rest = group[(self.comp[group] != self.comp[x]) & (3 * n[group] <= 4 * n[x]) & (3 * n[x] <= 4 * n[group])]
+        near = (self.comp[group] != self.comp[x]) & (3 * n[group] <= 4 * n[x]) & (3 * n[x] <= 4 * n[group])
+        rest = group[near & ((self.side[group] != self.side[x]) | (self.side[x] == 0))]
         apart = np.bitwise_count(self.bits[rest] ^ self.bits[x]).sum(axis=1)
         fit = apart <= (n[rest] + n[x]) // 7 - u[rest] - u[x]
         return rest[fit], apart[fit]
@@ -333,60 +355,81 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(100 * both >= 75 * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles and component_id, the smallest id reachable by links.
-
-    Documents link at a Jaccard similarity of 0.75 or more of their sets of ``width``-word shingles
-    (A-Z lower-cased; shorter texts are one shingle). Null and blank texts have none and link with nothing.
-    Null ids are written as the largest bigint; rows that share an id are taken for copies of one
-    document. Other columns are not read; an empty table gives an empty result. Sets are compared by
-    hashes of 48 bits and the bucket's.
-    """
-    spark = docs.sparkSession
+def _classes(rows: DataFrame, width: int, text_col: str) -> DataFrame:
+    """(doc, n, component) of every row of ``rows``, which has KEY: all three in terms of it."""
+    spark = rows.sparkSession
     n_buckets = C.buckets(spark, 1)
-    rows = docs.select(id_col, text_col)
-    digest = C.written(rows.mapInArrow(_digest(width, id_col, text_col), "doc bigint, n bigint, h1 bigint, h2 bigint"), "digest")
+    rows = rows.select(C.KEY, text_col)
+    digest = C.written(rows.mapInArrow(_digest(width, C.KEY, text_col), "doc bigint, n bigint, h1 bigint, h2 bigint"), "digest")
     classes = digest.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"))
     reps = classes.groupBy(F.col("rep").alias("doc")).agg(F.max("n").alias("n"))
-    shared = rows.mapInArrow(_shingles(n_buckets, width, id_col, text_col), _DEALT).groupBy("bucket").applyInArrow(_shared, "doc bigint, shingles array<bigint>")
-    shared = shared.groupBy("doc").agg(F.flatten(F.collect_list("shingles")).alias("shingles"))
+    sent = rows.mapInArrow(_shingles(n_buckets, width, C.KEY, text_col), _DEALT)
+    met = sent.withColumn("of", F.lit(n_buckets)).groupBy("bucket").applyInArrow(_shared, _DEALT)
+    shared = met.groupBy("bucket").applyInArrow(_gathered, "doc bigint, shingles array<bigint>")
     sets = C.written(shared.join(reps, "doc").where("4 * size(shingles) >= 3 * n").select("doc", "n", "shingles"), "sets")
 
     weak = {r["low"] for r in sets.mapInArrow(_weak, "low bigint").distinct().collect()}  # at most 64 powers of two
-    met = sets.mapInArrow(_meeting(n_buckets, weak), _MET).groupBy("bucket").applyInArrow(_leads, "a bigint, b bigint, words bigint")
-    met = met.groupBy("a", "b").agg(F.sum("words").alias("words")).groupBy("b").agg(F.min("a").alias("one"), F.max_by("a", F.struct("words", -F.col("a"))).alias("two"))
-    links = C.written(_verified(met.select(F.explode(F.array_distinct(F.array("one", "two"))).alias("a"), "b"), sets), "links")
+    leads = sets.mapInArrow(_meeting(n_buckets, weak), _MET).groupBy("bucket").applyInArrow(_leads, "a bigint, b bigint, words bigint")
+    leads = leads.groupBy("a", "b").agg(F.sum("words").alias("words"))
+    leads = leads.groupBy("b").agg(F.min("a").alias("one"), F.max_by("a", F.struct("words", -F.col("a"))).alias("two"))
+    first = _verified(leads.select(F.explode(F.array_distinct(F.array("one", "two"))).alias("a"), "b"), sets)
+    comps = C.written(components(first), "components")
 
     words = C.written(sets.mapInArrow(_all_words(weak), "doc bigint, keys array<bigint>").select("doc", F.explode("keys").alias("key")), "words")
     sketches = C.written(sets.mapInArrow(_sketches, "doc bigint, n bigint, u bigint, bits binary"), "sketches")
 
-    def open_rows(words: DataFrame) -> DataFrame:
-        """Rows (key, doc, comp, n, u, bits) of the words that classes of different components share."""
-        comps = components(links)
+    def pairs_of(words: DataFrame, find, whole: bool) -> DataFrame:
+        """Verified pairs of classes of different components that share a word; ``whole``: all of them."""
         known = words.join(comps.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
-        mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        return C.written(known.join(mixed, "key"), "open")
-
-    def pairs_of(rows: DataFrame, find) -> DataFrame:
+        mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("slices"))
+        rows = C.written(known.join(mixed.where("lo <> hi").select("key", "slices"), "key"), "open")
+        mine = F.pmod(F.xxhash64("doc"), F.col("slices"))
+        others = F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1) if whole else F.array(mine)
+        rows = rows.withColumn("mine", mine).withColumn("other", F.explode(others))
+        # Slices meet in pairs: of the two a row is on the side 1 or 2, or on 0 where a slice meets itself.
+        side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+        part = F.when(F.col("slices") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")))
+        rows = rows.select(part.alias("key"), "doc", "comp", side.cast("bigint").alias("side"))
         dealt = rows.join(sketches, "doc").withColumn("bucket", F.pmod("key", F.lit(max(1, rows.count() // GROUP_ROWS))))
         return _verified(dealt.groupBy("bucket").applyInArrow(find, "a bigint, b bigint").distinct(), sets)
 
     some = words.where(f"pmod(key, {MERGE_WORDS}) = 0")
     while True:  # any pairs will do here; what they join is left out of the last step, which looks at all words
-        new = C.written(pairs_of(open_rows(some), _hubs), "links")
-        links = C.written(links.union(new), "links")
+        new = C.written(pairs_of(some, _hubs, False), "links")
+        comps = absorbed(comps, new)
         if new.count() < MERGE_LEAST:
             break
-    crossing = pairs_of(open_rows(words), _crossing)
-    copies = digest.where("n > 0").join(classes, ["h1", "h2", "n"]).where("doc <> rep").select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    final = components(links.union(crossing).union(copies))
-    out = digest.join(final, digest["doc"] == final["node"], "left")
+    comps = absorbed(comps, pairs_of(words, _crossing, True))
+    # Copies of a set have the component of its representative: no links, and no rounds over them.
+    own = digest.join(classes, ["h1", "h2", "n"], "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep"))
+    names = classes.join(comps, F.col("rep") == F.col("node")).select("rep", "component")
+    return own.join(names, "rep", "left").select("doc", "n", F.coalesce("component", "rep").alias("component"))
+
+
+def similar_groups(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, n_shingles and component_id, the smallest id reachable by links.
+
+    Documents link at a Jaccard similarity of 0.75 or more of their sets of ``width``-word shingles
+    (A-Z lower-cased; shorter texts are one shingle). Null and blank texts have none and link with nothing.
+    Rows that share an id are documents of their own, and so are rows without one; component_id is null only
+    where no row of the component has an id. Ids are integers. Other columns are not read; an empty table
+    gives an empty result. Sets are compared by hashes of 48 bits and the bucket's.
+    """
     kind = dict(docs.dtypes)[id_col]
-    return out.select(F.col("doc").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    rows, unique = C.keyed(docs, id_col)
+    found = _classes(rows, width, text_col)
+    if unique:
+        return found.select(F.col("doc").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("component").cast(kind).alias("component_id"))
+    names = rows.select(C.KEY, F.col(id_col).alias("id"))
+    found = found.join(names.toDF("doc", "id"), "doc").join(names.toDF("component", "first"), "component")
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("first").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their group's smallest: one document of each group stays."""
-    groups = similar_groups(docs, width, id_col, text_col)
-    others = groups.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return C.without(docs, others.select(F.when(F.col(id_col) != C.LAST_ID, F.col(id_col)).alias(id_col)), id_col)
+    """The rows of ``docs`` that come first in their group by id: one document of each group stays.
+
+    Nulls, blanks, repeated ids and empty tables as in ``similar_groups``; columns are unchanged.
+    """
+    rows, _ = C.keyed(docs, id_col)
+    others = _classes(rows, width, text_col).where("doc <> component").select("doc")
+    return C.without(rows, others, C.KEY).drop(C.KEY)

@@ -101,6 +101,27 @@ def test_jaccard_join(docs):
     assert jaccard_join.keep_one(docs).count() == len(set(root.values()))
 
 
+def test_jaccard_join_in_blocks(spark, monkeypatch):
+    """Words of many classes are compared in blocks, and components grow by new links alone: the same groups."""
+    rng, rows = random.Random(11), []
+    popular = [[f"p{k}w{i}" for i in range(30)] for k in range(6)]
+    for i in range(160):  # texts of popular passages, near copies of some, and of one text above all
+        body = sum(rng.sample(popular, 3), []) if i % 2 else sum(popular[:3], [])
+        body = [w if rng.random() > 0.02 else f"x{rng.randrange(9)}" for w in body]
+        rows.append((i, " ".join(body)))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = {i: {tuple(t.split()[p : p + 5]) for p in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
+    for block in (4, 1 << 13):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        got = {r.doc_id: r.component_id for r in jaccard_join.similar_groups(table).collect()}
+        assert got == root and 1 < len(set(root.values())) < 100
+
+
 def test_language_id(docs, empty):
     known = language_id.prototypes(docs)
     got = {r.doc_id: r for r in language_id.identify(docs, known).collect()}
