@@ -19,7 +19,7 @@ def number(name: str) -> Column:
 
 
 def missing_as_nan(x: Column) -> Column:
-    return F.when(is_missing(x), F.lit(math.nan)).otherwise(x)
+    return F.coalesce(x, F.lit(math.nan))
 
 
 def imputed(x: Column, value: float = 0.0) -> Column:

@@ -25,10 +25,15 @@ def expand(prefix: DataFrame) -> DataFrame:
     )
 
 
+def _control_rank() -> Column:
+    """The least of these structs holds the control arm; null for no arm."""
+    rank = F.when(F.lower("treatment") == "control", 0).when(F.col("treatment") == "0", 1).otherwise(2)
+    return F.when(F.col("treatment").isNotNull(), F.struct(rank.alias("rank"), "treatment"))
+
+
 def control_arm(rows: DataFrame) -> DataFrame:
     """One row (treatment): 'control' in any case, else '0', else the lowest name; one for all features."""
-    rank = F.when(F.lower("treatment") == "control", 0).when(F.col("treatment") == "0", 1).otherwise(2)
-    best = F.min(F.struct(rank.alias("rank"), "treatment")).alias("best")
+    best = F.min(_control_rank()).alias("best")
     return rows.where("treatment is not null").agg(best).select(F.col("best.treatment").alias("treatment"))
 
 
@@ -54,24 +59,27 @@ def score(prefix: DataFrame, *, min_leaf_size: int = 1, min_uplift: float = 0.0,
         raise ValueError("prefer_nan_direction_on_tie must be left or right")
     if min_leaf_size < 1:
         raise ValueError("min_leaf_size must be 1 or more")
-    rows, control = expand(prefix), control_arm(prefix.select("treatment").distinct()).scalar()
+    rows = expand(prefix)
     if evaluation_mode == "pandas":
+        control = control_arm(prefix.select("treatment").distinct()).scalar()
         marked = rows.withColumn("is_control", F.col("treatment") == control)
         return marked.groupBy("feature").applyInPandas(_score_frame(min_leaf_size, min_uplift, prefer_nan_direction_on_tie), SCORED)
-    mine = F.col("treatment") == control
-    rows = rows.withColumns({"rl": rate(F.col("left_sum"), F.col("left_count")), "rr": rate(F.col("right_sum"), F.col("right_count")), "c": mine})
-    other, base = (lambda c: F.when(~F.col("c"), F.col(c))), (lambda c: F.max(F.when(F.col("c"), F.col(c))))
-    # max(rate - control) = max(rate) - control, so the control's rate needs no window and no second shuffle.
+    arm = F.struct("treatment", rate(F.col("left_sum"), F.col("left_count")).alias("left"), rate(F.col("right_sum"), F.col("right_count")).alias("right"))
     per = rows.groupBy(*KEYS).agg(
         F.sum("left_count").alias("left_count"), F.sum("left_sum").alias("left_sum"), F.sum("right_count").alias("right_count"), F.sum("right_sum").alias("right_sum"),
-        F.min(F.least("left_count", "right_count")).alias("least"), F.max("c").alias("has_control"), F.count_if(~F.col("c")).alias("others"),
-        (F.max(other("rl")) - base("rl")).alias("l_hi"), (F.min(other("rl")) - base("rl")).alias("l_lo"), (F.max(other("rr")) - base("rr")).alias("r_hi"), (F.min(other("rr")) - base("rr")).alias("r_lo"),
+        F.min(F.least("left_count", "right_count")).alias("least"), F.collect_list(arm).alias("arms"), F.min(_control_rank()).alias("first"),
     )
+    # The control of all candidates: over a row for each of them, so that the observations are read once.
+    per = per.withColumn("control", F.min("first").over(Window.partitionBy())["treatment"])
+    mine = lambda a: F.coalesce(a["treatment"] == F.col("control"), F.lit(False))
+    per = per.withColumns({"base": F.get(F.filter("arms", mine), 0), "others": F.filter("arms", lambda a: ~mine(a))})
+    high = lambda side: F.array_max(F.transform("others", lambda a: a[side])) - F.col(f"base.{side}")
+    low = lambda side: F.array_min(F.transform("others", lambda a: a[side])) - F.col(f"base.{side}")
     full = F.col("least") > 0
-    value = F.when(full, F.greatest(F.col("r_hi") - F.col("l_lo"), F.col("l_hi") - F.col("r_lo")))
+    value = F.when(full, F.greatest(high("right") - low("left"), high("left") - low("right")))
     rank = F.when(F.col("nan_direction") == prefer_nan_direction_on_tie, 0).otherwise(1)
     per = per.withColumns({"score": value, "tie_break_rank": rank})
-    fits = full & (F.least("left_count", "right_count") >= min_leaf_size) & F.col("has_control") & (F.col("others") >= 1)
+    fits = full & (F.least("left_count", "right_count") >= min_leaf_size) & F.col("base").isNotNull() & (F.size("others") >= 1)
     good = F.coalesce(~F.isnan("score") & (F.col("score") >= min_uplift), F.lit(False))
     return per.select(*KEYS, "left_count", "left_sum", "right_count", "right_sum", "score", (fits & good).alias("is_valid"), "tie_break_rank")
 

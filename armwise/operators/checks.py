@@ -22,6 +22,27 @@ def mismatches(pairs: DataFrame, a: str, b: str, tolerance: float = 1e-9) -> Dat
     return pairs.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(apart).alias("mismatches"))
 
 
+def paired(tables: dict[str, DataFrame], keys: list[str], column: str) -> DataFrame:
+    """The keys and each table's ``column`` under the table's name; a row that a table lacks is null there.
+
+    ``keys`` name a row in each table and are not null; the join shuffles keys and scores only.
+    """
+    parts = [t.select(*keys, F.col(column).alias(name)) for name, t in tables.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, keys, "full")
+    return out
+
+
+def parity(tables: dict[str, DataFrame], keys: list[str], column: str = "scores", tolerance: float = 1e-9) -> DataFrame:
+    """(n_rows, unpaired, <first>_<other>...): rows, rows that a table lacks, and pairs whose arrays differ from the first's."""
+    first, *others = tables
+    rows = paired(tables, keys, column)
+    whole = F.forall(F.array(*[F.col(t).isNotNull() for t in tables]), lambda x: x)
+    apart = lambda t: F.count_if(whole & F.coalesce(l1_distance(F.col(first), F.col(t)) > tolerance, F.lit(True)))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~whole).alias("unpaired"), *[apart(t).alias(f"{first}_{t}") for t in others])
+
+
 def contract(df: DataFrame, column: str, n_arms: int) -> DataFrame:
     """How many rows have no score, or one of another length."""
     return df.agg(F.count_if(F.col(column).isNull() | (F.size(column) != n_arms)).alias("violations"))

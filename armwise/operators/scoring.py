@@ -77,26 +77,37 @@ def score_pandas(df: DataFrame, forest: list[dict], features: list[str], out: st
     return df.mapInPandas(run, schema)
 
 
+#: Inner nodes of a forest up to which it is scored by expressions: more would not be compiled any more.
+NATIVE_NODES = 256
+
+
 def score_native(df: DataFrame, forest: list[dict], features: list[str], out: str = "scores") -> DataFrame:
-    """The same by nested conditions, for small trees: no Python on the executors."""
+    """The same by nested conditions, for small forests: no Python on the executors.
+
+    Each tree's conditions are evaluated once a row, to its leaf; the leaf's rates are looked up for all arms.
+    """
     require(df, *features)
     trees = validate(forest, len(features))
+    inner = sum(int((t["node_type"] != LEAF).sum()) for t in trees)
+    if inner > NATIVE_NODES:
+        raise ValueError(f"{inner} inner nodes are more than {NATIVE_NODES}: use score_arrow")
 
-    def walk(t: dict, i: int, arm: int) -> Column:
+    def walk(t: dict, i: int) -> Column:
         if t["node_type"][i] == LEAF:
-            return F.lit(float(t["leaf_response_rates"][i][arm]))
+            return F.lit(i)
         x = F.col(features[t["feature_idx"][i]]).cast("double")
         test = x <= F.lit(float(t["thresholds"][i])) if t["node_type"][i] == CONTINUOUS else x == F.lit(float(t["cat_value"][i]))
         go = F.when(is_missing(x), F.lit(bool(t["nan_goes_left"][i]))).otherwise(test)
-        return F.when(go, walk(t, int(t["left_child"][i]), arm)).otherwise(walk(t, int(t["right_child"][i]), arm))
-
-    def mean(arm: int) -> Column:
-        total = F.lit(0.0)
-        for t in trees:
-            total = total + walk(t, 0, arm)
-        return total / F.lit(float(len(trees)))
-
-    return df.withColumn(out, F.array(*[mean(a) for a in range(trees[0]["leaf_response_rates"].shape[1])]))
+        return F.when(go, walk(t, int(t["left_child"][i]))).otherwise(walk(t, int(t["right_child"][i])))
+
+    rates = [F.lit(t["leaf_response_rates"].tolist()) for t in trees]
+    leaves = df.withColumns({f"__leaf{k}": walk(t, 0) for k, t in enumerate(trees)})
+    found = [F.get(r, F.col(f"__leaf{k}")) for k, r in enumerate(rates)]
+    total = found[0]
+    for more in found[1:]:
+        total = F.zip_with(total, more, lambda a, b: a + b)
+    mean = F.transform(total, lambda x: x / F.lit(float(len(trees))))
+    return leaves.withColumn(out, mean).drop(*[f"__leaf{k}" for k in range(len(trees))])
 
 
 def mllib_tree(df: DataFrame, features: list[str], label_of: str, out: str = "score") -> DataFrame:

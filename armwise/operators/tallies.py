@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,23 +33,89 @@ def binned(obs: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
     return obs.select(F.explode(each).alias("b"), "treatment", "outcome").select("b.*", "treatment", "outcome")
 
 
+#: Features from which on tasks tally their batches in arrays: one expression for so many bins is not compiled any more.
+WIDE = 24
+
+
+def _tallied(cuts: dict[str, list[float]]):
+    """A task's tallies of all features: batches are searched in the cuts and counted by (feature, bin, arm)."""
+    names = list(cuts)
+    edges = [np.array(cuts[f], float) for f in names]
+    first = np.concatenate([[0], np.cumsum([len(e) + 2 for e in edges])])
+
+    def run(batches):
+        arms: dict[str, int] = {}
+        count, total = np.zeros((0, first[-1]), np.int64), np.zeros((0, first[-1]))
+        for batch in batches:
+            coded = batch.column("treatment").dictionary_encode()
+            arm = np.array([arms.setdefault(a, len(arms)) for a in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+            if len(arms) > len(count):
+                grown = len(arms) - len(count)
+                count, total = np.pad(count, ((0, grown), (0, 0))), np.pad(total, ((0, grown), (0, 0)))
+            outcome = batch.column("outcome").to_numpy(zero_copy_only=False)
+            for k, f in enumerate(names):
+                x = batch.column(f).to_numpy(zero_copy_only=False)
+                bins = np.where(np.isnan(x), len(edges[k]) + 1, np.searchsorted(edges[k], x, side="right"))
+                at, width = arm * (len(edges[k]) + 2) + bins, len(edges[k]) + 2
+                part = slice(first[k], first[k + 1])
+                count[:, part] += np.bincount(at, minlength=len(arms) * width).reshape(-1, width)
+                total[:, part] += np.bincount(at, weights=outcome, minlength=len(arms) * width).reshape(-1, width)
+        labels = np.array(list(arms), object)
+        owner = np.repeat(np.arange(len(names)), np.diff(first))
+        for k in range(len(arms)):  # a batch for each arm: features * bins rows
+            at = np.flatnonzero(count[k])
+            feature = pa.DictionaryArray.from_arrays(pa.array(owner[at].astype(np.int32)), pa.array(names)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [feature, pa.array((at - first[owner[at]]).astype(np.int32)), pa.array([labels[k]] * len(at), pa.string()), pa.array(count[k][at]), pa.array(total[k][at])],
+                names=["feature", "bin_id", "treatment", "opps", "accepts"],
+            )
+
+    return run
+
+
+def counted(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows and sums of the outcome by (feature, bin_id, treatment), of ``binned`` rows."""
+    return rows.groupBy("feature", "bin_id", "treatment", *more).agg(F.count(F.lit(1)).alias("opps"), F.sum("outcome").alias("accepts"))
+
+
 def tally(obs: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
     """(feature, bin_id, bin_boundary, is_missing_bin, treatment, opps, accepts) of the bins that have rows.
 
-    Tasks send partial sums only, so arms and bins of any skew cost the same.
+    Tasks send partial sums only, so arms and bins of any skew cost the same. Few features are binned by
+    compiled expressions; from WIDE on, Arrow batches are searched and counted in arrays, and no row is
+    made for each feature of each observation.
     """
-    sums = binned(obs, cuts).groupBy("feature", "bin_id", "treatment").agg(F.count(F.lit(1)).alias("opps"), F.sum("outcome").alias("accepts"))
-    return sums.join(bins_table(obs, cuts), ["feature", "bin_id"]).select("feature", "bin_id", "bin_boundary", "is_missing_bin", "treatment", "opps", "accepts")
+    if len(cuts) < WIDE:
+        sums = counted(binned(obs, cuts))
+    else:
+        kinds = "feature string, bin_id int, treatment string, opps bigint, accepts double"
+        parts = obs.select(*[F.col(f"`{f}`") for f in cuts], "treatment", "outcome").mapInArrow(_tallied(cuts), kinds)
+        sums = parts.groupBy("feature", "bin_id", "treatment").agg(F.sum("opps").alias("opps"), F.sum("accepts").alias("accepts"))
+    return bounded(sums, cuts)
+
+
+def bounded(sums: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+    """Tallies with the bins' boundaries; bins and cuts are a configuration, small enough for any task."""
+    bins = F.broadcast(bins_table(sums, cuts))
+    return sums.join(bins, ["feature", "bin_id"]).select("feature", "bin_id", "bin_boundary", "is_missing_bin", "treatment", "opps", "accepts")
 
 
 def densify(tallies: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
-    """A row for every bin and arm; absent ones are 0. Arms come from the tallies, not from the rows again."""
-    arms = tallies.select("treatment").distinct().agg(F.collect_set("treatment").alias("arms")).scalar()
-    grid = bins_table(tallies, cuts).select("*", F.explode(F.sort_array(arms)).alias("treatment"))
-    have = tallies.select("feature", "bin_id", "treatment", "opps", "accepts")
-    return grid.join(have, ["feature", "bin_id", "treatment"], "left").select(
-        "feature", "bin_id", "bin_boundary", "is_missing_bin", "treatment", F.coalesce("opps", F.lit(0)).alias("opps"), F.coalesce("accepts", F.lit(0.0)).alias("accepts")
+    """A row for every bin and arm of a feature; absent ones are 0.
+
+    Every feature sees every observation, so a feature's own tallies name all arms: one row per feature holds
+    them (bins * arms entries), and the grid unfolds from it without another look at the observations.
+    """
+    each = tallies.groupBy("feature").agg(
+        F.sort_array(F.collect_set("treatment")).alias("arms"),
+        F.map_from_entries(F.collect_list(F.struct(F.struct("bin_id", "treatment").alias("key"), F.struct("opps", "accepts").alias("value")))).alias("have"),
     )
+    grid = F.broadcast(bins_table(tallies, cuts)).join(each, "feature").select("*", F.explode("arms").alias("treatment"))
+    found = F.try_element_at("have", F.struct("bin_id", "treatment"))
+    return grid.withColumn("v", found).select(
+        "feature", "bin_id", "bin_boundary", "is_missing_bin", "treatment",
+        F.coalesce("v.opps", F.lit(0).cast("bigint")).alias("opps"), F.coalesce("v.accepts", F.lit(0.0)).alias("accepts"),
+    )
 
 
 def prefix_sums(dense: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from armwise.functions.values import imputed, is_missing
 from armwise.operators import candidates, checks, forest, scoring, tallies, thresholds
 from armwise.plans import split_search
-from armwise.sources import views
+from armwise.sources import sinks, synthetic, views
 
 # ---- fixed parameters of the queries
 
@@ -26,6 +26,12 @@ FOREST = [
     {"node_type": [1, 0, 0], "feature_idx": [1, 0, 0], "thresholds": [30000.0, 0.0, 0.0], "cat_value": [0.0] * 3, "left_child": [1, 0, 0], "right_child": [2, 0, 0], "nan_goes_left": [True, True, True], "leaf_response_rates": [[0.0, 0.0, 0.0], [0.15, 0.05, 0.85], [0.55, 0.65, 0.75]]},
 ]
 
+ARMS = (2, 4, 8, 16)
+WIDE = 250
+WIDE_CUTS = {f"w{k}": thresholds.equal_width(0.0, 100_000.0 * (1 + k % 7) + 50.0 * k, 8) for k in range(WIDE)}
+DEEP_INPUTS = 32
+DEEP_FOREST = synthetic.forest(7, 4, 50, n_features=DEEP_INPUTS, seed=20240611)
+
 # ---- queries
 
 
@@ -47,12 +53,8 @@ def impute_zero(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("label", F.when(F.col("price") > 0, 1.0).otherwise(0.0))
 
 
-def _listed(spark: SparkSession, cuts: dict[str, list[float]]) -> DataFrame:
-    return spark.createDataFrame([(f, float(c)) for f, own in cuts.items() for c in own], "feature string, cut double")
-
-
 def thresholds_quantile(spark: SparkSession, d: str) -> DataFrame:
-    return _listed(spark, thresholds.quantiles(views.obs_line(spark, d), views.LINE_FEATURES, 16, 0.0))
+    return thresholds.exact_quantiles(views.obs_line(spark, d), views.LINE_FEATURES, 16)
 
 
 def thresholds_equal_width(spark: SparkSession, d: str) -> DataFrame:
@@ -136,13 +138,19 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def forest_json_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The nodes of the JSON forest with the rows that pass each node's own test."""
-    names = F.array(*[F.lit(f) for f in views.FOREST_FEATURES])
-    table = forest.nodes(spark, forest.to_json(FOREST)).where("node_type <> 0").withColumn("feature", F.element_at(names, (F.col("feature_idx") + 1).cast("int")))
-    values = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in views.FOREST_FEATURES])
-    rows = views.forest_input(spark, d).select(F.explode(values).alias("v")).select("v.*").groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
-    left = F.when(is_missing(F.col("x")), F.col("nan_goes_left")).when(F.col("node_type") == 1, F.col("x") <= F.col("thresholds")).otherwise(F.col("x") == F.col("cat_value"))
-    return rows.join(table, "feature").groupBy("tree", "node", "node_type", "feature").agg(F.sum(F.when(left, F.col("n")).otherwise(0)).alias("rows_left"), F.sum("n").alias("rows_all"))
+    """The inner nodes of the JSON forest with the rows that pass each node's own test: one scan, one row of counts a task."""
+    inner = forest.nodes(spark, forest.to_json(FOREST)).where("node_type <> 0").collect()  # a model's nodes
+    tests = []
+    for node in inner:
+        x = F.col(views.FOREST_FEATURES[node.feature_idx])
+        test = x <= node.thresholds if node.node_type == 1 else x == node.cat_value
+        tests.append(F.when(is_missing(x), F.lit(node.nan_goes_left)).otherwise(test))
+    counts = views.forest_input(spark, d).agg(F.count(F.lit(1)).alias("rows_all"), *[F.count_if(t).alias(f"c{k}") for k, t in enumerate(tests)])
+    each = [
+        F.struct(F.lit(n.tree).alias("tree"), F.lit(n.node).alias("node"), F.lit(n.node_type).cast("bigint").alias("node_type"), F.lit(views.FOREST_FEATURES[n.feature_idx]).alias("feature"), F.col(f"c{k}").alias("rows_left"))
+        for k, n in enumerate(inner)
+    ]
+    return counts.select(F.explode(F.array(*each)).alias("n"), "rows_all").select("n.*", "rows_all")
 
 
 def forest_invalid_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -194,6 +202,41 @@ def score_parity(spark: SparkSession, d: str) -> DataFrame:
     return checks.mismatches(scoring.score_native(rows, FOREST, views.FOREST_FEATURES, "b"), "a", "b")
 
 
+LINE_KEYS = ["l_orderkey", "line", "l_partkey", "l_suppkey"]
+
+
+def score_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Arrow, pandas and native scores of separate runs, paired by the line items' keys."""
+    rows = views.forest_input(spark, d)
+    ways = {"arrow": scoring.score_arrow, "pandas": scoring.score_pandas, "native": scoring.score_native}
+    return checks.parity({n: f(rows, FOREST, views.FOREST_FEATURES) for n, f in ways.items()}, LINE_KEYS)
+
+
+def arm_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """The best price split for 2, 4, 8 and 16 arms, dealt by part."""
+    rows = views.table(spark, d, "lineitem").select(F.col("l_extendedprice").cast("double").alias("price"), "l_partkey", (F.col("l_linestatus") == "F").cast("double").alias("outcome"))
+    arms = {n: F.pmod("l_partkey", F.lit(n)).cast("string") for n in ARMS}
+    return split_search.sweep_arms(rows, "price", CUTS["l_extendedprice"], arms)
+
+
+def best_split_wide(spark: SparkSession, d: str) -> DataFrame:
+    """The best split of each of 250 features, from one scan."""
+    prefix = split_search.build_prefix_sums(views.wide_line(spark, d, WIDE), feature_cols=list(WIDE_CUTS), splits=WIDE_CUTS)
+    return candidates.best_split_per_feature(candidates.score(prefix))
+
+
+def deep_forest_scores(spark: SparkSession, d: str) -> DataFrame:
+    """50 trees of depth 7 over 32 features, four arms."""
+    scored = scoring.score_arrow(views.deep_input(spark, d, DEEP_INPUTS), DEEP_FOREST, [f"d{k}" for k in range(DEEP_INPUTS)])
+    return _wide(scored, 4)
+
+
+def result_rows_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Scored candidates written as CSV and read back."""
+    rows = scored_candidates(spark, d)
+    return sinks.read_rows(spark, sinks.write_rows(rows, sinks.scratch(spark, "results"), "csv"), rows.schema, "csv")
+
+
 def mllib_tree_scores(spark: SparkSession, d: str) -> DataFrame:
     return scoring.mllib_tree(views.forest_input(spark, d), ["l_quantity", "l_discount", "l_tax", "l_extendedprice"], "l_extendedprice")
 
@@ -204,6 +247,7 @@ QUERIES = {
         observations, impute_zero, thresholds_quantile, thresholds_equal_width, boundaries, bin_assign, bin_tallies, bin_tallies_dense, prefix_sums, nan_expanded, control_arm, arm_rates, scored_candidates,
         scored_candidates_pandas, best_split, best_split_multi, best_split_per_feature, bin_sweep, determinism, sample_first_n, run_summary, forest_json_nodes, forest_invalid_nodes, tree_scores, forest_scores,
         forest_scores_pandas, forest_scores_expr, score_contract, score_checksum, scalar_checksum, score_parity, mllib_tree_scores,
+        score_pairs, arm_sweep, best_split_wide, deep_forest_scores, result_rows_csv,
     )
 }
 
@@ -274,10 +318,40 @@ def _tree_sql(k: int, arm: int) -> str:
     return f"CASE WHEN p IS NULL OR p <= 30000 THEN {x(1)} ELSE {x(2)} END"
 
 
+def _deep_sql() -> str:
+    """Each tree's leaf by nested conditions, then the leaves' rates from lists."""
+    columns = ", ".join(f"{views.DEEP_FEATURES[k % 4].replace('0D', '0::DOUBLE').replace('5D', '5::DOUBLE').replace('K', str(k))} AS d{k}" for k in range(DEEP_INPUTS))
+
+    def walk(t: dict, i: int) -> str:
+        if t["node_type"][i] == 0:
+            return str(i)
+        x = f"d{t['feature_idx'][i]}"
+        test = f"{x} <= {float(t['thresholds'][i])!r}::DOUBLE" if t["node_type"][i] == 1 else f"{x} = {float(t['cat_value'][i])!r}::DOUBLE"
+        go = f"coalesce({test}, {str(bool(t['nan_goes_left'][i])).lower()})"
+        return f"CASE WHEN {go} THEN {walk(t, t['left_child'][i])} ELSE {walk(t, t['right_child'][i])} END"
+
+    leaves = ", ".join(f"{walk(t, 0)} AS n{k}" for k, t in enumerate(DEEP_FOREST))
+    listed = lambda t, a: "[" + ", ".join(f"{float(r)!r}::DOUBLE" for r in t["leaf_response_rates"][:, a]) + "]"
+    arm = lambda a: "(" + " + ".join(f"{listed(t, a)}[n{k} + 1]" for k, t in enumerate(DEEP_FOREST)) + f") / {len(DEEP_FOREST)}.0::DOUBLE AS r{a}"
+    return f"""WITH i AS (SELECT l_orderkey, l_linenumber AS line, l_partkey, l_suppkey, l_orderkey AS okey, l_quantity::DOUBLE AS quantity, l_discount::DOUBLE AS discount,
+          CASE WHEN l_linenumber NOT IN (3, 5) THEN l_extendedprice::DOUBLE END AS price FROM lineitem),
+        f AS (SELECT l_orderkey, line, l_partkey, l_suppkey, {columns} FROM i),
+        l AS (SELECT l_orderkey, line, l_partkey, l_suppkey, {leaves} FROM f)
+        SELECT l_orderkey, line, l_partkey, l_suppkey, {", ".join(arm(a) for a in range(4))} FROM l"""
+
+
 def _forest_sql(arm: int) -> str:
     return "(" + " + ".join(_tree_sql(k, arm) for k in range(3)) + ") / 3.0::DOUBLE"
 
 
+def _arm_sweep_sql() -> str:
+    """The single-feature search for each number of arms, in place of the arms of ``line``."""
+    rows = lambda n: f"line AS (SELECT l_extendedprice::DOUBLE AS price, (l_partkey % {n})::VARCHAR AS treatment, CASE WHEN l_linestatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS outcome FROM lineitem)"
+    best = _scored({"price": CUTS["l_extendedprice"]}, 1).replace("treatment = 'control' AS c", "treatment = '0' AS c")
+    parts = [f"({best.replace(_LINE, rows(n))} SELECT *, {n}::INTEGER AS config FROM v WHERE is_valid ORDER BY {_RANK} LIMIT 1)" for n in ARMS]
+    return " UNION ALL ".join(f"SELECT * FROM {p} AS s{k}" for k, p in enumerate(parts))
+
+
 _FOREST_SQL = f"WITH {_FIT} SELECT l_orderkey, line, l_partkey, l_suppkey, " + ", ".join(f"{_forest_sql(a)} AS r{a}" for a in range(3)) + " FROM fit"
 _LONG = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x FROM line" for c in views.LINE_FEATURES)
 
@@ -317,5 +391,10 @@ ORACLES = {
     "score_contract": f"SELECT count(*) FILTER (r0 IS NULL OR r1 IS NULL OR r2 IS NULL) AS violations FROM ({_FOREST_SQL})",
     "score_checksum": f"SELECT round(sum(r0 + r1 + r2), 3) AS checksum FROM ({_FOREST_SQL})",
     "scalar_checksum": "SELECT round(sum(l_quantity::DOUBLE), 3) AS checksum FROM lineitem",
+    "score_pairs": "SELECT count(*) AS n_rows, 0::BIGINT AS unpaired, 0::BIGINT AS arrow_pandas, 0::BIGINT AS arrow_native FROM lineitem",
+    "arm_sweep": _arm_sweep_sql(),
+    "best_split_wide": f"{_scored(WIDE_CUTS, 1, {f: f'(l_extendedprice * {float(1 + k % 7)!r}::DOUBLE + l_quantity * {float(k)!r}::DOUBLE)' for k, f in enumerate(WIDE_CUTS)})} SELECT * FROM v WHERE is_valid QUALIFY row_number() OVER (PARTITION BY feature ORDER BY {_RANK}) = 1",
+    "deep_forest_scores": _deep_sql(),
+    "result_rows_csv": f"{_scored(CUTS, 100)} SELECT * FROM v",
     "score_parity": "SELECT count(*) AS n_rows, 0::BIGINT AS mismatches FROM lineitem",
 }

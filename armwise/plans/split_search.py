@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from armwise.functions.values import bin_of, is_missing, missing_as_nan, number
 from armwise.operators import candidates, tallies, thresholds
 
 
 def build_prefix_sums(
-    df: DataFrame, *, feature_cols: list[str], treatment_col: str = "treatment", outcome_col: str = "outcome", splits: dict[str, list[float]] | None = None, num_quantile_splits: int | None = None, quantile_relative_error: float = 0.01, on_null_treatment: str = "drop"
-) -> DataFrame:
-    """Prefix sums of all features; thresholds are given, or quantiles (16 by default)."""
+    df: DataFrame, *, feature_cols: list[str], treatment_col: str = "treatment", outcome_col: str = "outcome",
+    splits: dict[str, list[float]] | None = None, num_quantile_splits: int | None = None, quantile_relative_error: float = 0.01,
+    on_null_treatment: str = "drop",
+) -> DataFrame:
+    """Prefix sums of all features; thresholds are given, or quantiles (16 by default).
+
+    One scan of the observations for any number of features; nothing is cached. A caller that uses the
+    result several times writes or caches it: it has features * bins * arms rows.
+    """
     if splits is not None and num_quantile_splits is not None:
         raise ValueError("give splits or num_quantile_splits")
     obs = tallies.observations(df, feature_cols, treatment_col, outcome_col, on_null_treatment)
@@ -19,9 +26,7 @@ def build_prefix_sums(
         cuts = {f: thresholds.clean(splits[f]) for f in feature_cols}
     else:
         cuts = thresholds.quantiles(obs, feature_cols, 16 if num_quantile_splits is None else num_quantile_splits, quantile_relative_error)
-    # A table of features * bins * arms rows that arms, grid and control all come from: one scan of the rows.
-    counts = tallies.tally(obs, cuts).persist()
-    return tallies.prefix_sums(tallies.densify(counts, cuts))
+    return tallies.prefix_sums(tallies.densify(tallies.tally(obs, cuts), cuts))
 
 
 def sweep(df: DataFrame, feature: str, configs: dict[int, list[float]], **options) -> DataFrame:
@@ -29,7 +34,27 @@ def sweep(df: DataFrame, feature: str, configs: dict[int, list[float]], **option
     names = {f"{feature}#{k}": cuts for k, cuts in configs.items()}
     wide = df.select(*[F.col(feature).alias(n) for n in names], "treatment", "outcome")
     scored = candidates.score(build_prefix_sums(wide, feature_cols=list(names), splits=names), **options)
-    best = candidates.best_split_per_feature(scored)
+    return _configured(candidates.best_split_per_feature(scored), feature)
+
+
+def sweep_arms(df: DataFrame, feature: str, cuts: list[float], arms: dict[int, Column], outcome: str = "outcome", **options) -> DataFrame:
+    """The best split under several divisions into arms, all tallied in one scan: (config, best split).
+
+    ``arms`` gives for each configuration the column of a row's arm. All configurations have one control arm
+    in common, as their candidates are scored together. Rows without an arm are dropped from a configuration.
+    """
+    names = {n: f"{feature}#{n}" for n in arms}
+    own = thresholds.clean(cuts)
+    each = F.array(*[F.struct(F.lit(names[n]).alias("feature"), arm.cast("string").alias("treatment")) for n, arm in arms.items()])
+    rows = df.withColumn("__arms", each).withColumnsRenamed({feature: "__x", outcome: "__y"})
+    rows = rows.select(missing_as_nan(number("__x")).alias("x"), number("__y").alias("y"), F.explode("__arms").alias("arm")).where("arm.treatment is not null")
+    rows = rows.select("arm.feature", bin_of(F.col("x"), own).alias("bin_id"), "arm.treatment", F.when(is_missing(F.col("y")), 0.0).otherwise(F.col("y")).alias("outcome"))
+    every = dict.fromkeys(names.values(), own)
+    prefix = tallies.prefix_sums(tallies.densify(tallies.bounded(tallies.counted(rows), every), every))
+    return _configured(candidates.best_split_per_feature(candidates.score(prefix, **options)), feature)
+
+
+def _configured(best: DataFrame, feature: str) -> DataFrame:
     return best.withColumns({"config": F.element_at(F.split("feature", "#"), -1).cast("int"), "feature": F.lit(feature)})
 
 

@@ -45,3 +45,23 @@ def forest_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_partkey"), F.col("l_suppkey"), *[(price if c == "l_extendedprice" else F.col(c).cast("double")).alias(c) for c in FOREST_FEATURES]
     )
+
+
+def wide_line(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """Line items with n features w0, w1, ...: sums of price and quantity by weights that differ; arms and outcome."""
+    rows = obs_line(spark, sf_dir)
+    wide = [(F.col("l_extendedprice") * F.lit(float(1 + k % 7)) + F.col("l_quantity") * F.lit(float(k))).alias(f"w{k}") for k in range(n)]
+    return rows.select(*wide, "treatment", "outcome")
+
+
+#: Expressions of ``deep_input``'s features, in turn; K is the feature's number.
+DEEP_FEATURES = ("price / 50000.0D - 1.0D", "quantity / 25.0D - 1.0D", "cast((okey + K) % 4 as double)", "discount * 10.0D - 0.5D")
+
+
+def deep_input(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """Line items with n features of about -1 to 1 or of four categories; prices are null at line 3 and NaN at line 5."""
+    price = "CASE l_linenumber WHEN 3 THEN NULL WHEN 5 THEN double('NaN') ELSE cast(l_extendedprice AS double) END AS price"
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber AS line", "l_partkey", "l_suppkey", price, "cast(l_quantity AS double) AS quantity", "cast(l_discount AS double) AS discount", "l_orderkey AS okey"
+    )
+    return rows.selectExpr("l_orderkey", "line", "l_partkey", "l_suppkey", *[f"{DEEP_FEATURES[k % 4].replace('K', str(k))} AS d{k}" for k in range(n)])

@@ -1,44 +1,138 @@
-"""Hand-worked split search and forest cases."""
+"""Split search and forests against plain Python, on small tables with missing values, ties and empty arms."""
 
+import itertools
 import math
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from armwise.operators import candidates, checks, forest, scoring, thresholds
+from armwise.operators import candidates, checks, forest, scoring, tallies, thresholds
 from armwise.plans import split_search
-from armwise.sources import synthetic
+from armwise.sources import sinks, synthetic
 
-TINY = [(-1.0, "control", 0.0), (-0.1, "t1", 1.0), (0.1, "control", 1.0), (0.6, "t1", 0.0), (None, "control", 1.0), (math.nan, "t1", 1.0)]
-TREE = {"node_type": [1, 0, 2, 0, 0], "feature_idx": [0, 0, 1, 0, 0], "thresholds": [0.5, 0, 0, 0, 0], "cat_value": [0, 0, 3, 0, 0], "left_child": [1, 0, 3, 0, 0], "right_child": [2, 0, 4, 0, 0], "nan_goes_left": [True, True, False, True, True], "leaf_response_rates": [[0, 0, 0], [0.1, 0.2, 0.3], [0, 0, 0], [0.4, 0.5, 0.6], [0.7, 0.8, 0.9]]}
+CUTS = [1.0, 2.5, 4.0, 9.0]
+#: Root: d0 <= 2, missing left. Left: leaf. Right: d1 is category 1, missing right.
+TREE = {"node_type": [1, 0, 2, 0, 0], "feature_idx": [0, 0, 1, 0, 0], "thresholds": [2.0, 0, 0, 0, 0], "cat_value": [0, 0, 1, 0, 0], "left_child": [1, 1, 3, 3, 4], "right_child": [2, 1, 4, 3, 4], "nan_goes_left": [True, True, False, True, True], "leaf_response_rates": [[0, 0], [0.5, 0.25], [0, 0], [0.125, 1.0], [0.75, 0.0]]}
 
 
-def prefix(spark, rows, cuts=(-0.2, 0.2), **options):
+def drawn(n: int, seed: int) -> list[tuple]:
+    rng = random.Random(seed)
+    values = [0.5, 1.0, 2.0, 2.5, 3.0, 4.0, 5.0, math.inf, -math.inf, math.nan, None]
+    return [(rng.choice(values), rng.choice(["control", "a", "b"]), rng.choice([0.0, 1.0])) for _ in range(n)]
+
+
+def prefix(spark, rows, cuts=CUTS, **options):
     df = spark.createDataFrame(rows, "feature double, treatment string, outcome double")
     return split_search.build_prefix_sums(df, feature_cols=["feature"], splits={"feature": list(cuts)}, **options)
 
 
+def searched(rows, cuts, least=1):
+    """Plain Python: {(bin, direction): (counts and sums of both sides, score, valid)}."""
+    missing = lambda x: x is None or math.isnan(x)
+    arms, out = sorted({t for _, t, _ in rows}), {}
+    for (k, cut), way in itertools.product(enumerate(cuts), ("left", "right")):
+        sides = {s: {t: [0, 0.0] for t in arms} for s in ("left", "right")}
+        for x, t, y in rows:
+            cell = sides[way if missing(x) else "left" if x < cut else "right"][t]
+            cell[0], cell[1] = cell[0] + 1, cell[1] + y
+        full = all(n for side in sides.values() for n, _ in side.values())
+        score = None
+        if full:
+            up = {s: [c[t][1] / c[t][0] - c["control"][1] / c["control"][0] for t in arms if t != "control"] for s, c in sides.items()}
+            score = max(max(up["right"]) - min(up["left"]), max(up["left"]) - min(up["right"]))
+        sums = [f(c[i] for c in sides[s].values()) for s in ("left", "right") for i, f in ((0, sum), (1, sum))]
+        out[k, way] = (*sums, score, full and min(sums[0], sums[2]) >= least)
+    return out
+
+
 @pytest.mark.parametrize("mode", ["sql", "pandas"])
-def test_tiny_table(spark, mode):
-    scored = candidates.score(prefix(spark, TINY), evaluation_mode=mode)
-    got = {(r.candidate_bin, r.nan_direction): (r.left_count, r.left_sum, r.right_count, r.right_sum, r.score, r.is_valid) for r in scored.collect()}
-    assert got == {(0, "left"): (3, 2.0, 3, 2.0, 1.0, True), (1, "right"): (3, 2.0, 3, 2.0, 1.0, True), (0, "right"): (1, 0.0, 5, 4.0, None, False), (1, "left"): (5, 4.0, 1, 0.0, None, False)}
-    best = candidates.choose(scored)
-    assert (best["candidate_bin"], best["bin_boundary"], best["nan_direction"], best["score"]) == (0, -0.2, "left", 1.0)
+@pytest.mark.parametrize(("n", "least"), [(7, 1), (60, 1), (60, 20)])
+def test_candidates(spark, mode, n, least):
+    rows = drawn(n, n)
+    scored = candidates.score(prefix(spark, rows), evaluation_mode=mode, min_leaf_size=least)
+    got = {(r.candidate_bin, r.nan_direction): r for r in scored.collect()}
+    want = searched(rows, CUTS, least)
+    assert set(got) == set(want)
+    for key, (lc, ls, rc, rs, score, valid) in want.items():
+        r = got[key]
+        assert (r.left_count, r.left_sum, r.right_count, r.right_sum, r.is_valid) == (lc, ls, rc, rs, valid)
+        assert r.score == score or math.isclose(r.score, score, abs_tol=1e-12)
+    valid = [(-w[4], CUTS[k], k, way == "left", way) for (k, way), w in want.items() if w[5]]
+    if valid:
+        best = candidates.choose(scored)
+        assert math.isclose(best["score"], -min(valid)[0], abs_tol=1e-12)
 
 
 def test_edges(spark):
-    rows = [*TINY, (-0.2, "t1", math.nan), (math.inf, "control", None), (-math.inf, "t1", 1.0), (0.0, None, 1.0)]
-    at_cut = {(r.candidate_bin, r.treatment): r.left_count_base for r in prefix(spark, rows).collect()}
-    assert at_cut == {(0, "control"): 1, (0, "t1"): 1, (1, "control"): 2, (1, "t1"): 3}
-    with pytest.raises(ValueError, match="no valid split"):
-        candidates.choose(candidates.score(prefix(spark, TINY), min_leaf_size=4))
-    with pytest.raises(ValueError, match="no valid split"):
-        candidates.choose(candidates.score(prefix(spark, TINY, cuts=())))
+    rows = [(2.5, "a", math.nan), (math.inf, "control", None), (-math.inf, "a", 1.0), (0.0, None, 1.0)]
+    at_cut = {(r.candidate_bin, r.treatment): (r.left_count_base, r.left_sum_base) for r in prefix(spark, rows, [2.5]).collect()}
+    assert at_cut == {(0, "control"): (0, 0.0), (0, "a"): (1, 1.0)}
+    for options, cuts in (({"min_leaf_size": 400}, CUTS), ({}, ())):
+        with pytest.raises(ValueError, match="no valid split"):
+            candidates.choose(candidates.score(prefix(spark, drawn(60, 1), cuts), **options))
     with pytest.raises(ValueError, match="missing columns"):
         split_search.build_prefix_sums(spark.range(1), feature_cols=["feature"], splits={"feature": []})
 
 
+def test_wide_tallies(spark, monkeypatch):
+    """Tallies of Arrow batches are those of the expressions, with empty partitions and clashing column names."""
+    rows = [(*(x for x, _, _ in drawn(3, i)), f"t{i % 3}", float(i % 2), i) for i in range(90)]
+    df = spark.createDataFrame(rows, "a double, b double, opps double, treatment string, outcome double, feature int").repartition(13)
+    cuts = {"a": CUTS, "b": [], "opps": [2.0]}
+    obs = tallies.observations(df, list(cuts))
+    narrow = sorted(map(str, tallies.tally(obs, cuts).collect()))
+    monkeypatch.setattr(tallies, "WIDE", 1)
+    assert sorted(map(str, tallies.tally(obs, cuts).collect())) == narrow
+    assert tallies.tally(obs.limit(0), cuts).collect() == []
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(4)
+    values = [rng.choice([rng.gauss(0, 1e-3), rng.expovariate(1e-6), 0.0, -0.5, 2.0**40, 5e-324, math.inf, -math.inf, None, math.nan]) for _ in range(500)]
+    df = spark.createDataFrame([(v, 3.0, None) for v in values], "a double, b double, c double")
+    present = sorted(v for v in values if v is not None and not math.isnan(v))
+    for n in (1, 2, 7, 64):
+        got = {f: sorted(r.cut for r in thresholds.exact_quantiles(df, ["a", "b", "c"], n).where(F.col("feature") == f).collect()) for f in "abc"}
+        assert got == {"a": sorted({present[math.ceil(i * len(present) / n) - 1] for i in range(1, n)}), "b": [3.0] * (n > 1), "c": []}
+
+
+def test_sweep_arms(spark):
+    rows = drawn(400, 9)
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "feature double, treatment string, outcome double, i int")
+    arms = {n: F.when(F.col("i") % n == 0, "control").otherwise(F.concat(F.lit("t"), F.col("i") % n)) for n in (2, 4, 8)}
+    got = {r.config: r for r in split_search.sweep_arms(df, "feature", CUTS, arms).collect()}
+    for n in arms:
+        want = searched([(x, f"t{i % n}" if i % n else "control", y) for i, (x, _, y) in enumerate(rows)], CUTS)
+        assert math.isclose(got[n].score, max(w[4] for w in want.values() if w[5]), abs_tol=1e-12)
+
+
+@pytest.mark.parametrize("kind", sinks.FORMATS)
+def test_sinks(spark, tmp_path, kind):
+    rows = spark.createDataFrame([("a,\"b\"\n c", 0.1, None, True), (None, -1e300, 2**60, False)], "name string, score double, n bigint, ok boolean")
+    sinks.write_rows(rows, str(tmp_path / "rows"), kind)
+    if kind != "csv":
+        assert sorted(map(str, sinks.read_rows(spark, str(tmp_path / "rows"), rows.schema, kind).collect())) == sorted(map(str, rows.collect()))
+    plain = rows.withColumn("name", F.lit("x"))
+    sinks.write_rows(plain, str(tmp_path / "plain"), kind)
+    assert sorted(map(str, sinks.read_rows(spark, str(tmp_path / "plain"), plain.schema, kind).collect())) == sorted(map(str, plain.collect()))
+    with pytest.raises(ValueError):
+        sinks.write_rows(rows, str(tmp_path / "other"), "xml")
+
+
+def test_metadata(spark, tmp_path):
+    facts = {"rows": 5, "features": ["a", "b"], "error": 0.01}
+    sinks.write_metadata(spark, facts, str(tmp_path / "run"))
+    assert sinks.read_metadata(spark, str(tmp_path / "run")) == facts
+
+
+def test_parity(spark):
+    a = spark.createDataFrame([(1, [0.1, 0.2]), (2, [0.3, 0.4]), (3, [0.5, 0.6])], "id int, scores array<double>")
+    b = spark.createDataFrame([(1, [0.1, 0.2]), (2, [0.3, 0.5]), (4, [0.5, 0.6])], "id int, scores array<double>")
+    assert checks.parity({"a": a, "b": b, "c": a}, ["id"]).first().asDict() == {"n_rows": 4, "unpaired": 2, "a_b": 1, "a_c": 0}
+
+
 @pytest.mark.parametrize(("arms", "control"), [(["Control", "b"], "Control"), (["1", "0"], "0"), (["b", "a"], "a"), (["control", "Control"], "Control")])
 def test_control(spark, arms, control):
     assert candidates.control_arm(spark.createDataFrame([(a,) for a in arms], "treatment string")).first()[0] == control
@@ -53,23 +147,31 @@ def test_thresholds(spark):
 
 
 @pytest.mark.parametrize("score", [scoring.score_arrow, scoring.score_pandas, scoring.score_native])
-def test_tiny_tree(spark, score):
-    rows = [(0.1, 1.0), (0.9, 3.0), (0.9, 2.0), (math.nan, 3.0), (0.9, None)]
-    df = spark.createDataFrame(rows, "f0 double, f1 double").coalesce(1)
-    assert [r.scores for r in score(df, [TREE], ["f0", "f1"]).collect()] == [[0.1, 0.2, 0.3], [0.4, 0.5, 0.6], [0.7, 0.8, 0.9], [0.1, 0.2, 0.3], [0.7, 0.8, 0.9]]
-    assert score(df.limit(0), [TREE], ["f0", "f1"]).collect() == []
+def test_small_tree(spark, score):
+    rows = [(2.0, 0.0), (2.5, 1.0), (7.0, 0.0), (None, 1.0), (math.nan, 0.0), (3.0, None)]
+    df = spark.createDataFrame(rows, "d0 double, d1 double").coalesce(1)
+    leaf = [1, 3, 4, 1, 1, 4]
+    assert [r.scores for r in score(df, [TREE], ["d0", "d1"]).collect()] == [TREE["leaf_response_rates"][k] for k in leaf]
+    assert score(df.limit(0), [TREE], ["d0", "d1"]).collect() == []
+    two = TREE | {"leaf_response_rates": [[2 * x for x in r] for r in TREE["leaf_response_rates"]]}
+    assert [r.scores for r in score(df, [TREE, two], ["d0", "d1"]).collect()] == [[(x + 2 * x) / 2 for x in TREE["leaf_response_rates"][k]] for k in leaf]
+
+
+def test_large_forests_are_not_native(spark):
+    with pytest.raises(ValueError, match="score_arrow"):
+        scoring.score_native(spark.createDataFrame([(0.0,)], "f0 double"), synthetic.forest(7, 2, 5, n_features=1), ["f0"])
 
 
 def test_paths_agree(spark, tmp_path):
     synthetic.features(spark, 2000, 8, 0.2, partitions=4).write.parquet(str(tmp_path / "x"))
     df, trees, names = spark.read.parquet(str(tmp_path / "x")), synthetic.forest(4, 4, 5, n_features=8), [f"f{i}" for i in range(8)]
-    both = scoring.score_pandas(scoring.score_arrow(df, trees, names, "a"), trees, names, "b")
-    assert tuple(checks.mismatches(both, "a", "b", 1e-12).first()) == (2000, 0)
+    both = scoring.score_native(scoring.score_pandas(scoring.score_arrow(df, trees, names, "a"), trees, names, "b"), trees, names, "c")
+    assert tuple(checks.mismatches(both, "a", "b", 1e-12).first()) == tuple(checks.mismatches(both, "a", "c", 1e-12).first()) == (2000, 0)
     assert checks.contract(both, "a", 4).first()[0] == 0
 
 
 def test_validation(spark):
-    for change in ({"left_child": [9, 0, 3, 0, 0]}, {"left_child": [0, 0, 3, 0, 0]}, {"node_type": [7, 0, 2, 0, 0]}, {"feature_idx": [5, 0, 1, 0, 0]}, {"thresholds": [0.5]}):
+    for change in ({"left_child": [9, 1, 3, 3, 4]}, {"left_child": [0, 1, 3, 3, 4]}, {"node_type": [7, 0, 2, 0, 0]}, {"feature_idx": [5, 0, 1, 0, 0]}, {"thresholds": [0.5]}):
         with pytest.raises(ValueError):
             forest.validate([TREE | change], 2)
     with pytest.raises(ValueError):
@@ -83,8 +185,12 @@ def test_synthetic(spark):
     assert synthetic.three_arms(spark, 50, 0.2, 0.2).count() == 50
     tree = synthetic.forest(3, 2, 2, missing_routing="left")[0]
     assert len(tree["node_type"]) == 15 and np.all(tree["nan_goes_left"])
+    inner = tree["node_type"] != 0
+    assert inner.sum() == 7 and not tree["leaf_response_rates"][inner].any() and set(tree["node_type"][inner]) == {1, 2}
+    arms = {r.treatment: r["count"] / 4000 for r in synthetic.three_arms(spark, 4000).groupBy("treatment").count().collect()}
+    assert all(abs(arms[a] - share) < 0.05 for a, share in synthetic.SHARES.items())
 
 
 def test_sql_path_has_no_python(spark):
-    plan = candidates.score(prefix(spark, TINY))._jdf.queryExecution().executedPlan().toString()
+    plan = candidates.score(prefix(spark, drawn(9, 2)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
