@@ -58,11 +58,18 @@ def _scan(id_col: str, text_col: str):
                 spans.append([{"start": a, "rank": k, "end": b, "hash": int.from_bytes(hashlib.blake2b(v.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)} for a, k, b, v in found])
                 digests.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in found if k < 3).encode()).hexdigest())
             kind = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("end", pa.int32()), ("hash", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("__source"), pa.array(spans, kind), pa.array(digests, pa.string())], names=["id", "source", "found", "base_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(id_col), batch.column("__source"), pa.array(spans, kind), pa.array(digests, pa.string())],
+                names=["id", "source", "found", "base_sha256"],
+            )
 
     return run
 
 
+#: A value is heavy if it has more than one in so many of all spans.
+HEAVY = 1000
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_examples.
 
@@ -74,14 +81,21 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(id_col, text_col, F.col(source_col).cast("string").alias("__source"))
     rows = rows.mapInArrow(_scan(id_col, text_col), f"id {kind}, source string, found {_SPAN}, base_sha256 string")
-    rows = C.written(rows, "secrets").withColumn("row", F.monotonically_increasing_id())
+    rows = C.written(rows.withColumn("row", F.monotonically_increasing_id()), "secrets")
     owner = F.coalesce(F.substring_index("source", "/", 1), F.lit(""))
-    each = rows.select("row", owner.alias("owner"), F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("repository"), F.explode("found").alias("s"))
+    repository = [owner.alias("owner"), F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("repository")]
+    each = rows.select("row", *repository, F.explode("found").alias("s"))
     each = each.select("row", "owner", "none", "repository", F.col("s.start").alias("start"), F.col("s.rank").alias("rank"), F.col("s.end").alias("end"), F.col("s.hash").alias("hash"))
     # Distinct first, with partial aggregation, so that a value in very many documents shrinks to its owners.
-    pairs = each.select("hash", "owner", "none", "repository").distinct().groupBy("hash", "owner", "none").agg(F.count(F.lit(1)).alias("repositories"))
-    owners = pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
-    judged = each.join(owners, "hash").where("rank < 3 or owners = 1")
+    pairs = each.groupBy("hash", "owner", "none", "repository").agg(F.count(F.lit(1)).alias("spans"))
+    pairs = pairs.groupBy("hash", "owner", "none").agg(F.count(F.lit(1)).alias("repositories"), F.sum("spans").alias("spans"))
+    owners = pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("spans").alias("spans"))
+    owners = C.written(owners, "owners")
+    # A heavy value's spans stay where they are: such values are fewer than HEAVY, and broadcast.
+    all_spans = owners.agg(F.coalesce(F.sum("spans"), F.lit(0))).first()[0]
+    heavy = F.broadcast(owners.where(F.col("spans") > all_spans // HEAVY).drop("spans"))
+    light = each.join(heavy.select("hash"), "hash", "left_anti").join(owners.drop("spans"), "hash")
+    judged = each.join(heavy, "hash").unionByName(light).where("rank < 3 or owners = 1")
     spans = judged.groupBy("row").agg(
         F.sort_array(F.collect_list(F.struct("start", "rank", "end"))).alias("all"),
         F.count_if(F.col("owners") == 1).alias("n_live"),

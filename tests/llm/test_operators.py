@@ -292,6 +292,23 @@ def test_exact_dedup(spark):
     assert got == sorted(want, key=str)
 
 
+def test_exact_dedup_filters(spark, monkeypatch):
+    """Crowded, dealt and broadcast filters, and heavy and light groups, give the same groups."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["", "hot", "h o t", f"t{rng.randrange(40)}", f"u{i}"])) for i in range(600)]
+    docs, want = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7), {}
+    for i, t in rows:
+        want.setdefault(t.replace(" ", ""), []).append((-len(t), i))
+    want = {i: (min(g)[1], len(g), min(g)[1] == i) for g in want.values() for _, i in g}
+    for changes in ({}, {"LEAST_SLOTS": 2, "SLOTS": 1, "BLOCK": 1, "MOST_BLOCKS": 0}, {"HEAVY": 5}, {"HEAVY": 1, "BLOCK": 2}):
+        for name, value in changes.items():
+            monkeypatch.setattr(exact_dedup, name, value)
+        assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs).collect()} == want
+    twice = docs.union(docs).union(spark.createDataFrame([(None, "hot"), (None, "only")], docs.schema))
+    left = sorted(r.text.replace(" ", "") for r in exact_dedup.drop_copies(twice).collect())
+    assert left == sorted({*(t.replace(" ", "") for _, t in rows), "only"})
+
+
 def test_class_lm(docs):
     counts, texts = collections.Counter(), {i: [*words(t, True), b"\n"] for i, t, *_ in corpus()}
     for i, w in texts.items():
