@@ -12,7 +12,10 @@ Parquet table (so that any store that Spark writes to will do, with Spark's comm
     n bigint, docs array<bigint>, lens array<bigint>   ids, documents, ids of each document
     levels array<struct<chunks binary, more binary, ranks array<int>>>
 
-Shards are in ascending order of id, segments in ascending order in a shard.
+Shards are in ascending order of id, segments in ascending order in a shard. The first columns are the
+index: they alone are read to find the segment of a token. A segment's codes are one cell in a page of its
+own, neither compressed nor encoded; in it, chunks, bitmap and ranks lead to the token, and nothing else of
+the segment is decoded.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 from armwise.llm import common as C
 
 CHUNK, STRIDE = 8, 512
-#: Ids in a segment at least, but for the last of a shard.
-SEGMENT = 1 << 19
+#: Ids in a segment at least, but for the last of a shard; bytes of a page, so that a segment fills one.
+SEGMENT, PAGE = 1 << 16, 1 << 16
 #: Bytes of text that a task encodes at once.
 HELD = 2 << 20
 #: Pieces of text that a worker remembers.
@@ -197,14 +200,23 @@ def _segments(path: str, end_id: int, id_col: str, text_col: str):
         encoder, shard = _encoder(path), TaskContext.get().partitionId()
         docs, lens, parts, total, base, segment = [], [], [], 0, 0, 0
 
-        def flush():
+        def flushed(least: int):
+            """Segments of ``least`` ids or more from what is held; the rest stays."""
             nonlocal docs, lens, parts, total, base, segment
-            ids = np.concatenate(parts)
-            row = {"shard": shard, "segment": segment, "base": base, "n": len(ids), "docs": docs, "lens": lens, "levels": encode_levels(ids)}
-            base, segment = base + len(ids), segment + 1
-            docs, lens, parts, total = [], [], [], 0
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(_LEVEL)]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
+            if total < least:
+                return
+            ids, ends = np.concatenate(parts), np.cumsum(lens)
+            done = start = 0
+            while total - start >= least:
+                upto = min(int(np.searchsorted(ends, start + SEGMENT)) + 1, len(docs))
+                stop = int(ends[upto - 1])
+                row = [shard, segment, base, stop - start, docs[done:upto], lens[done:upto], encode_levels(ids[start:stop])]
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(_LEVEL)]
+                base, segment = base + stop - start, segment + 1
+                done, start = upto, stop
+                names = ["shard", "segment", "base", "n", "docs", "lens", "levels"]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+            docs, lens, parts, total = docs[done:], lens[done:], [ids[start:]], total - start
 
         for ids, texts in C.text_chunks(batches, [id_col, text_col], text_col, HELD):
             found, n = encoder.encode(texts)
@@ -212,10 +224,8 @@ def _segments(path: str, end_id: int, id_col: str, text_col: str):
             lens += (n + 1).tolist()
             parts.append(np.insert(found, np.cumsum(n), end_id))
             total += len(parts[-1])
-            if total >= SEGMENT:
-                yield flush()
-        if docs:
-            yield flush()
+            yield from flushed(SEGMENT)
+        yield from flushed(1)
 
     return run
 
@@ -230,27 +240,73 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_co
     tie = F.xxhash64(text_col)
     rows = docs.select(id_col, text_col, tie.alias("__tie")).repartitionByRange(n, F.col(id_col).asc_nulls_first(), "__tie")
     rows = rows.sortWithinPartitions(F.col(id_col).asc_nulls_first(), "__tie").select(F.col(id_col).cast("bigint").alias(id_col), text_col)
-    rows.mapInArrow(_segments(tokenizer, end_id, id_col, text_col), _SEGMENTS).write.parquet(path)
+    coded = rows.mapInArrow(_segments(tokenizer, end_id, id_col, text_col), _SEGMENTS)
+    plain = {"compression": "none", "parquet.page.size": str(PAGE), "parquet.enable.dictionary": "false"}
+    coded.write.options(**plain).parquet(path)
 
 
 def _documents(batches):
     for batch in batches:
         for row in batch.to_pylist():
-            ids = decode_levels(row["levels"], row["n"]).astype("<u4")
+            levels = row["levels"]
+            ids = decode_levels(levels, row["n"]).astype("<u4")
             lens = np.array(row["lens"], np.int64)
-            ends = np.cumsum(lens)
+            starts = np.cumsum(lens) - lens
+            heads = [access(levels, i) for i in starts.tolist()]
+            if (ids[starts] != heads).any():
+                raise ValueError(f"ranks of shard {row['shard']}, segment {row['segment']} do not lead to its ids")
             data = memoryview(ids.tobytes())
-            crc = [zlib.crc32(data[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), lens.tolist(), strict=True)]
+            crc = [zlib.crc32(data[4 * a : 4 * (a + k)]) for a, k in zip(starts.tolist(), lens.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row["docs"], pa.int64()), pa.array(row["first"] + ends - lens, pa.int64()), pa.array(lens, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
+                [pa.array(row["docs"], pa.int64()), pa.array(row["first"] + starts, pa.int64()), pa.array(lens), pa.array(crc, pa.int64()), pa.array(heads, pa.int64())],
+                names=["doc_id", "start", "n_tokens", "ids_crc32", "first_id"],
             )
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from the files at ``path``."""
+def segments(spark: SparkSession, path: str) -> DataFrame:
+    """The segments, with ``first``: the ids of all segments before."""
     table = spark.read.schema(_SEGMENTS).parquet(path)
     shards = table.groupBy("shard").agg(F.sum("n").alias("ids"))  # one row per task that wrote
-    first = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = shards.withColumn("before", first).drop("ids")
-    rows = table.join(F.broadcast(starts), "shard").withColumn("first", F.col("before") + F.col("base"))
-    return rows.select("docs", "lens", "levels", "n", "first").mapInArrow(_documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    before = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = shards.withColumn("before", before).drop("ids")
+    return table.join(F.broadcast(starts), "shard").withColumn("first", F.col("before") + F.col("base")).drop("before")
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, first_id) of each document, decoded from the files at ``path``.
+
+    Each document's first id is also read by its place, through the ranks, and must be the decoded one.
+    """
+    rows = segments(spark, path).select("shard", "segment", "docs", "lens", "levels", "n", "first")
+    return rows.mapInArrow(_documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, first_id bigint")
+
+
+def read_token(spark: SparkSession, path: str, i: int) -> int:
+    """The id at place ``i`` of all ids: from the index, then one segment's codes by their ranks; IndexError beyond."""
+    at = segments(spark, path).where(F.lit(i).between(F.col("first"), F.col("first") + F.col("n") - 1)).select("shard", "segment", "first").first()
+    if at is None:
+        raise IndexError(i)
+    row = spark.read.schema(_SEGMENTS).parquet(path).where(f"shard = {at.shard} and segment = {at.segment}").select("levels").first()
+    return access([level.asDict() for level in row.levels], i - at.first)
+
+
+def _accessed(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            found = [access(row["levels"], i - row["first"]) for i in row["at"]]
+            yield pa.RecordBatch.from_arrays([pa.array(row["at"], pa.int64()), pa.array(found, pa.int64())], names=["at", "id"])
+
+
+def read_tokens(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
+    """(at, id) for the distinct places in the one column of ``places``; places beyond the ids give no row.
+
+    Places meet the index by ranges of SEGMENT ids, and only the segments that they lie in are read.
+    """
+    index = segments(spark, path).select("shard", "segment", "first", "n")
+    cell = lambda x: F.floor(x / SEGMENT)
+    cells = index.withColumn("cell", F.explode(F.sequence(cell(F.col("first")), cell(F.col("first") + F.col("n") - 1))))
+    asked = places.select(F.col(places.columns[0]).cast("bigint").alias("at")).distinct().withColumn("cell", cell(F.col("at")))
+    met = asked.join(cells, "cell").where("at >= first and at < first + n")
+    lists = met.groupBy("shard", "segment", "first").agg(F.collect_list("at").alias("at"))  # no more than a segment has ids
+    rows = lists.join(spark.read.schema(_SEGMENTS).parquet(path).select("shard", "segment", "levels"), ["shard", "segment"])
+    return rows.select("at", "first", "levels").mapInArrow(_accessed, "at bigint, id bigint")

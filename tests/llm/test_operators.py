@@ -167,6 +167,24 @@ def test_token_output(spark, docs, tmp_path):
         start += len(ids)
 
 
+def test_random_access(spark, docs, tmp_path, monkeypatch):
+    """Tokens read by their place, one and many, are those of the encoded texts; segments are small here."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "SEGMENT", 1 << 9)  # for read_tokens; tasks hold texts of more ids than this
+    tokenizer, path, ids = Tokenizer.from_file(byte_bpe()), str(tmp_path / "ids"), []
+    token_output.write_ids(docs, path, byte_bpe())
+    for _, text, *_ in corpus():
+        ids += [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+    places = random.Random(3).sample(range(len(ids)), 300) + [0, len(ids) - 1, len(ids), -1]
+    asked = spark.createDataFrame([(p,) for p in places], "at int")
+    assert {(r.at, r.id) for r in token_output.read_tokens(spark, path, asked).collect()} == {(p, ids[p]) for p in places if 0 <= p < len(ids)}
+    assert [token_output.read_token(spark, path, p) for p in places[:4]] == [ids[p] for p in places[:4]]
+    with pytest.raises(IndexError):
+        token_output.read_token(spark, path, len(ids))
+    assert token_output.read_tokens(spark, path, asked.limit(0)).count() == 0
+
+
 def test_codes():
     ids = np.random.default_rng(1).choice([0, 5, 255, 256, 65_535, 65_536, 1 << 30], 3000).astype(np.uint32)
     levels = token_output.encode_levels(ids)
