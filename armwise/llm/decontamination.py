@@ -1,13 +1,17 @@
 """Benchmark decontamination with spaced seeds, in DataFrame operations only.
 
 A seed is the hash of the words that a fixed mask selects from a window; the words at its other places
-may differ. Seeds of the benchmark, an input of bounded size, set the bits of a Bloom filter of fixed
-size. Each document tests its own seeds against it, so only the few that may match leave the row, each
-with the words around it; these join the benchmark's seeds, and the aligned words around a hit decide.
+may differ. Seeds of the benchmark set the bits of a Bloom filter that is sized by their number. Each
+document tests its own seeds against it, so only the few that may match leave the row, each with the words
+around it; these join the benchmark's seeds, and the aligned words around a hit decide.
 
-Whatever agrees enough is seeded: 10 to 25 aligned words of which 80 % or more agree hold four words in
-a row that agree or, where replacements leave three at most, the second mask; longer passages have a
-part of 13 to 25 words that agrees as much, and REACH words around a seed of it hold that part.
+Whatever agrees enough is seeded: 10 to MOST aligned words of which 80 % or more agree hold four words in
+a row that agree or, where replacements leave three at most, the second mask; longer passages have a part
+of LEAST to MOST words that agrees as much. REACH words around a seed hold all windows of MOST words with it.
+
+The benchmark is the small side: up to BROADCAST_SEEDS seeds are counted and broadcast, so that documents
+never shuffle, however many share a passage. Beyond that the hits join by a shuffle, which Spark splits at
+hot seeds; beyond FILTER_SEEDS no filter is made and all seeds of the documents take the join.
 """
 
 from __future__ import annotations
@@ -17,130 +21,120 @@ from pyspark.sql import functions as F
 
 from armwise.llm import common as C
 
-# The masks whose windows are compared in a frame, of eight and nine places that count.
-MASKS = ("1110110111", "110101100111001")
-#: Words on either side of these windows that are compared.
-AROUND = 8
-#: The masks of the seeds. The second lies in both MASKS, at the places LEADS.
-SEEDS, LEADS = ("1111", "111001"), (0, 9)
-#: Words on either side of a seed in which spans are sought.
-REACH = 21
-#: Share of aligned words that must agree, in per cent, and how many words must be compared at least,
-#: but for shorter items.
-AGREE, LEAST = 80, 13
-#: Longs in the Bloom filter: 64 KB, whatever the benchmark's size.
-FILTER_WORDS = 1 << 13
-PUNCTUATION = ".,;:!?\"'()[]{}<>|*_#-`~"
+# The masks of the seeds.
+SEEDS = ("1111", "111001")
+#: Share of aligned words that must agree, in per cent; how many words are compared at least, but for shorter
+#: items, and at most.
+AGREE, LEAST, MOST = 80, 13, 25
+#: Words on either side of a seed in which windows are sought.
+REACH = MOST - 4
+#: Words below which an item is matched only whole and exactly.
+EXACT = 10
+#: Bits of the filter for each seed; seeds up to which a filter is made (256 KB), and up to which they are broadcast.
+BITS, FILTER_SEEDS, BROADCAST_SEEDS = 16, 1 << 17, 1 << 20
+#: Words are runs of other characters than these, in lower case.
+SEPARATORS = r"\x20\x09-\x0D.,;:!?\"'()\[\]{}<>|*_#`~-"
 
 
 def word_hashes(text: str) -> Column:
-    """Hashes of a text's words: lower case, without punctuation."""
-    plain = F.translate(F.lower(F.coalesce(F.col(text), F.lit(""))), PUNCTUATION, "")
-    return F.transform(C.words_of(plain), lambda w: F.xxhash64(w))
+    """Hashes of a text's words: lower case, without punctuation. Null and blank texts have none."""
+    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), f"[{SEPARATORS}]+")
+    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def _seeds(words: str, mask: str) -> Column:
-    """Seeds at all places of a mask; empty for shorter texts."""
-    places, last = [k for k, c in enumerate(mask) if c == "1"], len(mask) - 1
-    at = F.when(F.size(words) > last, F.sequence(F.lit(0), F.size(words) - len(mask)))
-    return F.coalesce(F.transform(at, lambda i: F.xxhash64(*[F.get(F.col(words), i + k) for k in places])), F.array().cast("array<bigint>"))
-
-
-def _spots(seed: Column) -> tuple[Column, Column]:
-    """The two bits of a seed."""
-    return F.pmod(seed, F.lit(FILTER_WORDS * 64)), F.pmod(F.shiftright(seed, 32), F.lit(FILTER_WORDS * 64))
+    """Seeds at all places of a mask; empty for shorter texts. Runs of equal places are hashed pairwise."""
+    places, whole, n = [k for k, c in enumerate(mask) if c == "1"], F.col(words), F.size(words)
+    shifted = lambda a, k: F.slice(a, k + 1, F.greatest(n - len(mask) + 1, F.lit(0))) if k else F.slice(a, 1, F.greatest(n - len(mask) + 1, F.lit(0)))
+    out = F.transform(shifted(whole, 0), lambda x: F.xxhash64(x)) if len(places) == 1 else shifted(whole, places[0])
+    for k in places[1:]:
+        out = F.zip_with(out, shifted(whole, k), lambda x, y: F.xxhash64(x, y))
+    return out
 
 
 def _ones(same: Column) -> Column:
     return F.aggregate(same, F.lit(0), lambda a, x: a + x)
 
 
-def _enough(agreeing: Column, compared: Column) -> Column:
-    return (100 * agreeing >= AGREE * compared) & (compared >= F.least(F.lit(LEAST), F.col("length")))
+def _span() -> Column:
+    """The best window of the compared words, (agreeing, -compared); null if none agrees enough."""
+    least = F.least(F.lit(LEAST), F.col("length"))
+    sums = F.aggregate("same", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
 
+    def window(upto: Column, i: Column, j: Column) -> Column:
+        agreeing, compared = F.get(upto, j) - F.get(upto, i), j - i
+        enough = F.when(F.col("length") < EXACT, agreeing == compared).otherwise(100 * agreeing >= AGREE * compared)
+        return F.when(enough, F.struct(agreeing.alias("agreeing"), (-compared).alias("c")))
 
-def _match(agreeing: Column, compared: Column) -> Column:
-    """A match, of greater value if better; null if too little agrees."""
-    return F.when(_enough(agreeing, compared), F.struct(agreeing.alias("agreeing"), (-compared).alias("c")))
+    ends = lambda i: F.sequence(i + least, F.least(i + MOST, F.size("same")))
+    windows = lambda upto, i: F.array_max(F.transform(ends(i), lambda j: window(upto, i, j)))
+    best = lambda upto: F.array_max(F.transform(F.sequence(F.lit(0), F.size("same") - least), lambda i: windows(upto, i)))
+    return F.get(F.transform(F.array(sums), best), 0)  # the sums are made once a row
 
 
-def _frame(mask: str, lead: int) -> Column:
-    """The match of the frame around a window of ``mask`` that starts ``lead`` words before the seed."""
-    start = F.col("lead") - lead
-    holds = start >= 0
-    for k in (k for k, c in enumerate(mask) if c == "1"):
-        holds = holds & (F.coalesce(F.get("same", start + k), F.lit(0)) == 1)
-    before = F.least(start, F.lit(AROUND))
-    frame = F.slice("same", F.greatest(start - before, F.lit(0)) + 1, F.greatest(before, F.lit(0)) + len(mask) + AROUND)
-    return F.when(holds, _match(_ones(frame), F.size(frame)))
+def _bits(seeds: DataFrame, longs: int) -> Column:
+    """The filter: an array of so many longs, as a scalar."""
+    spots = seeds.select(F.pmod("seed", F.lit(longs * 64)).alias("spot"))
+    bit = F.expr("shiftleft(1L, cast(spot & 63 as int))").alias("bit")
+    bits = spots.select(F.shiftright("spot", 6).cast("int").alias("word"), bit).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    every = seeds.sparkSession.range(longs).select(F.col("id").cast("int").alias("word")).join(bits, "word", "left")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"])
+    return every.agg(ordered.alias("bits")).scalar()
 
 
-def _span() -> Column:
-    """The best match of all spans of the compared words."""
-    least = F.least(F.lit(LEAST), F.col("length"))
-    sums = F.aggregate("same", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    ends = lambda i: F.sequence(i + least, F.size("same"))
-    spans = lambda upto, i: F.array_max(F.transform(ends(i), lambda j: _match(F.get(upto, j) - F.get(upto, i), j - i)))
-    best = lambda upto: F.array_max(F.transform(F.sequence(F.lit(0), F.size("same") - least), lambda i: spans(upto, i)))
-    return F.get(F.transform(F.array(sums), best), 0)  # the sums are made once a row
+def _may(seed: Column, longs: int) -> Column:
+    """Whether a seed is in the filter of the column ``seen``."""
+    spot = F.pmod(seed, F.lit(longs * 64))
+    return F.getbit(F.get("seen", F.shiftright(spot, 6).cast("int")), spot.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, compared, agreeing): documents that contain a passage of a benchmark item, and the best match.
 
-    A passage is LEAST or more consecutive words of an item, or the whole item, of which at least AGREE per
-    cent agree with the words at the same places of a stretch of the document: words are replaced, not
-    inserted or left out. All passages are found. The best match is that of the words from AROUND before to
-    AROUND after a window of MASKS that agrees, where these reach AGREE together, and otherwise the best
-    span around a seed. Items shorter than the shortest of MASKS are too short to tell from chance and never
-    match. Null texts have no words; null ids are kept and match like others; rows that repeat an id count
-    as one; other columns are not read; empty tables give an empty result.
+    A passage is LEAST or more consecutive words of an item, or a whole shorter item, of which at least AGREE
+    per cent agree with the words at the same places of a stretch of the document: words are replaced, not
+    inserted or left out. Items of fewer than EXACT words must be there whole and unchanged; items without
+    words match nothing. All passages are found. The best match is, of all windows of LEAST to MOST aligned
+    words (shorter items: of the item) that agree enough, the one with most agreeing words, then the shortest.
+    Null texts have no words; null ids are kept and match like others; rows that repeat an id count as one;
+    other columns are not read; empty tables give an empty result.
     """
-    spark = docs.sparkSession
-    items = C.written(benchmark.select(F.col(item_col).alias("item"), word_hashes(item_text).alias("words")).where(f"size(words) >= {min(map(len, MASKS))}"), "items")
-    places = [items.select("item", "words", F.lit(m).alias("mask"), F.posexplode(_seeds("words", mask)).alias("q", "seed")) for m, mask in enumerate(SEEDS)]
-    seeds = C.written(places[0].unionByName(places[1]), "seeds")
-
-    # The filter: one array of FILTER_WORDS longs, as a scalar.
-    spots = seeds.select(F.explode(F.array(*_spots(F.col("seed")))).alias("spot"))
-    bits = spots.select(F.shiftright("spot", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(spot & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    every = spark.range(FILTER_WORDS).select(F.col("id").cast("int").alias("word")).join(bits, "word", "left")
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"])
-    seen = every.agg(ordered.alias("bits")).scalar()
+    items = C.written(benchmark.select(F.col(item_col).alias("item"), word_hashes(item_text).alias("words")).where("size(words) > 0"), "items")
+    short = {r.n for r in items.select(F.size("words").alias("n")).where(f"n < {len(SEEDS[0])}").distinct().collect()}  # three numbers at most
+    masks = [*SEEDS, *("1" * n for n in sorted(short))]
+    seeds = None
+    for m, mask in enumerate(masks):
+        some = items.where(f"size(words) {'=' if m >= len(SEEDS) else '>='} {len(mask)}")
+        part = some.select("item", "words", F.lit(m).alias("mask"), F.posexplode(_seeds("words", mask)).alias("q", "seed"))
+        seeds = part if seeds is None else seeds.unionByName(part)
+    seeds = C.written(seeds, "seeds")
+    n_seeds = seeds.count()
+    longs = 1 << max(6, (BITS * n_seeds // 64).bit_length())
+    may = (lambda seed: _may(seed, longs)) if n_seeds <= FILTER_SEEDS else (lambda seed: F.lit(True))
+    seen = _bits(seeds, longs) if n_seeds <= FILTER_SEEDS else F.lit(None)
 
-    def may(seed: Column) -> Column:
-        first, second = (F.getbit(F.get(F.col("seen"), F.shiftright(spot, 6).cast("int")), spot.bitwiseAND(F.lit(63)).cast("int")) == 1 for spot in _spots(seed))
-        return first & second
+    text = docs.select(F.col(id_col).alias("id"), word_hashes(text_col).alias("words"), seen.alias("seen"))
+    before = lambda p: F.least(p, F.lit(REACH))
 
-    def around(m: int, mask: str):
-        before = lambda x: F.least(x["p"], F.lit(REACH))
-        near = lambda x: F.slice(F.col("words"), x["p"] - before(x) + 1, before(x) + len(mask) + REACH)
-        return lambda x: F.struct(F.lit(m).alias("mask"), x["seed"].alias("seed"), before(x).alias("before"), near(x).alias("near"))
+    def hits_of(m: int, mask: str) -> Column:
+        near = lambda p: F.slice("words", p - before(p) + 1, before(p) + len(mask) + REACH)
+        found = F.transform(_seeds("words", mask), lambda s, i: F.when(may(s), F.struct(s.alias("seed"), i.alias("p"))))
+        found = F.filter(found, lambda x: x.isNotNull())
+        around = lambda x: [before(x["p"]).alias("before"), near(x["p"]).alias("near")]
+        return F.transform(found, lambda x: F.struct(F.lit(m).alias("mask"), x["seed"].alias("seed"), *around(x)))
 
-    text = docs.select(F.col(id_col).alias("id"), word_hashes(text_col).alias("words"), seen.alias("seen"))
-    hits = []
-    for m, mask in enumerate(SEEDS):
-        found = F.filter(F.transform(_seeds("words", mask), lambda s, i: F.struct(s.alias("seed"), i.alias("p"))), lambda x: may(x["seed"]))
-        hits.append(F.transform(found, around(m, mask)))
+    hits = [hits_of(m, mask) for m, mask in enumerate(masks)]
     rows = text.select("id", F.explode(F.concat(*hits)).alias("h")).select("id", "h.*")
-    met = rows.join(seeds, ["mask", "seed"])
+    met = rows.join(F.broadcast(seeds) if n_seeds <= BROADCAST_SEEDS else seeds, ["mask", "seed"])
     lead = F.least("before", "q")
-    span = F.element_at(F.array(*[F.lit(len(m)) for m in SEEDS]), F.col("mask") + 1)
+    span = F.element_at(F.array(*[F.lit(len(m)) for m in masks]), F.col("mask") + 1)
     ours = F.slice("near", F.col("before") - lead + 1, lead + span + REACH)
     theirs = F.slice("words", F.col("q") - lead + 1, lead + span + REACH)
     same = F.zip_with(ours, theirs, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.when(a == b, 1).otherwise(0)))
-    met = met.select("id", "item", "mask", lead.alias("lead"), F.size("words").alias("length"), F.filter(same, lambda x: x.isNotNull()).alias("same"))
+    met = met.select("id", "item", F.size("words").alias("length"), F.filter(same, lambda x: x.isNotNull()).alias("same"))
     least = F.least(F.lit(LEAST), F.col("length"))
-    met = C.written(met, "hits").where((F.size("same") >= least) & (100 * _ones(F.col("same")) >= AGREE * least))
-
-    def strongest(hits: DataFrame, match: Column) -> DataFrame:
-        return hits.select("id", "item", match.alias("match")).where("match is not null").groupBy("id", "item").agg(F.max("match").alias("best"))
-
-    frames = F.array_max(F.array(*[_frame(mask, at) for mask, at in zip(MASKS, LEADS, strict=True)]))
-    framed = C.written(strongest(met.where("mask = 1"), frames), "framed")
-    known = framed.select(F.col("id").alias("__id"), F.col("item").alias("__item"))
-    rest = met.join(known, F.col("id").eqNullSafe(F.col("__id")) & F.col("item").eqNullSafe(F.col("__item")), "left_anti")
-    best = framed.unionByName(strongest(rest, _span()))
+    met = C.written(met.where((F.size("same") >= least) & (100 * _ones(F.col("same")) >= AGREE * least)).distinct(), "hits")
+    best = met.select("id", "item", _span().alias("match")).where("match is not null").groupBy("id", "item").agg(F.max("match").alias("best"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("best.c")).cast("bigint").alias("compared"), F.col("best.agreeing").cast("bigint").alias("agreeing"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from armwise.llm.decontamination import AGREE, AROUND, LEAST, MASKS, PUNCTUATION
+from armwise.llm.decontamination import AGREE, EXACT, LEAST, MOST, SEPARATORS
 from armwise.llm.secret_scan import EXAMPLE_OWNERS
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -100,44 +100,40 @@ _JACCARD_JOIN = rf"""
 """
 
 
-def _seeds(table: str) -> str:
-    """Rows (id, mask, span, pos, seed) of all places of all masks in the words of ``table``."""
-    parts = []
-    for m, mask in enumerate(MASKS):
-        chosen = ", ".join(f"words[pos + {k + 1}]" for k, c in enumerate(mask) if c == "1")
-        pos = f"unnest(range(0, len(words) - {len(mask) - 1}))"
-        parts.append(f"SELECT id, {m} AS mask, {len(mask)} AS span, pos, concat_ws(' ', {chosen}) AS seed FROM (SELECT id, words, {pos} AS pos FROM {table})")
-    return " UNION ALL ".join(parts)
-
-
-_PLAIN = "translate(lower(coalesce(text, '')), '{}', '')".format(PUNCTUATION.replace("'", "''"))
+_PLAIN_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[^{}]+')".format(SEPARATORS.replace("'", "''").replace('\\"', '"'))
 
+# Without seeds: all alignments in which enough words agree, and all windows in them.
 _DECONTAMINATION = rf"""
-    WITH d AS MATERIALIZED (SELECT doc_id AS id, regexp_extract_all({_PLAIN}, '{_WORD}') AS words FROM documents),
+    WITH d AS MATERIALIZED (SELECT doc_id, {_PLAIN_WORDS} AS ours FROM documents),
     b AS MATERIALIZED (
-        SELECT item_id AS id, words FROM (SELECT item_id, regexp_extract_all({_PLAIN}, '{_WORD}') AS words FROM benchmark)
-        WHERE len(words) >= {min(map(len, MASKS))}
-    ),
-    ds AS ({_seeds("d")}),
-    bs AS ({_seeds("b")}),
-    h AS (
-        SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.pos AS p, bs.pos AS q, ds.span AS span, least(ds.pos, bs.pos, {AROUND}) AS lead
-        FROM ds JOIN bs USING (mask, seed)
+        SELECT item_id, theirs, len(theirs) AS length, least({LEAST}, len(theirs)) AS least
+        FROM (SELECT item_id, {_PLAIN_WORDS} AS theirs FROM benchmark) WHERE len(theirs) > 0
     ),
+    dw AS (SELECT doc_id, unnest(ours) AS word, unnest(range(1, len(ours) + 1)) AS p FROM d),
+    bw AS (SELECT item_id, unnest(theirs) AS word, unnest(range(1, len(theirs) + 1)) AS q FROM b),
     a AS (
-        SELECT h.*, d.words AS ours, b.words AS theirs,
-            least(len(d.words) - p + lead, len(b.words) - q + lead, lead + span + {AROUND}) AS compared
-        FROM h JOIN d ON d.id = doc_id JOIN b ON b.id = item_id
+        SELECT doc_id, item_id, p - q AS shift FROM dw JOIN bw USING (word) JOIN b USING (item_id)
+        GROUP BY doc_id, item_id, shift HAVING 100 * count(*) >= {AGREE} * any_value(least)
+    ),
+    k AS (
+        SELECT doc_id, item_id, shift, length, least, ours, theirs,
+            unnest(range(greatest(1, 1 - shift), least(length, len(ours) - shift) + 1)) AS q
+        FROM a JOIN d USING (doc_id) JOIN b USING (item_id)
+    ),
+    s AS (
+        SELECT doc_id, item_id, shift, q, length, least,
+            sum((ours[q + shift] = theirs[q])::INTEGER) OVER (PARTITION BY doc_id, item_id, shift ORDER BY q) AS upto,
+            (ours[q + shift] = theirs[q])::INTEGER AS same
+        FROM k
     ),
-    k AS (SELECT *, unnest(range(1, compared + 1)) AS k FROM a),
-    c AS (
-        SELECT doc_id, item_id, p, q, span, compared, len(any_value(theirs)) AS length,
-            count(*) FILTER (ours[p - lead + k] = theirs[q - lead + k]) AS agreeing
-        FROM k GROUP BY doc_id, item_id, p, q, span, compared
+    v AS (
+        SELECT x.doc_id, x.item_id, y.q - x.q + 1 AS compared, y.upto - x.upto + x.same AS agreeing
+        FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.item_id = y.item_id AND x.shift = y.shift
+            AND y.q BETWEEN x.q + x.least - 1 AND x.q + {MOST} - 1
+        WHERE 100 * (y.upto - x.upto + x.same) >= (CASE WHEN x.length < {EXACT} THEN 100 ELSE {AGREE} END) * (y.q - x.q + 1)
     ),
-    v AS (SELECT * FROM c WHERE 100 * agreeing >= {AGREE} * compared AND compared >= least({LEAST}, length)),
     o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY agreeing DESC, compared) AS place FROM v)
-    SELECT doc_id, item_id, compared::BIGINT AS compared, agreeing FROM o WHERE place = 1
+    SELECT doc_id, item_id, compared::BIGINT AS compared, agreeing::BIGINT AS agreeing FROM o WHERE place = 1
 """
 
 _EXACT_DEDUP = r"""
