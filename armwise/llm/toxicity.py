@@ -1,15 +1,24 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the words whose presence goes with the label in the examples (chi-square), weighted by TF-IDF.
-The index keeps, for each term, its examples in blocks and the greatest weight of each block. A search adds
-these maxima up to an upper bound of every block's cosines, opens blocks from the highest bound down and
-stops once no block can beat the k-th best cosine: the result is that of comparing all examples. Examples
-vote with their squared cosine, against a prior of the label's share.
+Every term of the examples counts: its weight in a text is (1 + ln tf) * idf * relevance, where relevance is
+the term's chi-square share with the label (how much of the label's variance its presence explains). So
+words that go with the label lead the cosine and the many others only tell near ties apart.
+
+Terms that more than one in COMMON examples have are few: their weights are a matrix, and their part of the
+cosines of many texts is one product. For each other term the index keeps its examples in ascending order,
+cut into runs by block of examples, and the greatest weight of each run. A search adds these maxima and the
+block's greatest common part to an upper bound of every block's cosines. The blocks of highest bound are
+opened first; then all whose bound reaches the k-th best cosine so far. The others cannot hold a nearer
+example, so the result is that of comparing all examples.
+
+Examples vote with their squared cosine, against
+a prior of the label's share. A monotone map, fitted on scores of examples that leave their own vote out,
+turns the votes' share into the rate of the label.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,158 +28,248 @@ from pyspark.sql import functions as F
 
 from armwise.llm import common as C
 
-#: Labelled rows that the model is fitted on, at most; all of them up to that number.
-MOST_EXAMPLES = 20_000
-#: Chi-square and number of examples from which on a term counts.
-CHI_SQUARE, LEAST_EXAMPLES = 30.0, 5
-NEIGHBOURS, PRIOR_WEIGHT, BLOCK, FIRST_BLOCKS = 25, 1.0, 64, 8
-#: Texts of equal terms are searched once while remembered.
-CACHE = 50_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Labelled rows that the model is fitted on, at most (all of them up to that number), and of these the rows
+#: that the calibration is fitted on.
+MOST_EXAMPLES, CALIBRATION = 3_000, 2_000
+NEIGHBOURS, PRIOR_WEIGHT, BLOCK, FIRST_BLOCKS, COMMON = 25, 0.25, 32, 4, 16
+#: Least number of scores in a step of the calibration.
+STEP = 40
+#: Characters and texts that are searched in one product.
+HELD, TOGETHER = 1 << 20, 128
+_U = np.uint64
+#: Bytes of terms: ASCII letters and all bytes of letters beyond ASCII; the others separate terms.
+_TERMS = bytes(b if chr(b).isalpha() and b < 128 or b >= 128 else 32 for b in range(256))
+
+
+def term_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, term, count) of the distinct terms of each text, by text and term; terms as 64-bit hashes."""
+    words, n = C.hash_words([(t or "").lower().encode("utf-8", "replace").translate(_TERMS) for t in texts])
+    row = np.repeat(np.arange(len(texts)), n)
+    order = np.lexsort((words, row))
+    row, words = row[order], words[order]
+    new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (words[1:] != words[:-1])])) if len(row) else np.zeros(0, np.int64)
+    return row[new], words[new], np.diff(np.append(new, len(row)))
 
 
-def terms_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each size, joined."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @dataclass
 class Index:
-    terms: dict[str, int]
-    idf: np.ndarray
+    terms: np.ndarray
+    weight: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     prior: float
-    #: Postings of all terms one after another: examples in ascending order, their weights, and for each
-    #: term and block where its postings begin (the last column: where the term's end).
+    #: Column of each term in ``common`` (examples by common terms), or -1.
+    column: np.ndarray
+    common: np.ndarray
+    #: Postings of the other terms: examples in ascending order and their weights; runs of a term in a block of
+    #: examples (``run_of`` gives each term's first run): block, greatest weight, and where its postings begin.
     examples: np.ndarray
     weights: np.ndarray
-    begin: np.ndarray
-    blocks: np.ndarray
-    seen: dict = field(default_factory=dict)
-
-    def weigh(self, counts: dict[int, int]) -> tuple[list[int], np.ndarray]:
-        at = sorted(counts)
-        w = np.array([(1 + np.log(counts[t])) * self.idf[t] for t in at])
-        return at, w / np.linalg.norm(w)
-
-    def cosines(self, at: list[int], w: np.ndarray, opened: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The examples of some blocks that share a term, and their cosines."""
-        start, end = self.begin[np.ix_(at, opened)].ravel(), self.begin[np.ix_(at, opened + 1)].ravel()
-        n = end - start
-        upto = np.cumsum(n)
-        if not len(upto) or not upto[-1]:
-            return np.zeros(0, np.int64), np.zeros(0)
-        place = np.repeat(start - (upto - n), n) + np.arange(upto[-1])
-        found, where = np.unique(self.examples[place], return_inverse=True)
-        return found, np.bincount(where, weights=self.weights[place] * np.repeat(np.repeat(w, len(opened)), n))
-
-    def nearest(self, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
+    run_of: np.ndarray
+    run_block: np.ndarray
+    run_max: np.ndarray
+    run_begin: np.ndarray
+    #: Steps of the calibration: votes' shares and rates of the label.
+    steps: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    rates: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: Blocks opened, and all blocks, of the searches so far.
+    opened: int = 0
+    searched: int = 0
+
+    def weigh(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the known terms, and their weights in a text, scaled to length 1."""
+        at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
+        known = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        at = at[known]
+        w = (1 + np.log(counts[known])) * self.weight[at]
+        at, w = at[w > 0], w[w > 0]
+        return at, w / max(np.linalg.norm(w), 1e-300)
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Places of some examples."""
+        order = np.argsort(self.ids, kind="stable")
+        return order[np.searchsorted(self.ids, ids, sorter=order)]
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest cosine above 0 (ties: smaller place), and the cosines.
 
-        The blocks of highest bound set a k-th best cosine; then all that may still reach it are opened.
+        ``part`` has what the common terms add to each example's cosine; ``at`` and ``w`` are the other terms.
         """
-        at, w = self.weigh(counts)
-        bound = w @ self.blocks[at]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        places, cosines = self.cosines(at, w, np.sort(order[:FIRST_BLOCKS]))
-        least = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
-        rest = order[FIRST_BLOCKS:]
-        more, others = self.cosines(at, w, np.sort(rest[bound[rest] >= least - 1e-9]))
-        places, cosines = np.concatenate([places, more]), np.concatenate([cosines, others])
-        best = np.lexsort((places, -np.round(cosines, 12)))[:k]
-        return places[best], cosines[best]
-
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        counts: dict[int, int] = {}
-        get = self.terms.get
-        for t in map(get, terms_of(text)):
-            if t is not None:
-                counts[t] = counts.get(t, 0) + 1
-        key = tuple(sorted(counts.items()))
-        if key not in self.seen:
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
-            places, cosines = self.nearest(counts, NEIGHBOURS) if counts and len(self.ids) else (np.zeros(0, np.int64), np.zeros(0))
-            votes = cosines**2
-            share = (float(votes @ self.labels[places]) + PRIOR_WEIGHT * self.prior) / (float(votes.sum()) + PRIOR_WEIGHT)
-            self.seen[key] = (share, self.ids[places[:3]].tolist())
-        return self.seen[key]
-
-
-def build(rows: list[tuple[int, int, dict[str, int]]], idf: dict[str, float], prior: float) -> Index:
-    """From (id, label, term counts) of the examples that have terms, in any order."""
-    rows = sorted((r for r in rows if r[2]), key=lambda r: r[0])
-    names = sorted(idf)
-    terms = {t: i for i, t in enumerate(names)}
-    weights = np.array([idf[t] for t in names])
-    n_blocks = -(-len(rows) // BLOCK)
-    index = Index(terms, weights, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64), prior, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, 1), np.int64), np.zeros((len(names), n_blocks)))
-    listed = []
-    for place, (_, _, counts) in enumerate(rows):
-        at, w = index.weigh({terms[t]: n for t, n in counts.items()})
-        listed += [(t, place, x) for t, x in zip(at, w, strict=True)]
-    listed.sort()
-    term = np.array([x[0] for x in listed], np.int64)
-    index.examples, index.weights = np.array([x[1] for x in listed], np.int64), np.array([x[2] for x in listed])
-    np.maximum.at(index.blocks, (term, index.examples // BLOCK), index.weights)
-    place = term * (n_blocks + 1) + index.examples // BLOCK
-    index.begin = np.searchsorted(place, np.arange(len(names) * (n_blocks + 1))).reshape(len(names), n_blocks + 1)
-    return index
+        n_runs = self.run_of[at + 1] - self.run_of[at]
+        runs, heavy = _ranges(self.run_of[at], n_runs), np.repeat(w, n_runs)
+        block = self.run_block[runs]
+        bound = np.maximum.reduceat(part, np.arange(0, len(part), BLOCK))
+        bound = bound + np.bincount(block, weights=heavy * self.run_max[runs], minlength=len(bound))
+        cosines, opened = part.copy(), np.zeros(len(bound), bool)
+
+        def open_blocks(new: np.ndarray) -> float:
+            """Complete the cosines of these blocks' examples; the k-th best cosine known so far."""
+            some = np.flatnonzero(new[block])
+            first, size = self.run_begin[runs[some]], self.run_begin[runs[some] + 1] - self.run_begin[runs[some]]
+            place = _ranges(first, size)
+            opened[new] = True
+            np.add(cosines, np.bincount(self.examples[place], weights=self.weights[place] * np.repeat(heavy[some], size), minlength=len(cosines)), out=cosines)
+            return np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
+
+        leading = np.zeros(len(bound), bool)
+        leading[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        least = open_blocks(leading)
+        least = open_blocks(~opened & (bound >= max(least - 1e-9, 1e-12)))
+        self.opened, self.searched = self.opened + int(opened.sum()), self.searched + len(opened)
+        found = np.flatnonzero(np.repeat(opened, BLOCK)[: len(cosines)] & (cosines >= max(least - 1e-9, 1e-12)))
+        best = found[np.lexsort((found, -np.round(cosines[found], 12)))[:k]]
+        return best, cosines[best]
+
+    def search(self, ends: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` for the texts whose terms end at ``ends``; their common terms in one product."""
+        texts = [self.weigh(terms[a:b], counts[a:b]) for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)]
+        dense = np.zeros((len(texts), self.common.shape[1]))
+        for i, (at, w) in enumerate(texts):
+            column = self.column[at]
+            dense[i, column[column >= 0]] = w[column >= 0]
+        parts = dense @ self.common.T
+        rare = [(at[self.column[at] < 0], w[self.column[at] < 0]) for at, w in texts]
+        none = (np.zeros(0, np.int64), np.zeros(0))
+        return [self.nearest(*r, k, part) if len(at) and len(part) else none for (at, _), r, part in zip(texts, rare, parts, strict=True)]
+
+    def shares(self, ends: np.ndarray, terms: np.ndarray, counts: np.ndarray, without: list[int] | None = None) -> list[tuple[float, np.ndarray]]:
+        """The votes' share for the label, and the nearest examples; the examples ``without`` have no vote."""
+        out = []
+        found = self.search(ends, terms, counts, NEIGHBOURS + (without is not None))
+        for (places, cosines), own in zip(found, without or [-1] * len(found), strict=True):
+            votes = np.where(places == own, 0.0, cosines**2)
+            out.append((float(votes @ self.labels[places] + PRIOR_WEIGHT * self.prior) / float(votes.sum() + PRIOR_WEIGHT), places))
+        return out
+
+    def calibrated(self, share: float) -> float:
+        return float(np.interp(share, self.steps, self.rates)) if len(self.steps) else share
 
+    def score(self, texts: list[str | None]) -> tuple[list[float], list[list[int]]]:
+        """Scores of the texts, and the ids of the three nearest examples of each."""
+        row, terms, counts = term_counts(texts)
+        found = self.shares(np.searchsorted(row, np.arange(1, len(texts) + 1)), terms, counts)
+        return [self.calibrated(s) for s, _ in found], [self.ids[p[:3]].tolist() for _, p in found]
 
-def _distinct_words(batches):
+
+def build(ids: np.ndarray, labels: np.ndarray, row: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> Index:
+    """From the examples' ids and labels and their distinct terms (example, term, count), by example."""
+    n, positive = len(ids), float(labels.sum())
+    names, at = np.unique(terms, return_inverse=True)
+    df = np.bincount(at, minlength=len(names)).astype(float)
+    pos = np.bincount(at, weights=labels[row], minlength=len(names))
+    margins = df * (n - df) * positive * (n - positive)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        relevance = np.where(margins > 0, (pos * n - df * positive) ** 2 / margins, 0.0)
+    weight = np.log((n + 1) / np.maximum(df, 1)) * relevance
+    w = (1 + np.log(counts)) * weight[at]
+    norm = np.sqrt(np.bincount(row, weights=w * w, minlength=n))
+    w = w / np.maximum(norm[row], 1e-300)
+    # Examples that have their heaviest term in common become neighbours, so that blocks differ in their maxima.
+    heaviest = np.full(n, -1)
+    by = np.lexsort((w, row))
+    heaviest[row[by]] = at[by]
+    order = np.lexsort((ids, heaviest))
+    ids, labels = ids[order], labels[order]
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    row = place[row]
+    column = np.where(df * COMMON > n, np.cumsum(df * COMMON > n) - 1, -1)
+    dense = column[at] >= 0
+    common = np.zeros((n, int((column >= 0).sum())))
+    common[row[dense], column[at[dense]]] = w[dense]
+    used = np.flatnonzero((w > 0) & ~dense)
+    order = used[np.lexsort((row[used], at[used]))]
+    term, example, weights = at[order], row[order].astype(np.int32), w[order]
+    new = np.flatnonzero(_changes(term, example // BLOCK))
+    run_max = np.maximum.reduceat(weights, new) if len(new) else np.zeros(0)
+    run_of = np.searchsorted(term[new], np.arange(len(names) + 1))
+    prior = positive / n if n else 0.0
+    return Index(names, weight, ids, labels, prior, column, common, example, weights, run_of, example[new] // BLOCK, run_max, np.append(new, len(order)))
+
+
+def _changes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.ones(len(a), bool)
+    out[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return out
+
+
+def calibrate(shares: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A rising map from votes' shares to rates of the label: steps of at least STEP scores, pooled until they rise."""
+    order = np.argsort(shares, kind="stable")
+    shares, labels = shares[order], labels[order]
+    pools: list[list[float]] = []  # sum of labels, number, sum of shares
+    start = 0
+    while start < len(shares):
+        stop = max(start + STEP, int(np.searchsorted(shares, shares[min(start + STEP, len(shares)) - 1], side="right")))
+        stop = len(shares) if len(shares) - stop < STEP else stop
+        pools.append([labels[start:stop].sum(), stop - start, shares[start:stop].sum()])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [x + y for x, y in zip(pools[-1], last, strict=True)]
+        start = stop
+    return np.array([p[2] / p[1] for p in pools]), np.array([p[0] / p[1] for p in pools])
+
+
+_COUNTED = "id bigint, label int, terms array<bigint>, counts array<int>"
+
+
+def _counted(batches):
     for batch in batches:
-        texts, labels = batch.column("text").to_pylist(), batch.column("label").to_pylist()
-        words = [sorted(set(terms_of(t))) for t in texts]
-        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(words, pa.list_(pa.string()))], names=["label", "words"])
+        row, terms, counts = term_counts(batch.column("text").to_pylist())
+        off = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("id"), batch.column("label"), C.lists(terms.view(np.int64), off, pa.int64()), C.lists(counts.astype(np.int32), off, pa.int32())],
+            names=["id", "label", "terms", "counts"],
+        )
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
-    """Index over about ``most`` labelled rows, chosen by a hash of the id.
+    """Index over about ``most`` labelled rows of ``docs``, chosen by a hash of the id.
 
     A document with several labels counts as the greatest of them; null labels and ids are left out; rows
-    that share an id are one example each. The driver gets the chosen examples' counts of chosen terms.
+    that share an id are one example each. Ids are integers. The driver gets the chosen examples' distinct
+    terms, and in a second job CALIBRATION scores of theirs.
     """
-    spark = docs.sparkSession
-    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    n = marks.count()
+    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    known = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(marks, "id")
+    n = docs.select(F.col(id_col).cast("bigint").alias("id")).join(marks, "id").count()
     if n > most:
-        marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(most / n * (1 << 20)))
-    examples = C.written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id"), "examples")
-    total, positive = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    negative = total - positive
-    words = examples.select("label", "text").mapInArrow(_distinct_words, "label int, words array<string>").select("label", F.explode("words").alias("term"))
-    counts = words.groupBy("term").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("df")).where(F.col("df") >= LEAST_EXAMPLES)
-    a, b, c, d = F.col("pos"), F.col("df") - F.col("pos"), F.lit(positive) - F.col("pos"), F.lit(negative) - F.col("df") + F.col("pos")
-    square = F.lit(float(total)) * (a * d - b * c) * (a * d - b * c).cast("double")
-    margins = (F.col("df") * F.lit(float(positive)) * F.lit(float(negative)) * (F.lit(total) - F.col("df"))).cast("double")
-    found = counts.where(F.when(margins > 0, square / margins) >= CHI_SQUARE).select("term", "df").collect() if total else []
-    idf = {r["term"]: float(np.log((total + 1) / r["df"])) for r in found}
-    chosen = spark.sparkContext.broadcast(frozenset(idf))
-
-    def kept(batches):
-        keep = chosen.value
-        for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                counts: dict[str, int] = {}
-                for t in terms_of(text):
-                    if t in keep:
-                        counts[t] = counts.get(t, 0) + 1
-                out.append(list(counts.items()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(out, pa.map_(pa.string(), pa.int32()))], names=["id", "label", "counts"])
+        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(most / n * (1 << 20)))
+    examples = C.written(known.mapInArrow(_counted, _COUNTED), "examples")
+    table = examples.toArrow().sort_by("id")
+    sizes = C.sizes(table["terms"])
+    row = np.repeat(np.arange(len(table)), sizes)
+    marked = np.asarray(table["label"]).astype(float)
+    index = build(np.asarray(table["id"]).astype(np.int64), marked, row, C.unsigned(C.flat(table["terms"])), C.flat(table["counts"]).astype(np.int64))
+    if 0 < marked.sum() < len(marked):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def left_out(batches):
+            model = shared.value
+            for batch in batches:
+                ends, own = np.cumsum(C.sizes(batch.column("terms"))), model.places(batch.column("id").to_numpy())
+                terms, counts = C.unsigned(C.flat(batch.column("terms"))), C.flat(batch.column("counts")).astype(np.int64)
+                found = [share for share, _ in model.shares(ends, terms, counts, own.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column("label")], names=["share", "label"])
 
-    kind = dict(examples.dtypes)["id"]
-    rows = examples.mapInArrow(kept, f"id {kind}, label int, counts map<string,int>").where("size(counts) > 0").collect() if idf else []
-    return build([(r["id"], r["label"], r["counts"]) for r in rows], idf, float(positive / total) if total else 0.0)
+        some = examples.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < int(min(1.0, CALIBRATION / len(marked)) * (1 << 20)))
+        # Dealt out anew: a bounded table has few files, and its texts' searches are the work.
+        scores = some.repartition(C.buckets(docs.sparkSession, 1)).mapInArrow(left_out, "share double, label int").toArrow()
+        index.steps, index.rates = calibrate(np.asarray(scores["share"]), np.asarray(scores["label"]).astype(float))
+    return index
 
 
 def score_texts(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, score (0 to 1) and evidence, the ids of the up to three nearest examples.
 
-    Null and empty texts, and texts without a known term, get the prior. Rows that repeat are scored each;
-    an empty table gives an empty result; other columns are not read.
+    Null and empty texts, and texts without a known term, get the prior's rate. Rows that repeat are scored
+    each; an empty table gives an empty result; other columns are not read.
     """
     kind = dict(docs.dtypes)[id_col]
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -178,7 +277,13 @@ def score_texts(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col:
     def run(batches):
         model = shared.value
         for batch in batches:
-            found = [model.score(t) for t in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=[id_col, "score", "evidence"])
+            texts = batch.column(text_col).to_pylist()
+            scores, near, start, size = [], [], 0, 0
+            for stop, text in enumerate([*texts, None], 1):  # about HELD characters at once
+                size += len(text or "")
+                if size > HELD or stop - start > TOGETHER or stop > len(texts):
+                    some = model.score(texts[start : min(stop, len(texts))])
+                    scores, near, start, size = scores + some[0], near + some[1], stop, 0
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64()))], names=[id_col, "score", "evidence"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, evidence array<bigint>")

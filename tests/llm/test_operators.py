@@ -358,29 +358,64 @@ def test_class_lm(docs):
         assert r.n_tokens == len(texts[r.doc_id]) and r.score < 0
 
 
-def test_toxicity_search():
-    rng = np.random.default_rng(3)
-    names = [f"t{i}" for i in range(30)]
-    rows = [(i, int(rng.random() < 0.3), {t: int(rng.integers(1, 4)) for t in rng.choice(names, rng.integers(1, 5), replace=False)}) for i in range(1500)]
-    index = toxicity.build(rows, {t: 1.0 + k / 7 for k, t in enumerate(names)}, 0.3)
-    dense = np.zeros((1500, 30))
-    for i, _, counts in rows:
-        at, w = index.weigh({index.terms[t]: n for t, n in counts.items()})
-        dense[i, at] = w
-    for _ in range(40):
-        counts = {int(t): int(rng.integers(1, 4)) for t in rng.choice(30, rng.integers(1, 5), replace=False)}
-        at, w = index.weigh(counts)
-        cosines = dense[:, at] @ w
-        best = np.lexsort((np.arange(1500), -np.round(cosines, 12)))[:25]
-        places, found = index.nearest(counts, 25)
-        assert np.allclose(found, cosines[best]) and (places == best).all()
+def test_toxicity_search(monkeypatch):
+    """The nearest examples and their cosines are those of comparing all, and blocks are left closed."""
+    rng = random.Random(3)
+    names = [f"term{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    texts = [" ".join(rng.choices(names[:9], k=6) + rng.choices(names[9 + 20 * (i % 14) :][:20], k=rng.randrange(1, 12))) for i in range(900)]
+    labels = np.array([float(i % 14 == 3 or rng.random() < 0.05) for i in range(900)])
+    row, terms, counts = toxicity.term_counts(texts)
+    index = toxicity.build(np.arange(900) * 3, labels, row, terms, counts)
+    assert index.common.shape[1] and index.common.shape[1] < len(index.terms)
+    # Weights and cosines from their definition.
+    df, joint = collections.Counter(terms.tolist()), collections.Counter(terms[labels[row] > 0].tolist())
+    weigh, n, pos = {}, 900, labels.sum()
+    for t, k in df.items():
+        weigh[t] = math.log((n + 1) / k) * ((joint[t] * n - k * pos) ** 2 / (k * (n - k) * pos * (n - pos)) if k < n else 0.0)
+    vectors = [{} for _ in texts]
+    for r, t, c in zip(row.tolist(), terms.tolist(), counts.tolist(), strict=True):
+        vectors[r][t] = (1 + math.log(c)) * weigh[t]
+    unit = lambda v: {t: x / math.sqrt(sum(y * y for y in v.values())) for t, x in v.items()}
+    vectors = [unit(v) for v in vectors]
+    ends = np.searchsorted(row, np.arange(1, 901))
+    for i in range(0, 900, 31):
+        a, b = int(ends[i - 1]) if i else 0, int(ends[i])
+        (places, cosines), = index.search(np.array([b - a]), terms[a:b], counts[a:b], 25)
+        want = sorted((-sum(x * v.get(t, 0.0) for t, x in vectors[i].items()) for v in vectors))[:25]
+        assert np.allclose(-cosines, want) and all(math.isclose(c, sum(x * vectors[e // 3].get(t, 0.0) for t, x in vectors[i].items()), abs_tol=1e-9) for c, e in zip(cosines, index.ids[places].tolist(), strict=True))
+    assert 0 < index.opened < 0.8 * index.searched
+    near, = index.shares(ends[:1], terms[: ends[0]], counts[: ends[0]], index.places(np.array([0])).tolist())
+    assert 0 <= near[0] <= 1
+
+
+def test_toxicity_calibration():
+    rng = np.random.default_rng(1)
+    shares = rng.random(4000)
+    steps, rates = toxicity.calibrate(shares, (rng.random(4000) < shares**2).astype(float))
+    assert (np.diff(rates) > 0).all() and (np.diff(steps) > 0).all() and np.abs(np.interp(shares, steps, rates) - shares**2).mean() < 0.05
+    assert [len(x) for x in toxicity.calibrate(np.zeros(0), np.zeros(0))] == [0, 0]
 
 
 def test_toxicity(spark, docs):
     labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(60)] + [(3, None), (None, 1)], "doc_id bigint, toxic int")
     index = toxicity.fit(docs, labels)
-    got = {r.doc_id: r.score for r in toxicity.score_texts(docs, index).collect()}
-    assert len(got) == 62 and all(0 <= s <= 1 for s in got.values()) and got[0] == got[1] == index.prior
+    got = {r.doc_id: r for r in toxicity.score_texts(docs, index).collect()}
+    assert len(got) == 62 and all(0 <= r.score <= 1 for r in got.values())
+    assert got[0].score == got[1].score == index.calibrated(index.prior) and got[0].evidence == []
+    assert len(toxicity.fit(docs, labels, most=10).ids) < 40
+
+
+def test_toxicity_held_out(spark):
+    """Scores of held-out labelled rows: nearly all toxic ones are found, and scores are near the rates of the label."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    index = toxicity.fit(docs.where(~C.fold("doc_id", 4, 2)), labels)
+    held = docs.where(C.fold("doc_id", 4, 2)).join(labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id")
+    rows = toxicity.score_texts(held, index).join(held.select("doc_id", "toxic"), "doc_id").collect()
+    toxic = [r.score for r in rows if r.toxic]
+    assert sum(s >= 0.3 for s in toxic) >= 0.9 * len(toxic) and sum(r.score >= 0.3 for r in rows) <= 1.2 * len(toxic)
+    for low, high in ((0.0, 0.1), (0.7, 1.01)):
+        part = [r for r in rows if low <= r.score < high]
+        assert part and abs(sum(r.score for r in part) - sum(r.toxic for r in part)) / len(part) < 0.06
 
 
 def test_empty_tables(spark, empty, tmp_path):
