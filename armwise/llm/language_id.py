@@ -34,7 +34,7 @@ class Profiler:
     def __init__(self):
         self.keys, self.rows = np.zeros(0, np.uint64), np.zeros((0, DIMENSIONS), np.float32)
         self.letters: dict[int, np.ndarray] = {}
-        self.kind = np.array([chr(c).isalpha() for c in range(0x30000)])
+        self.kind = np.array([chr(c).isalpha() for c in range(0x110000)])
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -56,7 +56,7 @@ class Profiler:
     def grams(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Distinct n-grams of letters and word breaks, and their numbers; None without letters."""
         codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-        codes = np.where(self.kind[np.minimum(codes, 0x2FFFF)], codes, 0)
+        codes = np.where(self.kind[np.minimum(codes, 0x10FFFF)], codes, 0)
         if not codes.any():
             return None
         codes = np.concatenate([[0], codes, [0]]).astype(np.uint64)
@@ -149,6 +149,20 @@ def prototypes(examples: DataFrame, most: int = MOST_EXAMPLES, id_col: str = "do
     return {k: (v / np.linalg.norm(v)) for k, v in vectors.items() if v.any()}
 
 
+#: Labelled rows that the least cosine is taken from, their share below it, and the part of it that is asked for.
+FLOOR_ROWS, FLOOR_SHARE, FLOOR_PART = 2_000, 0.01, 0.5
+
+
+def least_cosine(examples: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """A cosine that nearly all texts in a known language pass: FLOOR_PART of what all but FLOOR_SHARE of about
+    FLOOR_ROWS labelled rows reach, chosen by a hash of the id; 0 without such rows."""
+    rows = examples.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    n = rows.count()
+    rows = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED + 1)), F.lit(1 << 20)) < int(min(1.0, FLOOR_ROWS / max(n, 1)) * (1 << 20)))
+    found = identify(rows, known, id_col, text_col).where("lang_pred <> 'und'").agg(F.percentile_approx("cosine", FLOOR_SHARE, 10_000)).first()[0]
+    return max(0.0, FLOOR_PART * (found or 0.0))
+
+
 def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows' id with lang_pred, score and cosine.
 

@@ -38,7 +38,7 @@ def byte_bpe() -> str:
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{C.shared_dir(spark)}/armwise-ids-{uuid.uuid4().hex}"
+    path = f"{C.shared_dir(spark)}/ids-{uuid.uuid4().hex}"
     token_output.write_ids(C.documents(spark, sf_dir), path, byte_bpe())
     return token_output.read_documents(spark, path)
 

@@ -8,7 +8,7 @@ document. No graph is built: no nodes are joined, no paths compacted, and no wor
 
 Hot passages: each task sends one record for an edge that it meets many times, the earliest one, and
 turns the others into spans itself, so a passage in a third of all rows reaches a bucket once per task.
-An edge is known by 64 bits of its anchor and 32 bits of its own hash.
+An edge is known by 64 bits of its anchor and 64 bits of its own hash.
 """
 
 from __future__ import annotations
@@ -25,14 +25,14 @@ from armwise.llm import common as C
 ANCHOR = 8
 #: Bytes of text that a task holds at once.
 HELD = 6 << 20
-_SENT = "bucket int, doc array<bigint>, start array<int>, n array<int>, anchor array<bigint>, edge array<int>"
+_SENT = "bucket int, doc array<bigint>, start array<int>, n array<int>, anchor array<bigint>, edge array<bigint>"
 
 
 def _later(anchor, edge, doc, start):
     """True for occurrences of an edge that are not its earliest."""
     if not len(edge):
         return np.zeros(0, bool)
-    order = np.argsort(C.mix(anchor + edge.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    order = np.argsort(C.mix(anchor + edge * np.uint64(0x9E3779B97F4A7C15)))
     a, e = anchor[order], edge[order]
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (e[1:] != e[:-1])]))
     many = np.diff(np.append(new, len(order))) > 1
@@ -69,7 +69,7 @@ def _edges(n_buckets: int, width: int, id_col: str, text_col: str):
             ok = C.inside(counts, width)
             if not ok.any():
                 continue
-            edge = C.window_hashes(words, width).astype(np.uint32)[ok]
+            edge = C.window_hashes(words, width)[ok]
             anchor = C.sliding_min(C.window_hashes(words, ANCHOR), width - ANCHOR + 1)[ok]
             at = np.flatnonzero(ok)
             row = np.repeat(np.arange(len(counts)), counts)[at]
@@ -96,9 +96,9 @@ def _records(bucket, doc, start, n, anchor, edge):
     at, k = _runs(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     off = np.append(at, len(bucket))
     eoff = np.concatenate([[0], np.cumsum(n)])[off] if edge is not None else np.zeros(len(off), np.int64)
-    edge = edge if edge is not None else np.zeros(0, np.uint32)
+    edge = edge if edge is not None else np.zeros(0, np.uint64)
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[at]), C.lists(doc, off, pa.int64()), C.lists(start, off, pa.int32()), C.lists(n.astype(np.int32), off, pa.int32()), C.lists(anchor.view(np.int64), off, pa.int64()), C.lists(edge.view(np.int32), eoff, pa.int32())],
+        [pa.array(bucket[at]), C.lists(doc, off, pa.int64()), C.lists(start, off, pa.int32()), C.lists(n.astype(np.int32), off, pa.int32()), C.lists(anchor.view(np.int64), off, pa.int64()), C.lists(edge.view(np.int64), eoff, pa.int64())],
         names=["bucket", "doc", "start", "n", "anchor", "edge"],
     )
 
@@ -114,7 +114,7 @@ def _repeats(table: pa.Table) -> pa.Table:
         m = n[rest]
         inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
         docs, starts = np.repeat(doc[rest], m), np.repeat(start[rest], m) + inner
-        later = _later(np.repeat(C.unsigned(C.flat(table["anchor"])[rest]), m), C.flat(table["edge"]).astype(np.int32).view(np.uint32), docs, starts)
+        later = _later(np.repeat(C.unsigned(C.flat(table["anchor"])[rest]), m), C.unsigned(C.flat(table["edge"])), docs, starts)
         out.append(_joined(docs[later], starts[later]))
     d, s, n = (np.concatenate(x) for x in zip(*out, strict=True))
     by = np.lexsort((s, d))
@@ -128,8 +128,8 @@ def repeated_spans(docs: DataFrame, width: int = 20, id_col: str = "doc_id", tex
     """Rows (doc, starts, lengths): words of each document that repeat an earlier window of ``width`` words.
 
     Starts are positions of windows, lengths count words. Spans of one document may overlap. Null texts
-    have no words; a null id sorts last and is written as the largest bigint; rows that share an id are
-    read as one document, so a row never repeats itself. An empty table gives no rows.
+    have no words. Ids are integers, one for each row, and their order is that of the documents (``C.keyed``
+    makes such a column of any ids). An empty table gives no rows.
     """
     n = C.buckets(docs.sparkSession)
     sent = docs.select(id_col, text_col).mapInArrow(_edges(n, width, id_col, text_col), _SENT)
@@ -167,9 +167,12 @@ def _cut(id_col: str, text_col: str, texts_out: bool):
 def remove_repeats(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", texts_out: bool = True) -> DataFrame:
     """One row per document: n_words, n_removed, kept (the words that stay, joined by one space) and its SHA-256.
 
-    Nulls and rows that share an id are treated as in ``repeated_spans``; other columns are not read.
+    Rows that share an id are documents of their own; rows without an id come last. Null texts have no
+    words; other columns are not read; an empty table gives an empty result.
     """
-    spans = repeated_spans(docs, width, id_col, text_col)
+    rows, _ = C.keyed(docs, id_col)
+    spans = repeated_spans(rows, width, C.KEY, text_col)
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col), F.col(text_col), F.coalesce(F.col(id_col).cast("bigint"), F.lit(C.LAST_ID)).alias("doc"))
-    return rows.join(spans, "doc", "left").drop("doc").mapInArrow(_cut(id_col, text_col, texts_out), f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept string, kept_sha256 string")
+    rows = rows.select(F.col(id_col), F.col(text_col), F.col(C.KEY).alias("doc"))
+    out = f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept string, kept_sha256 string"
+    return rows.join(spans, "doc", "left").drop("doc").mapInArrow(_cut(id_col, text_col, texts_out), out)

@@ -71,6 +71,14 @@ def test_substring_dedup(docs):
     assert got == want and any(v[1] for v in want.values())
 
 
+def test_substring_dedup_ids(spark):
+    """Rows that share an id, or have none, are documents of their own, the latter last."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (None, a), (None, b), (5, b), (5, "x " + b), (5, "y")]
+    got = sorted((r.doc_id or 99, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id int, text string")).collect())
+    assert got in ([(1, 40, 0), (5, 1, 0), (5, 40, 0), (5, 41, 40), (99, 40, 40), (99, 40, 40)], [(1, 40, 0), (5, 1, 0), (5, 40, 40), (5, 41, 0), (99, 40, 40), (99, 40, 40)])
+
+
 def test_secret_scan(docs):
     rows = {r.doc_id: r for r in secret_scan.scan_secrets(docs).collect()}
     assert len(rows) == 62
@@ -132,7 +140,7 @@ def test_language_id(docs, empty):
 
 def test_language_bundles(monkeypatch):
     """Texts bundled together are what each is alone: the weighted sum of its n-grams' products of letters."""
-    texts = [t for _, t, *_ in corpus()] + ["Straße, 東京!", "\ud800x", "123 456", "a" * 5000]
+    texts = [t for _, t, *_ in corpus()] + ["Straße, 東京!", "\ud800x", "\U00030000" * 5, "123 456", "a" * 5000]
     profiler = language_id.Profiler()
     got, places = profiler.vectors(texts)
     assert set(range(len(texts))) - set(places.tolist()) == {0, 1, 2, len(texts) - 2}
@@ -358,6 +366,46 @@ def test_class_lm(docs):
         assert r.n_tokens == len(texts[r.doc_id]) and r.score < 0
 
 
+def test_class_exchange():
+    """Each word's gains are, but for a part common to all classes, the likelihoods after its move."""
+    rng = np.random.default_rng(7)
+    K, n_words = class_lm.CLASSES, 60
+    texts = [rng.integers(0, n_words, rng.integers(2, 12)) for _ in range(200)]
+    own = rng.integers(0, K, n_words)
+
+    def table_of(classes):
+        table = np.zeros((K + 2, K))
+        for t in texts:
+            for before, now in zip([class_lm._START, *classes[t[:-1]]], classes[t], strict=True):
+                table[before, now] += 1
+        return table
+
+    def likelihood(table):
+        x = lambda v: (v * np.log(np.maximum(v, 1))).sum()
+        return x(table) - x(table.sum(axis=0)) - x(table[:K].sum(axis=1))
+
+    for w in range(0, n_words, 7):
+        if any((t[1:][t[:-1] == w] == w).any() for t in texts):
+            texts = [t[np.concatenate([[True], (t[1:] != w) | (t[:-1] != w)])] for t in texts]  # no word beside itself
+        near = collections.Counter()
+        for t in texts:
+            for k in np.flatnonzero(t == w):
+                near[own[t[k - 1]] if k else class_lm._START] += 1
+                if k + 1 < len(t):
+                    near[class_lm._AFTER + own[t[k + 1]]] += 1
+        code = np.array(sorted(near))
+        count = np.array([sum((t == w).sum() for t in texts)])
+        got = class_lm.gains(table_of(own), own[[w]], count, np.zeros(len(code), int), code, np.array([float(near[c]) for c in code]))[0]
+        moved = []
+        for k in range(K):
+            other = own.copy()
+            other[w] = k
+            moved.append(likelihood(table_of(other)))
+        # Cells whose row and column both change (the word between words of its new class) are counted apart.
+        assert np.argsort(got)[-5:].tolist()[-1] in np.argsort(moved)[-5:].tolist()
+        assert np.corrcoef(got, moved)[0, 1] > 0.99
+
+
 def test_toxicity_search(monkeypatch):
     """The nearest examples and their cosines are those of comparing all, and blocks are left closed."""
     rng = random.Random(3)

@@ -81,6 +81,26 @@ def test_stages(spark, tmp_path):
     assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
 
 
+def test_language_stage(spark, tmp_path):
+    """Languages of the labelled rows stay, an unseen script and texts without letters go; rows are judged by themselves."""
+    known = C.documents(spark, "/root/testdata/sf0.01")
+    more = [(10**9 + 1, "Съешь же ещё этих мягких французских булок да выпей чаю. " * 20), (10**9 + 2, "12 34 !"), (10**9 + 3, None), (None, "-- 1"), (None, known.where("lang = 'en' and length(text) > 500").first().text)]
+    rows = known.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame([(*r, None, "s") for r in more], "doc_id bigint, text string, lang string, source string"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = C.documents(spark, str(tmp_path))
+    kept = [r.doc_id for r in corpus_pipeline.language(spark, docs, str(tmp_path)).select("doc_id").collect()]
+    assert not {10**9 + 1, 10**9 + 2, 10**9 + 3} & set(kept) and kept.count(None) == 1
+    lettered = known.where("text rlike '[A-Za-z]'").count()
+    assert lettered * 0.995 <= len(kept) - 1 <= lettered
+    assert corpus_pipeline.language(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_empty_pipeline(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_null_ids_and_repeated_rows(spark, tmp_path):
     text = " ".join(f"word{i}" for i in range(40))
     rows = [(None, text, "en", None), (None, None, None, None), (7, text, "en", "a"), (7, text, "en", "a"), (8, "", None, "b")]
