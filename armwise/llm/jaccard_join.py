@@ -36,7 +36,8 @@ from armwise.llm import common as C
 from armwise.llm.components import absorbed, components
 
 WIDTH = 5
-HELD = 5 << 20
+#: Bytes of text that a task holds at once.
+HELD = 3 << 20
 #: 64-bit words of the bit sketch that prunes residual candidates.
 SKETCH = 16
 #: Rows of open words in a bucket.
@@ -358,7 +359,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _classes(rows: DataFrame, width: int, text_col: str) -> DataFrame:
     """(doc, n, component) of every row of ``rows``, which has KEY: all three in terms of it."""
     spark = rows.sparkSession
-    n_buckets = C.buckets(spark, 1)
+    n_buckets = C.buckets(spark, 2)
     rows = rows.select(C.KEY, text_col)
     digest = C.written(rows.mapInArrow(_digest(width, C.KEY, text_col), "doc bigint, n bigint, h1 bigint, h2 bigint"), "digest")
     classes = digest.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"))
