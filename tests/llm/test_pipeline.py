@@ -57,6 +57,7 @@ def test_stages(spark, tmp_path):
         assert name == "encode" or docs.dtypes == C.documents(spark, str(tmp_path)).dtypes
     texts = {i: t for i, t, *_ in corpus()}
     lettered = {i: t for i, t in texts.items() if any(c.isalpha() for c in t or "")}
+    del lettered[5]  # letters that no row has which is learned from: the only row in its language is held out
     assert sorted(r.doc_id for r in kept[0].collect()) == sorted(lettered)
     single = first_of_groups(lettered)
     assert sorted(r.doc_id for r in kept[1].collect()) == sorted(single) and len(single) < len(lettered)
@@ -107,7 +108,7 @@ def test_null_ids_and_repeated_rows(spark, tmp_path):
     docs = C.written(spark.createDataFrame([(*r, 1, 2, 3, "x") for r in rows], SCHEMA), "fixture")
 
     cut = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect())
-    assert cut == [(0, 0, 0), (0, 40, 40), (7, 40, 0), (7, 40, 0), (8, 0, 0)]
+    assert cut == [(0, 0, 0), (0, 40, 40), (7, 40, 0), (7, 40, 40), (8, 0, 0)]
     assert secret_scan.scan_secrets(docs).count() == 5
     groups = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard_join.similar_groups(docs).collect())
     assert groups == [(0, 0), (0, 7), (7, 7), (7, 7), (8, 8)]
