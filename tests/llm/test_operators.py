@@ -56,9 +56,10 @@ def words(text, lower=False):
     return ((text or "").translate(LOWER) if lower else text or "").encode().split()
 
 
-def test_substring_dedup(docs):
+def without_repeats(rows):
+    """For each id: number of words, of removed words, and the hash of the others."""
     seen, want = set(), {}
-    for i, text, *_ in corpus():
+    for i, text in rows:
         w = words(text)
         cut = [False] * len(w)
         for p in range(len(w) - 19):
@@ -67,8 +68,44 @@ def test_substring_dedup(docs):
                 cut[p : p + 20] = [True] * 20
             seen.add(window)
         want[i] = (len(w), sum(cut), hashlib.sha256(b" ".join(x for x, c in zip(w, cut, strict=True) if not c)).hexdigest())
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs).collect()}
-    assert got == want and any(v[1] for v in want.values())
+    return want
+
+
+def kept_words(docs, **options):
+    return {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs, **options).collect()}
+
+
+def test_substring_dedup(docs):
+    want = without_repeats((i, text) for i, text, *_ in corpus())
+    assert kept_words(docs) == want and any(v[1] for v in want.values())
+
+
+def lines():
+    """Documents that share a line of 19 words in ever different surroundings, some of them copied, and words that repeat."""
+    line = " ".join(f"line{i}" for i in range(19))
+    one = [" ".join(f"w{i}x{j}" for j in range(15)) + f" {line} " + " ".join(f"v{i}x{j}" for j in range(15)) for i in range(30)]
+    return list(enumerate([*one, *one[:5], one[3] + " " + one[7], "again " * 70, " ".join(one[9].split()[5:38])]))
+
+
+def test_substring_dedup_verifies(spark):
+    """Windows of one anchor that cannot be told apart by their hashes are told apart by their words."""
+    docs = spark.createDataFrame(lines(), "doc_id int, text string").coalesce(1)
+    assert substring_dedup.repeated_paths(docs, edge_bits=0).count() > substring_dedup.repeated_paths(docs).count()
+    assert kept_words(docs, edge_bits=0) == without_repeats(lines())
+
+
+def test_substring_dedup_hot_anchor(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "WHOLE", 1)
+    docs = spark.createDataFrame(lines(), "doc_id int, text string").repartition(4)
+    assert len(substring_dedup.hot_anchors(docs, 16, 20, "doc_id", "text"))
+    assert kept_words(docs) == without_repeats(lines())
+
+
+def test_substring_dedup_paths(spark):
+    """A copy is one path beside its source, whichever buckets its windows went to; it ends where the two branch."""
+    rows = [(1, " ".join(f"a{i}" for i in range(100))), (2, "x " + " ".join(f"a{i}" for i in range(10, 60)) + " y"), (3, "a" + " a" * 39)]
+    paths = {tuple(r) for r in substring_dedup.repeated_paths(spark.createDataFrame(rows, "doc_id int, text string").repartition(3)).collect()}
+    assert paths == {(2, 1, 31, 1, 10)} | {(3, i, 1, 3, 0) for i in range(1, 21)}
 
 
 def test_substring_dedup_ids(spark):
