@@ -8,7 +8,8 @@ slot r takes block r modulo the number of blocks: a source below its target is r
 start. Every source, however small, fills its target, which its last slot meets to the word.
 
 Prefix sums over a hot source never run in one task: rows are dealt to groups by their random order, the
-groups are summed first, and ranks and offsets inside a group are added to those sums.
+groups are summed first, and ranks and offsets inside a group are added to those sums. There are as many
+groups as a group has rows, so both sums stay at the square root of the rows.
 """
 
 from __future__ import annotations
@@ -22,13 +23,10 @@ from armwise.llm import common as C
 
 #: A source gives at most so many times its size.
 MOST = 3
-#: About so many documents share a group of the two-level prefix sums.
-GROUP_ROWS = 4096
-#: Slots that share a group when slots are ranked.
-SLOT_ROWS = 1 << 16
-#: Slots per source at the smallest target; a source's share of slots then comes within a few per cent.
-FINE = 256
-LEAST_BLOCK = 64
+#: Words of a block: a share of all words within these bounds. Sources of fewer words are one short block.
+LEAST_BLOCK, MOST_BLOCK = 64, 4096
+#: Blocks into which a small corpus is cut.
+BLOCKS = 4096
 #: Slots of a source beyond those it needs: more than golden-ratio points may stray from any share.
 SPARE = 32
 
@@ -68,9 +66,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
     return per.select("source", "weight", "source_size", F.least(F.col("most").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, row_col: str | None) -> DataFrame:
+def _sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, row_col: str | None) -> DataFrame:
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.size(C.words_of(text_col)).cast("bigint").alias("size"), row.alias("row"))
+    size = F.size(C.words_of(text_col)).cast("bigint")
+    # The text parts rows without an id, or with one that repeats.
+    order = F.shiftrightunsigned(F.xxhash64(id_col, F.xxhash64(text_col), F.lit(seed)), 1)
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), row.alias("row"), order.alias("order"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -79,21 +80,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 0, id
     slots: (slot, source, block, pass, row, id, first, words): slot takes ``words`` words of a document
     from its word ``first`` on. taken: (id, source, size, source_size, target, taken), one row per input
     row. Null texts have no words and are taken 0 times; null sources are a source of their own, last in
-    order; rows that repeat an id count as rows of their own, in the order of a hash of id and row.
-    Reruns agree for one table as laid out. An empty table gives empty results.
+    order; rows that repeat an id count as rows of their own. Documents stand in the order of a hash of id and
+    text; where both repeat, reruns agree for one table as laid out. An empty table gives empty results.
     """
     spark = docs.sparkSession
-    rows = C.written(_sized(docs, id_col, text_col, source_col, row_col), "sizes")
+    rows = C.written(_sized(docs, seed, id_col, text_col, source_col, row_col), "sizes")
     goal = C.written(targets(rows.select("source", "size"), weights).withColumn("key", F.xxhash64(F.col("source").isNull(), F.coalesce("source", F.lit("")))), "targets")
-    facts = goal.agg(F.sum("source_size"), F.min(F.when(F.col("source_size") > 0, F.col("target")))).first()
-    total, least = int(facts[0] or 0), float(facts[1] or 0.0)
-    block = max(LEAST_BLOCK, int(min(least / FINE, total / (1 << 12))))
-    groups = max(1, rows.count() // GROUP_ROWS)
+    total, sources = goal.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count(F.lit(1))).first()
+    block = min(MOST_BLOCK, max(LEAST_BLOCK, total // BLOCKS))
+    groups = max(1, math.isqrt(rows.count()))
 
     # Stream positions: documents in hash order; groups are slices of that order.
     source_key = F.xxhash64(F.col("source").isNull(), F.coalesce("source", F.lit("")))
-    order = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 1)
-    placed = rows.where("size > 0").withColumns({"key": source_key, "order": order}).withColumn("group", F.floor(F.col("order") / F.lit(2.0**63) * groups).cast("bigint"))
+    placed = rows.where("size > 0").withColumn("key", source_key).withColumn("group", F.floor(F.col("order") / F.lit(2.0**63) * groups).cast("bigint"))
     sums = placed.groupBy("key", "group").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("key").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
@@ -109,7 +108,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 0, id
     shares = shares.withColumn("high", F.sum(F.col("need") + SPARE).over(Window.orderBy("key"))).withColumn("all", F.sum(F.col("need") + SPARE).over(Window.partitionBy()))
     slots_n = int(shares.agg(F.max("all")).first()[0] or 0)
     shares = shares.select("key", "source", "source_size", "quota", "need", ((F.col("high") - F.col("need") - SPARE) / F.col("all")).alias("lo"), (F.col("high") / F.col("all")).alias("hi"))
-    cells = 1024
+    # As many cells as sources at least: a point meets two sources on average, however many there are.
+    cells = max(1024, sources)
     table = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1)))))
     points = spark.range(slots_n).withColumn("u", _golden(F.col("id"))).withColumn("cell", F.least(F.floor(F.col("u") * cells), F.lit(cells - 1)))
     dealt = points.join(table, "cell").where("u >= lo and u < hi").select(F.col("id").alias("slot"), "key", "source_size", "quota", "need", F.shiftright(F.col("id"), 16).alias("part"))

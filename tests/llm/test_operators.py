@@ -288,6 +288,18 @@ def test_mixing_small_sources(spark):
     assert all(r.end > last / 2 for r in ends)
 
 
+def test_mixing_many_sources(spark):
+    """More sources than cells beside a large one, of rows without an id: all targets are met to the word."""
+    small = [(None, f"s{i}", 1 + i % 7, i) for i in range(1500)]
+    rows = spark.createDataFrame(small + [(None, "big", 500, i) for i in range(400)], "doc_id bigint, source string, n int, i int")
+    docs = rows.select("doc_id", "source", F.repeat(F.concat(F.lit("w"), F.col("i"), F.lit(" ")), F.col("n")).alias("text"))
+    slots, taken = mixing.mix(docs)
+    off = taken.groupBy("source").agg(F.abs(F.sum("taken") - F.max("target")).alias("off"), F.max(F.col("taken") - 3 * F.col("size")).alias("over"))
+    assert off.count() == 1501 and off.where("off > 1 or over > 0").count() == 0
+    orders = {r.order for r in mixing._sized(docs, 0, "doc_id", "text", "source", None).where("source = 'big'").collect()}
+    assert len(orders) == 400
+
+
 def test_decontamination(spark, docs):
     rng = random.Random(9)
     passage = corpus()[7][1].split()[-60:-20]
