@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from armwise.llm.decontamination import AGREE, EXACT, LEAST, MOST, SEPARATORS
 from armwise.llm.secret_scan import EXAMPLE_OWNERS
+from armwise.llm.url_filter import TRACKING
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -143,10 +144,64 @@ _EXACT_DEDUP = r"""
     SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM n JOIN g USING (norm)
 """
 
+_URL_FILTER = rf"""
+    WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    p AS (
+        SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+            regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1) AS query FROM u
+    ),
+    q AS (
+        SELECT page_id, host, path, array_to_string(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{TRACKING}')), '&') AS asked FROM p
+    ),
+    c AS (
+        SELECT page_id, host, path, regexp_replace(regexp_replace(host, '^www[.]', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '')
+            || CASE WHEN asked = '' THEN '' ELSE '?' || asked END AS canonical FROM q
+    ),
+    l AS (SELECT DISTINCT canonical FROM c WHERE list_has_any(string_split_regex(host, '[.:-]'), ['casino', 'pills', 'bets', 'adult', 'spam', 'ads'])),
+    r(own, start, says) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+    b AS (
+        SELECT page_id, arg_max(own || start, length(own || start)) AS rule, arg_max(says, length(own || start)) AS says
+        FROM c JOIN r ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, start) GROUP BY page_id
+    )
+    SELECT page_id, host, path, rule, coalesce(says, CASE WHEN host <> '' AND l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+        host <> '' AND l.canonical IS NOT NULL AS listed
+    FROM c LEFT JOIN b USING (page_id) LEFT JOIN l USING (canonical)
+"""
+
+_CRC_STEPS = "list_reduce([({}), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+_CRC = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda c, b: {_CRC_STEPS.format('xor(c, b)')}), 4294967295)"
+
+# Prefixes as joined digests of the turns; a subtree is the pairs of prefixes of one conversation.
+_PREFIX_TRIE = f"""
+    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    d AS (SELECT conv_id, turn, md5(length(role) || ':' || role || text) AS d, length(text)::BIGINT AS n FROM t),
+    c AS (SELECT conv_id, list({{'d': d, 'n': n}} ORDER BY turn NULLS FIRST, d, n) AS turns, {_CRC} % 6 AS h FROM d GROUP BY conv_id),
+    f AS (SELECT c.conv_id, coalesce(b.turns[:c.h], []) || c.turns[c.h + 1:] AS turns FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 100),
+    p AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM f),
+    k AS MATERIALIZED (SELECT conv_id, depth, depth = len(turns) AS ends, md5(array_to_string(list_transform(turns[:depth], lambda x: x.d), '')) AS key, coalesce(turns[depth].n, 0) AS n FROM p),
+    o AS MATERIALIZED (
+        SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n,
+            sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+        FROM k GROUP BY depth, key
+    ),
+    e AS MATERIALIZED (SELECT DISTINCT x.depth AS up, x.key AS top, y.depth, y.key FROM k x JOIN k y ON x.conv_id = y.conv_id AND x.depth <= y.depth),
+    s AS (SELECT up, top, count(*) FILTER (e.depth = up + 1) AS n_children FROM e GROUP BY up, top),
+    v AS (SELECT o.*, n_children FROM o JOIN s ON s.up = o.depth AND s.top = o.key),
+    w AS (
+        SELECT e.up, e.top, count(*) FILTER (v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.n)::BIGINT AS saved_tokens
+        FROM e JOIN v ON v.depth = e.depth AND v.key = e.key GROUP BY e.up, e.top
+    )
+    SELECT v.conv_id, v.depth::BIGINT AS depth, a.conv_id AS parent_conv_id, v.n_convs, v.n_children, w.n_leaves, w.saved_tokens, v.ends_sha256
+    FROM v JOIN w ON w.up = v.depth AND w.top = v.key
+    LEFT JOIN (SELECT e.depth, e.key, o.conv_id FROM e JOIN o ON o.depth = e.up AND o.key = e.top WHERE e.up = e.depth - 1) a ON a.depth = v.depth AND a.key = v.key
+"""
+
 ORACLES = {
     "op1_substring_dedup": _SUBSTRING_DEDUP,
     "op2_secret_scan": _SECRET_SCAN,
     "op3_jaccard_join": _JACCARD_JOIN,
     "op7_decontamination": _DECONTAMINATION,
     "op8_exact_dedup": _EXACT_DEDUP,
+    "op11_url_filter": _URL_FILTER,
+    "op12_prefix_trie": _PREFIX_TRIE,
 }

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from armwise.llm import class_lm, decontamination, exact_dedup, jaccard_join, language_id, mixing, secret_scan, substring_dedup, token_output, toxicity
+from armwise.llm import class_lm, decontamination, exact_dedup, jaccard_join, language_id, mixing, prefix_trie, secret_scan, substring_dedup, token_alignment, token_output, toxicity, url_filter
 from armwise.llm import common as C
 from armwise.llm.oracles import ORACLES as ORACLES
 
@@ -67,4 +67,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", C.fold("doc_id", 4, 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "evidence")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_jaccard_join, op4_language_id, op5_token_output, op6_source_mixing, op7_decontamination, op8_exact_dedup, op9_class_lm, op10_toxicity)}
+#: The rules of op11 (fixed values), and the words of a host whose captured URLs make the list.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+LISTED_WORDS = ["casino", "pills", "bets", "adult", "spam", "ads"]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(pages, rules, url_filter.listed_by_words(pages, LISTED_WORDS))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = C.written(prefix_trie.turn_digests(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "turns")
+    return prefix_trie.prefix_nodes(prefix_trie.forked(turns))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.align(C.documents(spark, sf_dir), byte_bpe(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_jaccard_join, op4_language_id, op5_token_output, op6_source_mixing, op7_decontamination, op8_exact_dedup, op9_class_lm, op10_toxicity, op11_url_filter, op12_prefix_trie, op13_token_alignment)}
