@@ -23,24 +23,30 @@ def mismatches(pairs: DataFrame, a: str, b: str, tolerance: float = 1e-9) -> Dat
 
 
 def paired(tables: dict[str, DataFrame], keys: list[str], column: str) -> DataFrame:
-    """The keys and each table's ``column`` under the table's name; a row that a table lacks is null there.
+    """A row per key: the keys, each table's ``column`` under the table's name, and ``n_<name>``, its rows with the key.
 
-    ``keys`` name a row in each table and are not null; the join shuffles keys and scores only.
+    One shuffle for any number of tables, and partial counts before it: keys that repeat, null ones too, are one
+    row with their numbers, never all pairs. Where a table has a key more than once, ``column`` is any of them.
     """
-    parts = [t.select(*keys, F.col(column).alias(name)) for name, t in tables.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, keys, "full")
-    return out
+    every = None
+    for k, t in enumerate(tables.values()):
+        part = t.select(*keys, F.lit(k).alias("__table"), F.col(column).alias("__value"))
+        every = part if every is None else every.unionByName(part)
+    mine = lambda k: F.col("__table") == k
+    counts = [F.count_if(mine(k)).alias(f"n_{name}") for k, name in enumerate(tables)]
+    return every.groupBy(*keys).agg(*[F.any_value(F.when(mine(k), F.col("__value")), True).alias(name) for k, name in enumerate(tables)], *counts)
 
 
 def parity(tables: dict[str, DataFrame], keys: list[str], column: str = "scores", tolerance: float = 1e-9) -> DataFrame:
-    """(n_rows, unpaired, <first>_<other>...): rows, rows that a table lacks, and pairs whose arrays differ from the first's."""
+    """(n_rows, unpaired, repeated, <first>_<other>...): keys, those that a table lacks, those that a table has more than once,
+    and pairs whose arrays differ from the first's. Repeated keys name no row, so they are counted but not compared.
+    """
     first, *others = tables
     rows = paired(tables, keys, column)
-    whole = F.forall(F.array(*[F.col(t).isNotNull() for t in tables]), lambda x: x)
-    apart = lambda t: F.count_if(whole & F.coalesce(l1_distance(F.col(first), F.col(t)) > tolerance, F.lit(True)))
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~whole).alias("unpaired"), *[apart(t).alias(f"{first}_{t}") for t in others])
+    each = lambda test: F.array(*[test(F.col(f"n_{t}")) for t in tables])
+    lacking, more = F.exists(each(lambda n: n == 0), lambda x: x), F.exists(each(lambda n: n > 1), lambda x: x)
+    apart = lambda t: F.count_if(~lacking & ~more & F.coalesce(l1_distance(F.col(first), F.col(t)) > tolerance, F.lit(True)))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(lacking).alias("unpaired"), F.count_if(more).alias("repeated"), *[apart(t).alias(f"{first}_{t}") for t in others])
 
 
 def contract(df: DataFrame, column: str, n_arms: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from armwise.functions.values import imputed, is_missing
-from armwise.operators import candidates, checks, forest, scoring, tallies, thresholds
+from armwise.operators import candidates, checks, forest, ordinals, scoring, tallies, thresholds
 from armwise.plans import split_search
 from armwise.sources import sinks, synthetic, views
 
@@ -202,14 +202,17 @@ def score_parity(spark: SparkSession, d: str) -> DataFrame:
     return checks.mismatches(scoring.score_native(rows, FOREST, views.FOREST_FEATURES, "b"), "a", "b")
 
 
-LINE_KEYS = ["l_orderkey", "line", "l_partkey", "l_suppkey"]
+def score_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Arrow, pandas and native scores of separate runs, paired by the rows' ordinals."""
+    rows = ordinals.with_ordinal(views.forest_input(spark, d))
+    ways = {"arrow": scoring.score_arrow, "pandas": scoring.score_pandas, "native": scoring.score_native}
+    return checks.parity({n: f(rows, FOREST, views.FOREST_FEATURES) for n, f in ways.items()}, ["ordinal"])
 
 
-def score_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Arrow, pandas and native scores of separate runs, paired by the line items' keys."""
+def line_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Arrow and native scores paired by the line items' own keys, some of which may repeat."""
     rows = views.forest_input(spark, d)
-    ways = {"arrow": scoring.score_arrow, "pandas": scoring.score_pandas, "native": scoring.score_native}
-    return checks.parity({n: f(rows, FOREST, views.FOREST_FEATURES) for n, f in ways.items()}, LINE_KEYS)
+    return checks.parity({"arrow": scoring.score_arrow(rows, FOREST, views.FOREST_FEATURES), "native": scoring.score_native(rows, FOREST, views.FOREST_FEATURES)}, ["l_orderkey", "line"])
 
 
 def arm_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -247,7 +250,7 @@ QUERIES = {
         observations, impute_zero, thresholds_quantile, thresholds_equal_width, boundaries, bin_assign, bin_tallies, bin_tallies_dense, prefix_sums, nan_expanded, control_arm, arm_rates, scored_candidates,
         scored_candidates_pandas, best_split, best_split_multi, best_split_per_feature, bin_sweep, determinism, sample_first_n, run_summary, forest_json_nodes, forest_invalid_nodes, tree_scores, forest_scores,
         forest_scores_pandas, forest_scores_expr, score_contract, score_checksum, scalar_checksum, score_parity, mllib_tree_scores,
-        score_pairs, arm_sweep, best_split_wide, deep_forest_scores, result_rows_csv,
+        score_pairs, line_pairs, arm_sweep, best_split_wide, deep_forest_scores, result_rows_csv,
     )
 }
 
@@ -391,7 +394,8 @@ ORACLES = {
     "score_contract": f"SELECT count(*) FILTER (r0 IS NULL OR r1 IS NULL OR r2 IS NULL) AS violations FROM ({_FOREST_SQL})",
     "score_checksum": f"SELECT round(sum(r0 + r1 + r2), 3) AS checksum FROM ({_FOREST_SQL})",
     "scalar_checksum": "SELECT round(sum(l_quantity::DOUBLE), 3) AS checksum FROM lineitem",
-    "score_pairs": "SELECT count(*) AS n_rows, 0::BIGINT AS unpaired, 0::BIGINT AS arrow_pandas, 0::BIGINT AS arrow_native FROM lineitem",
+    "score_pairs": "SELECT count(*) AS n_rows, 0::BIGINT AS unpaired, 0::BIGINT AS repeated, 0::BIGINT AS arrow_pandas, 0::BIGINT AS arrow_native FROM lineitem",
+    "line_pairs": "SELECT count(*) AS n_rows, 0::BIGINT AS unpaired, count(*) FILTER (n > 1) AS repeated, 0::BIGINT AS arrow_native FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)",
     "arm_sweep": _arm_sweep_sql(),
     "best_split_wide": f"{_scored(WIDE_CUTS, 1, {f: f'(l_extendedprice * {float(1 + k % 7)!r}::DOUBLE + l_quantity * {float(k)!r}::DOUBLE)' for k, f in enumerate(WIDE_CUTS)})} SELECT * FROM v WHERE is_valid QUALIFY row_number() OVER (PARTITION BY feature ORDER BY {_RANK}) = 1",
     "deep_forest_scores": _deep_sql(),

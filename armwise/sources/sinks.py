@@ -12,11 +12,32 @@ FORMATS = ("csv", "json", "parquet")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's ``spark.checkpoint.dir``; in a temporary folder for a local master without one."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place and not spark.sparkContext.master.startswith("local"):
+    """A new path in the cluster's ``spark.checkpoint.dir``; in a temporary folder for a local master without one.
+
+    It is deleted when the application ends.
+    """
+    sc = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not place and not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(place or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{(place or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table of its own, read again: later uses do not compute it anew, and agree on its rows."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def write_rows(rows: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists") -> str:

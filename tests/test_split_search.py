@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from armwise.operators import candidates, checks, forest, scoring, tallies, thresholds
+from armwise.operators import candidates, checks, forest, ordinals, scoring, tallies, thresholds
 from armwise.plans import split_search
 from armwise.sources import sinks, synthetic
 
@@ -130,7 +130,21 @@ def test_metadata(spark, tmp_path):
 def test_parity(spark):
     a = spark.createDataFrame([(1, [0.1, 0.2]), (2, [0.3, 0.4]), (3, [0.5, 0.6])], "id int, scores array<double>")
     b = spark.createDataFrame([(1, [0.1, 0.2]), (2, [0.3, 0.5]), (4, [0.5, 0.6])], "id int, scores array<double>")
-    assert checks.parity({"a": a, "b": b, "c": a}, ["id"]).first().asDict() == {"n_rows": 4, "unpaired": 2, "a_b": 1, "a_c": 0}
+    assert checks.parity({"a": a, "b": b, "c": a}, ["id"]).first().asDict() == {"n_rows": 4, "unpaired": 2, "repeated": 0, "a_b": 1, "a_c": 0}
+
+
+def test_parity_of_repeated_keys(spark):
+    """Keys that repeat, or are null, are told and never multiplied; with ordinals each row has its own pair."""
+    rows = spark.createDataFrame([(k % 3 if k % 7 else None, [float(k)], k) for k in range(200)], "id int, scores array<double>, ordinal_ int").repartition(5)
+    assert checks.parity({"a": rows, "b": rows}, ["id"]).first().asDict() == {"n_rows": 4, "unpaired": 0, "repeated": 4, "a_b": 0}
+    assert checks.paired({"a": rows, "b": rows}, ["id"], "scores").agg(F.sum("n_a"), F.sum("n_b"), F.count("*")).first() == (200, 200, 4)
+    named = ordinals.with_ordinal(rows.withColumn("place", F.lit(1)))
+    assert sorted(r.ordinal for r in named.collect()) == list(range(200)) and named.columns == ["id", "scores", "ordinal_", "place", "ordinal"]
+    again = named.repartition(3).orderBy("scores")
+    assert checks.parity({"a": named, "b": again}, ["ordinal"]).first().asDict() == {"n_rows": 200, "unpaired": 0, "repeated": 0, "a_b": 0}
+    assert ordinals.with_ordinal(rows.limit(0)).collect() == []
+    with pytest.raises(ValueError, match="exists"):
+        ordinals.with_ordinal(named)
 
 
 @pytest.mark.parametrize(("arms", "control"), [(["Control", "b"], "Control"), (["1", "0"], "0"), (["b", "a"], "a"), (["control", "Control"], "Control")])
