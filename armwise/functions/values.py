@@ -53,3 +53,35 @@ def array_sum(a: Column) -> Column:
 
 def l1_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+#: Bits of a limb of an exact sum; four limbs hold multiples of 2^-48 below 2^47.
+LIMB = 24
+LIMBS = 4
+_STEP = float(1 << LIMB)
+
+
+def limbs(x: Column) -> list[Column]:
+    """``x`` as four whole numbers of LIMB bits and its sign, the highest first: their sums do not depend on an order.
+
+    Values are multiples of 2^-48 (smaller bits are rounded, each value by itself); 2^47 or more is an error.
+    """
+    size, sign = F.abs(x), F.signum(x).cast("bigint")
+    size = F.when(size < 2.0**47, size).otherwise(F.raise_error(F.lit("an outcome of 2^47 or more has no exact sum")).cast("double"))
+    out, rest = [], size * F.lit(1 / _STEP)
+    for k in range(LIMBS):
+        whole = F.floor(rest) if k < LIMBS - 1 else F.rint(rest).cast("bigint")
+        out.append(whole * sign)
+        rest = (rest - whole) * F.lit(_STEP)
+    return out
+
+
+def limbs_total(sums: list[Column]) -> Column:
+    """The double next to an exact sum, from the sums of its limbs; an integer part past 2^63 is an error."""
+    carried, carry = [], F.lit(0).cast("bigint")
+    for s in reversed(sums):
+        now = s + carry
+        carry = F.shiftright(now, LIMB)
+        carried.append(now - F.shiftleft(carry, LIMB))
+    low, high = carried[1] * (1 << LIMB) + carried[0], (carry * (1 << LIMB) + carried[3]) * (1 << LIMB) + carried[2]
+    return high.cast("double") + low.cast("double") * F.lit(2.0 ** (-2 * LIMB))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from armwise.functions.values import bin_of, is_missing, missing_as_nan, number
+from armwise.functions.values import LIMB, LIMBS, bin_of, is_missing, limbs, limbs_total, missing_as_nan, number
 from armwise.operators.thresholds import bins_table
 from armwise.sources.views import require
 
@@ -37,60 +37,93 @@ def binned(obs: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
 WIDE = 24
 
 
-def _tallied(cuts: dict[str, list[float]]):
-    """A task's tallies of all features: batches are searched in the cuts and counted by (feature, bin, arm)."""
+def _whole_parts(x: np.ndarray) -> list[np.ndarray]:
+    """The limbs of ``functions.values.limbs``, of an array."""
+    if (np.abs(x) >= 2.0**47).any():
+        raise ValueError("an outcome of 2^47 or more has no exact sum")
+    out, rest = [], np.abs(x) * 2.0**-LIMB
+    for k in range(LIMBS):
+        whole = np.floor(rest) if k < LIMBS - 1 else np.rint(rest)
+        out.append(whole * np.sign(x))
+        rest = (rest - whole) * 2.0**LIMB
+    return out
+
+
+def _tallied(cuts: dict[str, list[float]], exact: bool):
+    """A task's tallies of all features: batches are searched in the cuts and counted by (feature, bin, arm).
+
+    Sums of the outcome are doubles, or with ``exact`` those of its limbs, which are whole numbers.
+    """
     names = list(cuts)
     edges = [np.array(cuts[f], float) for f in names]
     first = np.concatenate([[0], np.cumsum([len(e) + 2 for e in edges])])
+    parts = [f"s{k}" for k in range(LIMBS)] if exact else ["accepts"]
 
     def run(batches):
         arms: dict[str, int] = {}
-        count, total = np.zeros((0, first[-1]), np.int64), np.zeros((0, first[-1]))
+        count, totals = np.zeros((0, first[-1]), np.int64), [np.zeros((0, first[-1]), np.int64 if exact else float) for _ in parts]
         for batch in batches:
             coded = batch.column("treatment").dictionary_encode()
             arm = np.array([arms.setdefault(a, len(arms)) for a in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
             if len(arms) > len(count):
-                grown = len(arms) - len(count)
-                count, total = np.pad(count, ((0, grown), (0, 0))), np.pad(total, ((0, grown), (0, 0)))
+                grown = ((0, len(arms) - len(count)), (0, 0))
+                count, totals = np.pad(count, grown), [np.pad(t, grown) for t in totals]
             outcome = batch.column("outcome").to_numpy(zero_copy_only=False)
+            weights = _whole_parts(outcome) if exact else [outcome]
             for k, f in enumerate(names):
                 x = batch.column(f).to_numpy(zero_copy_only=False)
                 bins = np.where(np.isnan(x), len(edges[k]) + 1, np.searchsorted(edges[k], x, side="right"))
                 at, width = arm * (len(edges[k]) + 2) + bins, len(edges[k]) + 2
                 part = slice(first[k], first[k + 1])
                 count[:, part] += np.bincount(at, minlength=len(arms) * width).reshape(-1, width)
-                total[:, part] += np.bincount(at, weights=outcome, minlength=len(arms) * width).reshape(-1, width)
+                for total, w in zip(totals, weights, strict=True):
+                    total[:, part] += np.bincount(at, weights=w, minlength=len(arms) * width).reshape(-1, width).astype(total.dtype)
         labels = np.array(list(arms), object)
         owner = np.repeat(np.arange(len(names)), np.diff(first))
         for k in range(len(arms)):  # a batch for each arm: features * bins rows
             at = np.flatnonzero(count[k])
             feature = pa.DictionaryArray.from_arrays(pa.array(owner[at].astype(np.int32)), pa.array(names)).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [feature, pa.array((at - first[owner[at]]).astype(np.int32)), pa.array([labels[k]] * len(at), pa.string()), pa.array(count[k][at]), pa.array(total[k][at])],
-                names=["feature", "bin_id", "treatment", "opps", "accepts"],
+                [feature, pa.array((at - first[owner[at]]).astype(np.int32)), pa.array([labels[k]] * len(at), pa.string()), pa.array(count[k][at]), *[pa.array(t[k][at]) for t in totals]],
+                names=["feature", "bin_id", "treatment", "opps", *parts],
             )
 
     return run
 
 
-def counted(rows: DataFrame, *more: str) -> DataFrame:
-    """Rows and sums of the outcome by (feature, bin_id, treatment), of ``binned`` rows."""
-    return rows.groupBy("feature", "bin_id", "treatment", *more).agg(F.count(F.lit(1)).alias("opps"), F.sum("outcome").alias("accepts"))
+def counted(rows: DataFrame, *more: str, exact: bool = False) -> DataFrame:
+    """Rows and sums of the outcome by (feature, bin_id, treatment), of ``binned`` rows.
+
+    With ``exact`` the sum is that of whole numbers, rounded once at the end: the same for any order of the rows.
+    """
+    keys = ["feature", "bin_id", "treatment", *more]
+    if not exact:
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("opps"), F.sum("outcome").alias("accepts"))
+    whole = rows.select(*keys, *[c.alias(f"s{k}") for k, c in enumerate(limbs(F.col("outcome")))])
+    return _exact_sums(whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("opps"), *[F.sum(f"s{k}").alias(f"s{k}") for k in range(LIMBS)]), keys)
+
+
+def _exact_sums(sums: DataFrame, keys: list[str]) -> DataFrame:
+    return sums.select(*keys, "opps", limbs_total([F.col(f"s{k}") for k in range(LIMBS)]).alias("accepts"))
 
 
-def tally(obs: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+def tally(obs: DataFrame, cuts: dict[str, list[float]], exact: bool = False) -> DataFrame:
     """(feature, bin_id, bin_boundary, is_missing_bin, treatment, opps, accepts) of the bins that have rows.
 
     Tasks send partial sums only, so arms and bins of any skew cost the same. Few features are binned by
     compiled expressions; from WIDE on, Arrow batches are searched and counted in arrays, and no row is
-    made for each feature of each observation.
+    made for each feature of each observation. With ``exact``, sums of real outcomes do not depend on how rows
+    are dealt out (multiples of 2^-48 below 2^47); else they are sums of doubles in whatever order rows come.
     """
+    keys = ["feature", "bin_id", "treatment"]
     if len(cuts) < WIDE:
-        sums = counted(binned(obs, cuts))
+        sums = counted(binned(obs, cuts), exact=exact)
     else:
-        kinds = "feature string, bin_id int, treatment string, opps bigint, accepts double"
-        parts = obs.select(*[F.col(f"`{f}`") for f in cuts], "treatment", "outcome").mapInArrow(_tallied(cuts), kinds)
-        sums = parts.groupBy("feature", "bin_id", "treatment").agg(F.sum("opps").alias("opps"), F.sum("accepts").alias("accepts"))
+        numbers = [f"s{k}" for k in range(LIMBS)] if exact else ["accepts"]
+        kinds = "feature string, bin_id int, treatment string, opps bigint, " + ", ".join(f"{n} {'bigint' if exact else 'double'}" for n in numbers)
+        parts = obs.select(*[F.col(f"`{f}`") for f in cuts], "treatment", "outcome").mapInArrow(_tallied(cuts, exact), kinds)
+        sums = parts.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in ("opps", *numbers)])
+        sums = _exact_sums(sums, keys) if exact else sums
     return bounded(sums, cuts)
 
 
@@ -121,10 +154,11 @@ def densify(tallies: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
 def prefix_sums(dense: DataFrame) -> DataFrame:
     """Left and right counts and sums of each candidate bin and arm, and what is missing.
 
-    One window over (feature, arm): the missing bin's tally is spread in it, so no join is needed.
+    One window over (feature, arm): the missing bin's tally is spread in it, so no join is needed. Sums are made
+    in the order of the bins, so equal tallies give equal bits.
     """
-    own = Window.partitionBy("feature", "treatment")
-    up = own.orderBy("bin_id").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = Window.partitionBy("feature", "treatment").orderBy("bin_id")
+    own, up = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), ordered.rowsBetween(Window.unboundedPreceding, 0)
     regular = lambda c: F.when(~F.col("is_missing_bin"), F.col(c))
     gap = lambda c: F.coalesce(F.sum(F.when(F.col("is_missing_bin"), F.col(c))).over(own), F.lit(0))
     rows = dense.withColumns({

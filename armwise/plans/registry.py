@@ -129,6 +129,17 @@ def determinism(spark: SparkSession, d: str) -> DataFrame:
     return split_search.same_choice([candidates.best_split(candidates.score(split_search.build_prefix_sums(p, feature_cols=PRICE, splits=CUTS))) for p in parts])
 
 
+def determinism_real(spark: SparkSession, d: str) -> DataFrame:
+    """Exact sums of real outcomes by bin and arm, and how many different ones 1, 5 and 13 partitions give."""
+    rows = views.obs_revenue(spark, d)
+    every = None
+    for part in (rows.coalesce(1), rows.repartition(5), rows.repartition(13)):
+        own = tallies.tally(tallies.observations(part, views.LINE_FEATURES), CUTS, exact=True)
+        every = own if every is None else every.unionByName(own)
+    sums = every.groupBy("feature", "bin_id", "treatment").agg(F.countDistinct("opps", "accepts").alias("versions"), F.max("opps").alias("opps"), F.max("accepts").alias("accepts"))
+    return sums.select("feature", "bin_id", "treatment", "versions", "opps", "accepts")
+
+
 def sample_first_n(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").orderBy("l_orderkey", "l_linenumber").limit(1000)
 
@@ -248,7 +259,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         observations, impute_zero, thresholds_quantile, thresholds_equal_width, boundaries, bin_assign, bin_tallies, bin_tallies_dense, prefix_sums, nan_expanded, control_arm, arm_rates, scored_candidates,
-        scored_candidates_pandas, best_split, best_split_multi, best_split_per_feature, bin_sweep, determinism, sample_first_n, run_summary, forest_json_nodes, forest_invalid_nodes, tree_scores, forest_scores,
+        scored_candidates_pandas, best_split, best_split_multi, best_split_per_feature, bin_sweep, determinism, determinism_real, sample_first_n, run_summary, forest_json_nodes, forest_invalid_nodes, tree_scores, forest_scores,
         forest_scores_pandas, forest_scores_expr, score_contract, score_checksum, scalar_checksum, score_parity, mllib_tree_scores,
         score_pairs, line_pairs, arm_sweep, best_split_wide, deep_forest_scores, result_rows_csv,
     )
@@ -379,6 +390,10 @@ ORACLES = {
     "best_split_per_feature": f"{_scored(CUTS, 1)} SELECT * FROM v WHERE is_valid QUALIFY row_number() OVER (PARTITION BY feature ORDER BY {_RANK}) = 1",
     "bin_sweep": f"{_scored(_SWEEP, 1, dict.fromkeys(_SWEEP, 'l_extendedprice'))} SELECT * REPLACE ('l_extendedprice' AS feature), split_part(feature, '#', 2)::INTEGER AS config FROM v WHERE is_valid QUALIFY row_number() OVER (PARTITION BY feature ORDER BY {_RANK}) = 1",
     "determinism": f"{_scored(_PRICE, 1)} SELECT count(*) AS distinct_choices FROM (SELECT * FROM v WHERE is_valid ORDER BY {_RANK} LIMIT 1)",
+    "determinism_real": f"""WITH {_LINE.replace("CASE WHEN l_linestatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END", "l_extendedprice::DOUBLE * (1.0::DOUBLE - l_discount::DOUBLE)")},
+        b AS ({" UNION ALL ".join(f"SELECT '{f}' AS feature, {_bin(f, own)} AS bin_id, treatment, outcome FROM line" for f, own in CUTS.items())}),
+        s AS (SELECT feature, bin_id, treatment, count(*) AS opps, sum((outcome * 281474976710656.0::DOUBLE)::HUGEINT) AS q FROM b GROUP BY ALL)
+        SELECT feature, bin_id, treatment, 1::BIGINT AS versions, opps, (q // 281474976710656)::DOUBLE + (q % 281474976710656)::DOUBLE / 281474976710656.0::DOUBLE AS accepts FROM s""",
     "sample_first_n": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 1000",
     "run_summary": "SELECT l_returnflag AS mode, avg(l_linenumber::DOUBLE) AS avg_value, min(l_linenumber::DOUBLE) AS min_value, max(l_linenumber::DOUBLE) AS max_value FROM lineitem GROUP BY 1",
     "forest_json_nodes": f"""WITH {_FIT}, n AS (

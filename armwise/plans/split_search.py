@@ -12,10 +12,12 @@ from armwise.operators import candidates, tallies, thresholds
 def build_prefix_sums(
     df: DataFrame, *, feature_cols: list[str], treatment_col: str = "treatment", outcome_col: str = "outcome",
     splits: dict[str, list[float]] | None = None, num_quantile_splits: int | None = None, quantile_relative_error: float = 0.01,
-    on_null_treatment: str = "drop",
+    on_null_treatment: str = "drop", exact_sums: bool = False,
 ) -> DataFrame:
     """Prefix sums of all features; thresholds are given, or quantiles (16 by default).
 
+    With ``exact_sums``, sums of real outcomes are the same for any partitions of the rows (see ``tallies.tally``).
+
     One scan of the observations for any number of features; nothing is cached. A caller that uses the
     result several times writes or caches it: it has features * bins * arms rows.
     """
@@ -26,7 +28,7 @@ def build_prefix_sums(
         cuts = {f: thresholds.clean(splits[f]) for f in feature_cols}
     else:
         cuts = thresholds.quantiles(obs, feature_cols, 16 if num_quantile_splits is None else num_quantile_splits, quantile_relative_error)
-    return tallies.prefix_sums(tallies.densify(tallies.tally(obs, cuts), cuts))
+    return tallies.prefix_sums(tallies.densify(tallies.tally(obs, cuts, exact_sums), cuts))
 
 
 def sweep(df: DataFrame, feature: str, configs: dict[int, list[float]], **options) -> DataFrame:

@@ -31,6 +31,14 @@ def obs_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(*[gap(c) for c in LINE_FEATURES], arm.alias("treatment"), F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0).alias("outcome"))
 
 
+def obs_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line items of ``obs_line`` with their discounted price as a real outcome."""
+    line, price = F.col("l_linenumber"), F.col("l_extendedprice").cast("double")
+    gap = lambda c: F.when(line == 3, F.lit(None)).when(line == 5, F.lit(math.nan)).otherwise(F.col(c).cast("double")).alias(c)
+    arm = F.when(F.col("l_returnflag") == "A", "control").when(F.col("l_returnflag") == "N", "t1").otherwise("t2")
+    return table(spark, sf_dir, "lineitem").select(*[gap(c) for c in LINE_FEATURES], arm.alias("treatment"), (price * (1.0 - F.col("l_discount").cast("double"))).alias("outcome"))
+
+
 def obs_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their customers: balance and price; arms are market segments; outcome is status F or not."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")

@@ -88,6 +88,26 @@ def test_wide_tallies(spark, monkeypatch):
     assert tallies.tally(obs.limit(0), cuts).collect() == []
 
 
+@pytest.mark.parametrize("wide", [24, 1])
+def test_exact_sums(spark, monkeypatch, wide):
+    """Sums of real outcomes are the exactly rounded ones, bit by bit, however rows are dealt out; plain ones differ."""
+    monkeypatch.setattr(tallies, "WIDE", wide)
+    rng = random.Random(11)
+    rows = [(rng.choice([0.5, 3.0, None]), rng.choice("ab"), rng.choice([rng.uniform(-1, 1) * 10 ** rng.randrange(-3, 13), 0.1, -0.1, 2.0**46, -(2.0**46), 2.0**-48])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "x double, treatment string, outcome double")
+    held = lambda y: round(math.ldexp(y, 48)) if abs(y) < 2**5 else int(math.ldexp(y, 48))
+    want = {}
+    for x, t, y in rows:
+        key = (2 if x is None else int(x >= 1), t)
+        want[key] = want.get(key, 0) + held(y)
+    want = {k: float((v >> 48) + (v & (2**48 - 1)) / 2.0**48) for k, v in want.items()}
+    for part in (df.coalesce(1), df.repartition(5), df.repartition(13)):
+        got = {(r.bin_id, r.treatment): r.accepts for r in tallies.tally(tallies.observations(part, ["x"]), {"x": [1.0]}, exact=True).collect()}
+        assert got == want
+    with pytest.raises(Exception, match="no exact sum"):
+        tallies.tally(tallies.observations(df.withColumn("outcome", F.lit(-(2.0**47))), ["x"]), {"x": [1.0]}, exact=True).collect()
+
+
 def test_exact_quantiles(spark):
     rng = random.Random(4)
     values = [rng.choice([rng.gauss(0, 1e-3), rng.expovariate(1e-6), 0.0, -0.5, 2.0**40, 5e-324, math.inf, -math.inf, None, math.nan]) for _ in range(500)]
