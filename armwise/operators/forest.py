@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from armwise.sources import sinks
+
 # The fields of a tree and the JSON schema of a forest.
 FIELDS = ["node_type", "feature_idx", "thresholds", "cat_value", "left_child", "right_child", "nan_goes_left", "leaf_response_rates"]
 JSON_SCHEMA = (
@@ -73,3 +76,60 @@ def invalid_nodes(table: DataFrame, n_features: int) -> DataFrame:
     outside = lambda c, top: (F.col(c) < 0) | (F.col(c) >= top)
     bad = ~F.col("node_type").isin(LEAF, CONTINUOUS, CATEGORICAL) | (inner & (outside("feature_idx", n_features) | outside("left_child", F.col("size")) | outside("right_child", F.col("size")))) | (F.size("leaf_response_rates") != width)
     return table.join(sizes, "tree").where(bad).drop("size")
+
+
+def tree_table(spark: SparkSession, forest: list[dict]) -> DataFrame:
+    """(tree, text): a row for each tree, as JSON; for forests that no driver holds, such a table is made by Spark."""
+    return spark.createDataFrame([(k, to_json([t])) for k, t in enumerate(forest)], "tree int, text string")
+
+
+def checked(trees: DataFrame, n_features: int) -> DataFrame:
+    """A table of trees as it is; a tree that cannot be walked fails the job that reads it."""
+
+    def run(batches):
+        for batch in batches:
+            for tree, text in zip(batch.column("tree").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                try:
+                    validate(json.loads(text), n_features)
+                except ValueError as e:
+                    raise ValueError(f"row {tree}: {e}") from e
+            yield pa.RecordBatch.from_arrays([batch.column("tree"), batch.column("text")], names=["tree", "text"])
+
+    return trees.select("tree", "text").mapInArrow(run, "tree int, text string")
+
+
+def node_faults(table: DataFrame, max_depth: int) -> DataFrame:
+    """(tree, node, fault) of a table of nodes (tree, node, node_type, left_child, right_child), however large its trees.
+
+    ``child_outside``: an inner node with a child that the tree lacks; ``root_has_parent``; ``two_parents``: more
+    than one link leads to the node; ``cycle``: the way up, by the least parent, never ends; ``unreachable``: it
+    ends elsewhere than at node 0; ``too_deep``: it has more than ``max_depth`` steps. A node may have several
+    faults; a sound forest, and an empty one, have none.
+
+    The ways up are found by pointer jumping: each round doubles all open ones by a join on the node they have
+    reached. Those that have ended leave the join, so the root, where most end, is never looked up.
+    """
+    nodes = sinks.kept(table.select("tree", "node", "node_type", "left_child", "right_child"), "nodes")
+    links = nodes.where(F.col("node_type") != LEAF).select("tree", F.col("node").alias("parent"), F.explode(F.array("left_child", "right_child")).alias("node"))
+    links = links.select("tree", "parent", F.col("node").cast(dict(nodes.dtypes)["node"]).alias("node"))
+    met = links.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("links"), F.min("parent").alias("parent"))
+    rows = nodes.select("tree", "node").distinct().join(met, ["tree", "node"], "left")
+    parent = F.when(F.col("node") != 0, F.col("parent"))
+    rows = sinks.kept(rows.select("tree", "node", "links", F.coalesce(parent, "node").alias("top"), parent.isNotNull().cast("bigint").alias("steps"), parent.isNotNull().alias("open")), "ways")
+
+    most, reach = rows.groupBy("tree").count().agg(F.max("count")).first()[0] or 0, 1
+    while reach <= most and not rows.where("open").isEmpty():
+        ahead = rows.select("tree", F.col("node").alias("top"), F.col("top").alias("far"), F.col("steps").alias("more"), F.col("open").alias("on"))
+        gone = rows.where("open").join(ahead, ["tree", "top"])
+        gone = gone.select("tree", "node", "links", F.col("far").alias("top"), (F.col("steps") + F.col("more")).alias("steps"), F.col("on").alias("open"))
+        rows, reach = sinks.kept(rows.where("not open").unionByName(gone), "ways"), 2 * reach
+
+    when = lambda test, fault: F.when(test, F.lit(fault))
+    n_links = F.coalesce("links", F.lit(0))
+    faults = F.array(
+        when((F.col("node") == 0) & (n_links > 0), "root_has_parent"), when(n_links > 1, "two_parents"), when(F.col("open"), "cycle"),
+        when(~F.col("open") & (F.col("top") != 0), "unreachable"), when(~F.col("open") & (F.col("top") == 0) & (F.col("steps") > max_depth), "too_deep"),
+    )
+    found = rows.select("tree", "node", F.explode(F.array_compact(faults)).alias("fault"))
+    lost = links.join(nodes.select("tree", "node"), ["tree", "node"], "left_anti").select("tree", F.col("parent").alias("node"), F.lit("child_outside").alias("fault")).distinct()
+    return found.unionByName(lost)

@@ -174,6 +174,15 @@ def forest_invalid_nodes(spark: SparkSession, d: str) -> DataFrame:
     return forest.invalid_nodes(table, 4).select("tree", "node", "feature_idx")
 
 
+#: Depth that the walks of ``forest_faults`` may have.
+BUDGET = 4
+
+
+def forest_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Loops, nodes with two parents or none, children that are not there and walks beyond the budget, in a tree for each part."""
+    return forest.node_faults(views.planted_forest(spark, d), BUDGET)
+
+
 def _wide(df: DataFrame, n: int = 3) -> DataFrame:
     return df.select("l_orderkey", "line", "l_partkey", "l_suppkey", *[F.element_at("scores", i + 1).alias(f"r{i}") for i in range(n)])
 
@@ -245,6 +254,12 @@ def deep_forest_scores(spark: SparkSession, d: str) -> DataFrame:
     return _wide(scored, 4)
 
 
+def deep_forest_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The same forest as a table of trees, in blocks of seven, none of which is broadcast."""
+    trees = forest.tree_table(spark, DEEP_FOREST)
+    return _wide(scoring.score_blocks(views.deep_input(spark, d, DEEP_INPUTS), trees, [f"d{k}" for k in range(DEEP_INPUTS)], block=7, chunk=1 << 16), 4)
+
+
 def result_rows_csv(spark: SparkSession, d: str) -> DataFrame:
     """Scored candidates written as CSV and read back."""
     rows = scored_candidates(spark, d)
@@ -259,9 +274,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         observations, impute_zero, thresholds_quantile, thresholds_equal_width, boundaries, bin_assign, bin_tallies, bin_tallies_dense, prefix_sums, nan_expanded, control_arm, arm_rates, scored_candidates,
-        scored_candidates_pandas, best_split, best_split_multi, best_split_per_feature, bin_sweep, determinism, determinism_real, sample_first_n, run_summary, forest_json_nodes, forest_invalid_nodes, tree_scores, forest_scores,
+        scored_candidates_pandas, best_split, best_split_multi, best_split_per_feature, bin_sweep, determinism, determinism_real, sample_first_n, run_summary, forest_json_nodes, forest_invalid_nodes, forest_faults, tree_scores, forest_scores,
         forest_scores_pandas, forest_scores_expr, score_contract, score_checksum, scalar_checksum, score_parity, mllib_tree_scores,
-        score_pairs, line_pairs, arm_sweep, best_split_wide, deep_forest_scores, result_rows_csv,
+        score_pairs, line_pairs, arm_sweep, best_split_wide, deep_forest_scores, deep_forest_blocks, result_rows_csv,
     )
 }
 
@@ -354,6 +369,25 @@ def _deep_sql() -> str:
         SELECT l_orderkey, line, l_partkey, l_suppkey, {", ".join(arm(a) for a in range(4))} FROM l"""
 
 
+def _faults_sql() -> str:
+    """The ways up by the least parent, step by step, until they end or are longer than any tree."""
+    return f"""WITH RECURSIVE g AS (SELECT p_partkey AS tree, p_partkey % 7 AS kind, unnest(range(0, 19))::INTEGER AS node FROM part),
+        n AS (SELECT * FROM g WHERE node < 15 OR kind = 5),
+        c AS (SELECT tree, node, CASE WHEN kind = 2 AND node = 3 THEN 1 WHEN kind = 4 AND node = 0 THEN 2 WHEN kind = 6 AND node = 5 THEN 99 WHEN kind = 5 AND node >= 14 THEN node + 1 ELSE 2 * node + 1 END AS l,
+                CASE WHEN kind = 1 AND node = 6 THEN 0 WHEN kind = 3 AND node = 2 THEN 5 WHEN kind = 4 AND node = 4 THEN 1 WHEN kind = 5 AND node >= 14 THEN node + 2 ELSE 2 * node + 2 END AS r
+              FROM n WHERE node < 7 OR kind = 5 AND node IN (14, 16)),
+        k AS (SELECT tree, node AS parent, unnest([l, r]) AS node FROM c),
+        m AS (SELECT tree, node, count(*) AS links, min(parent) AS parent FROM k GROUP BY tree, node),
+        up AS (SELECT tree, node, node AS top, 0 AS steps FROM n
+               UNION ALL SELECT up.tree, up.node, m.parent, steps + 1 FROM up JOIN m ON m.tree = up.tree AND m.node = up.top WHERE up.top <> 0 AND steps < 20),
+        e AS (SELECT tree, node, max(steps) AS steps, arg_max(top, steps) AS top FROM up GROUP BY tree, node),
+        f AS (SELECT e.*, coalesce(links, 0) AS links FROM e LEFT JOIN m USING (tree, node))
+        SELECT tree, node, 'root_has_parent' AS fault FROM f WHERE node = 0 AND links > 0 UNION ALL SELECT tree, node, 'two_parents' FROM f WHERE links > 1
+        UNION ALL SELECT tree, node, 'cycle' FROM f WHERE steps = 20 UNION ALL SELECT tree, node, 'unreachable' FROM f WHERE steps < 20 AND top <> 0
+        UNION ALL SELECT tree, node, 'too_deep' FROM f WHERE steps BETWEEN {BUDGET + 1} AND 19 AND top = 0
+        UNION ALL SELECT DISTINCT tree, parent, 'child_outside' FROM k WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.tree = k.tree AND n.node = k.node)"""
+
+
 def _forest_sql(arm: int) -> str:
     return "(" + " + ".join(_tree_sql(k, arm) for k in range(3)) + ") / 3.0::DOUBLE"
 
@@ -402,6 +436,7 @@ ORACLES = {
         UNION ALL SELECT 2, 0, 1, 'l_extendedprice', coalesce(p <= 30000, true) FROM fit)
         SELECT tree, node, node_type::BIGINT AS node_type, feature, count(*) FILTER (l) AS rows_left, count(*) AS rows_all FROM n GROUP BY 1, 2, 3, 4""",
     "forest_invalid_nodes": f"{_scored(CUTS, 1)} SELECT DISTINCT 3 AS tree, 0 AS node, 9 AS feature_idx FROM v WHERE is_valid AND feature = 'l_tax'",
+    "forest_faults": _faults_sql(),
     "tree_scores": f"WITH {_FIT} SELECT l_orderkey, line, l_partkey, l_suppkey, " + ", ".join(f"{_tree_sql(0, a)} AS r{a}" for a in range(3)) + " FROM fit",
     "forest_scores": _FOREST_SQL,
     "forest_scores_pandas": _FOREST_SQL,
@@ -414,6 +449,7 @@ ORACLES = {
     "arm_sweep": _arm_sweep_sql(),
     "best_split_wide": f"{_scored(WIDE_CUTS, 1, {f: f'(l_extendedprice * {float(1 + k % 7)!r}::DOUBLE + l_quantity * {float(k)!r}::DOUBLE)' for k, f in enumerate(WIDE_CUTS)})} SELECT * FROM v WHERE is_valid QUALIFY row_number() OVER (PARTITION BY feature ORDER BY {_RANK}) = 1",
     "deep_forest_scores": _deep_sql(),
+    "deep_forest_blocks": _deep_sql(),
     "result_rows_csv": f"{_scored(CUTS, 100)} SELECT * FROM v",
     "score_parity": "SELECT count(*) AS n_rows, 0::BIGINT AS mismatches FROM lineitem",
 }

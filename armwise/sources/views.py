@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, where a small table is read in fewer: for costly work on each row.
+
+    A large table has more tasks than cores and stays as it is; what moves is what ``df`` has selected.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 LINE_FEATURES = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
 FOREST_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
@@ -57,7 +66,7 @@ def forest_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wide_line(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     """Line items with n features w0, w1, ...: sums of price and quantity by weights that differ; arms and outcome."""
-    rows = obs_line(spark, sf_dir)
+    rows = spread(obs_line(spark, sf_dir))
     wide = [(F.col("l_extendedprice") * F.lit(float(1 + k % 7)) + F.col("l_quantity") * F.lit(float(k))).alias(f"w{k}") for k in range(n)]
     return rows.select(*wide, "treatment", "outcome")
 
@@ -72,4 +81,18 @@ def deep_input(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey", "l_linenumber AS line", "l_partkey", "l_suppkey", price, "cast(l_quantity AS double) AS quantity", "cast(l_discount AS double) AS discount", "l_orderkey AS okey"
     )
-    return rows.selectExpr("l_orderkey", "line", "l_partkey", "l_suppkey", *[f"{DEEP_FEATURES[k % 4].replace('K', str(k))} AS d{k}" for k in range(n)])
+    return spread(rows).selectExpr("l_orderkey", "line", "l_partkey", "l_suppkey", *[f"{DEEP_FEATURES[k % 4].replace('K', str(k))} AS d{k}" for k in range(n)])
+
+
+def planted_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of nodes: for each part a complete tree of 15 nodes, with one of six faults by its key, or none.
+
+    1: the root is a child; 2: a node has two parents; 3: two links of one parent lead to one node; 4: a loop of
+    two nodes, apart from the root; 5: a tree of five levels; 6: a child that the tree lacks.
+    """
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("tree"), (F.col("p_partkey") % 7).cast("int").alias("kind"))
+    rows = rows.select("tree", "kind", F.explode(F.sequence(F.lit(0), F.lit(18))).alias("node")).where("node < 15 or kind = 5")
+    inner = "node < 7 or kind = 5 and node in (14, 16)"
+    left = "case when kind = 2 and node = 3 then 1 when kind = 4 and node = 0 then 2 when kind = 6 and node = 5 then 99 when kind = 5 and node >= 14 then node + 1 else 2 * node + 1 end"
+    right = "case when kind = 1 and node = 6 then 0 when kind = 3 and node = 2 then 5 when kind = 4 and node = 4 then 1 when kind = 5 and node >= 14 then node + 2 else 2 * node + 2 end"
+    return rows.selectExpr("tree", "node", f"if({inner}, 1, 0) AS node_type", f"{left} AS left_child", f"{right} AS right_child")

@@ -214,6 +214,54 @@ def test_validation(spark):
     assert table.count() == 10 and [(r.tree, r.node) for r in forest.invalid_nodes(table, 2).collect()] == [(1, 0)]
 
 
+def test_node_faults(spark):
+    """Long chains and loops, against walks in plain Python."""
+    rng, rows = random.Random(2), []
+    for tree in range(40):
+        n = rng.choice([1, 2, 7, 33, 100])
+        for i in range(n):
+            far = lambda: rng.choice([i + 1, i + 2, rng.randrange(n + 2)]) if rng.random() < 0.9 else i  # noqa: E731, B023
+            rows.append((tree, i, rng.choice([0, 1, 1, 2]), far(), far()))
+    table = spark.createDataFrame(rows, "tree int, node int, node_type int, left_child int, right_child int").repartition(5)
+    want, have = set(), {(t, i) for t, i, *_ in rows}
+    parents = {}
+    for t, i, kind, left, right in rows:
+        for c in (left, right) if kind else ():
+            parents.setdefault((t, c), []).append(i)
+            want |= {(t, i, "child_outside")} if (t, c) not in have else set()
+    for t, i in have:
+        links, at, steps = parents.get((t, i), []), i, 0
+        want |= {(t, i, f) for f, bad in (("root_has_parent", i == 0 and links), ("two_parents", len(links) > 1)) if bad}
+        while at and (t, at) in parents and steps < 200:
+            at, steps = min(parents[t, at]), steps + 1
+        end = "cycle" if steps == 200 else "unreachable" if at else "too_deep" if steps > 9 else None
+        want |= {(t, i, end)} if end else set()
+    assert {f for *_, f in want} == {"child_outside", "root_has_parent", "two_parents", "cycle", "unreachable", "too_deep"}
+    found = [tuple(r) for r in forest.node_faults(table, 9).collect()]
+    assert sorted(found) == sorted(want)
+    assert forest.node_faults(table.limit(0), 9).collect() == []
+    assert forest.node_faults(forest.nodes(spark, forest.to_json([TREE])), 2).collect() == []
+
+
+@pytest.mark.parametrize("block", [1, 7, 50])
+def test_score_blocks(spark, block):
+    """Blocks of trees give the bits of one broadcast forest, for chunks of any size, nulls and clashing names."""
+    names = [f"f{i}" for i in range(6)]
+    df = synthetic.features(spark, 3000, 6, 0.2).withColumns({"chunk": F.lit("c"), "turn": F.lit(1), "row": F.lit(2), "place": F.lit(3)})
+    df = df.withColumn("f2", F.when(F.col("f1") > 0, float("nan")).otherwise(F.col("f2")))
+    trees = synthetic.forest(5, 3, 50, n_features=6)
+    want = sorted(map(str, scoring.score_arrow(df, trees, names).collect()))
+    for chunk in (700, 1 << 18):
+        assert sorted(map(str, scoring.score_blocks(df, forest.tree_table(spark, trees), names, block=block, chunk=chunk).collect())) == want
+    if block == 7:
+        assert scoring.score_blocks(df.limit(0), forest.tree_table(spark, trees), names).collect() == []
+        with pytest.raises(Exception, match="child outside"):
+            scoring.score_blocks(df, forest.tree_table(spark, [TREE | {"left_child": [9, 1, 3, 3, 4]}]), names).collect()
+        for score in (scoring.score_arrow, scoring.score_pandas):
+            with pytest.raises(ValueError, match="not a number"):
+                score(df.withColumn("f0", F.current_date()), trees, names)
+
+
 def test_synthetic(spark):
     assert synthetic.observations(spark, 100, 2, 3).columns == ["x0", "x1", "treatment", "outcome"]
     assert synthetic.three_arms(spark, 50, 0.2, 0.2).count() == 50
