@@ -415,6 +415,67 @@ def test_class_lm(docs):
         assert r.n_tokens == len(texts[r.doc_id]) and r.score < 0
 
 
+def test_class_score(spark):
+    """The score from classes, transitions, emissions and spellings, made step by step; junk below prose; all sums to 1."""
+    rng = random.Random(21)
+    common = [f"w{rng.randrange(90)}" for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(common, k=rng.randrange(1, 40))) + rng.choice(["", " Zq", " x" + "y" * rng.randrange(5)])) for i in range(80)]
+    rows += [(200 + i, " ".join("".join(rng.choices(string.ascii_lowercase, k=9)) for _ in range(30))) for i in range(20) if zlib.crc32(str(200 + i).encode()) % 7 == 2]
+    long = next(i for i in range(310, 400) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows += [(300, None), (301, ""), (long, "é" * 3000)]
+    texts = {i: [*words(t, True), None] for i, t in rows}
+    learn = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    K, start, after = class_lm.CLASSES, class_lm._START, class_lm._AFTER
+    count = collections.Counter(w for t in learn for w in t)
+    tail = lambda w: 0 if w is None else w[-1] | (w[-2] << 8 if len(w) > 1 else 0)
+    own = {w: int(C.mix(np.array([tail(w)], np.uint64))[0] % np.uint64(K)) for w in count}
+    table, near = np.zeros((K + 2, K)), collections.defaultdict(collections.Counter)
+    for t in learn:
+        for k, w in enumerate(t):
+            before = own[t[k - 1]] if k else start
+            table[before, own[w]] += 1
+            near[w][before] += 1
+            if k + 1 < len(t):
+                near[w][after + own[t[k + 1]]] += 1
+    cls = {}
+    for w in count:
+        code = np.array(sorted(near[w]))
+        gain = class_lm.gains(table, np.array([own[w]]), np.array([count[w]]), np.zeros(len(code), int), code, np.array([float(near[w][c]) for c in code]))
+        cls[w] = int(np.argmax(gain[0]))
+    steps, total, n = np.zeros((K + 2, K)), np.zeros(K), sum(count.values())
+    for w, c in count.items():
+        total[cls[w]] += c
+    for t in learn:
+        for k, w in enumerate(t):
+            steps[cls[t[k - 1]] if k else start, cls[w]] += 1
+    unseen = (sum(c == 1 for c in count.values()) + 0.5) / (n + 1)
+    letters, follows = [b for b in range(256) if bytes([b]).strip() and not 65 <= b <= 90], collections.Counter()
+    for t in learn:
+        for w in t[:-1]:
+            follows.update(zip([256, *w], [*w, 256], strict=True))
+    seen = collections.Counter()
+    for (a, _), c in follows.items():
+        seen[a] += c
+    spell = lambda w: math.prod((follows[a, b] + 1) / (seen[a] + len(letters) + (a != 256)) for a, b in zip([256, *w], [*w, 256], strict=True))
+    left = 1 - sum(spell(w) for w in count if w is not None)
+    move = (1 - unseen) * (steps + class_lm.SMOOTH * total / n) / (steps.sum(axis=1, keepdims=True) + class_lm.SMOOTH)
+    known = lambda before, w: move[before, cls[w]] * count[w] / total[cls[w]]
+    for before in range(K + 2):
+        assert math.isclose(sum(known(before, w) for w in count) + unseen, 1) and 0 < left < 1
+    got = {r.doc_id: r for r in class_lm.score_texts(spark.createDataFrame(rows, "doc_id int, text string").repartition(3)).collect()}
+    each = {"prose": [], "junk": []}
+    for i, t in texts.items():
+        want = 0.0
+        for k, w in enumerate(t):
+            before = start if not k else cls.get(t[k - 1], class_lm._UNKNOWN)
+            want += math.log10(known(before, w) if w in count else max(1e-300, unseen / left * spell(w)))
+        if i != long:
+            assert math.isclose(got[i].score, want, rel_tol=1e-6), i
+        if i < 300:
+            each["junk" if i >= 200 else "prose"].append(got[i].score / got[i].n_tokens)
+    assert max(each["junk"]) < min(each["prose"]) and got[long].score < -3000
+
+
 def test_class_exchange():
     """Each word's gains are, but for a part common to all classes, the likelihoods after its move."""
     rng = np.random.default_rng(7)
