@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from armwise.functions.values import rate
+from armwise.sources import sinks
 from armwise.sources.views import require
 
 PREFIX_COLUMNS = ["feature", "candidate_bin", "bin_boundary", "treatment", "left_count_base", "left_sum_base", "right_count_base", "right_sum_base", "missing_count", "missing_sum"]
@@ -50,6 +51,10 @@ def score(prefix: DataFrame, *, min_leaf_size: int = 1, min_uplift: float = 0.0,
 
     Valid are those with rows of every arm on both sides, min_leaf_size rows on each side, a control and
     another arm, and a score of min_uplift or more. The score is null where an arm is empty.
+
+    The prefix sums (features * bins * arms rows) are written first, so the observations behind them are read once:
+    for the control arm, one for all features, and for the candidates. With ``pandas``, candidates are dealt by
+    their hash, so one feature's go to many tasks, and whole ones are scored in batches.
     """
     if metric != "ddp_max":
         raise ValueError("metric must be ddp_max")
@@ -59,18 +64,19 @@ def score(prefix: DataFrame, *, min_leaf_size: int = 1, min_uplift: float = 0.0,
         raise ValueError("prefer_nan_direction_on_tie must be left or right")
     if min_leaf_size < 1:
         raise ValueError("min_leaf_size must be 1 or more")
-    rows = expand(prefix)
+    prefix = sinks.kept(require(prefix, *PREFIX_COLUMNS).select(*PREFIX_COLUMNS), "prefix")
+    rows, control = expand(prefix), control_arm(prefix).scalar()
     if evaluation_mode == "pandas":
-        control = control_arm(prefix.select("treatment").distinct()).scalar()
-        marked = rows.withColumn("is_control", F.col("treatment") == control)
-        return marked.groupBy("feature").applyInPandas(_score_frame(min_leaf_size, min_uplift, prefer_nan_direction_on_tie), SCORED)
+        marked = rows.withColumn("is_control", F.coalesce(F.col("treatment") == control, F.lit(False)))
+        n = int(prefix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = marked.repartition(n, "feature", "candidate_bin", "nan_direction").sortWithinPartitions("feature", "candidate_bin", "nan_direction", "treatment")
+        return dealt.mapInPandas(_score_batches(min_leaf_size, min_uplift, prefer_nan_direction_on_tie), SCORED)
     arm = F.struct("treatment", rate(F.col("left_sum"), F.col("left_count")).alias("left"), rate(F.col("right_sum"), F.col("right_count")).alias("right"))
     per = rows.groupBy(*KEYS).agg(
         F.sum("left_count").alias("left_count"), F.sum("left_sum").alias("left_sum"), F.sum("right_count").alias("right_count"), F.sum("right_sum").alias("right_sum"),
-        F.min(F.least("left_count", "right_count")).alias("least"), F.collect_list(arm).alias("arms"), F.min(_control_rank()).alias("first"),
+        F.min(F.least("left_count", "right_count")).alias("least"), F.collect_list(arm).alias("arms"),
     )
-    # The control of all candidates: over a row for each of them, so that the observations are read once.
-    per = per.withColumn("control", F.min("first").over(Window.partitionBy())["treatment"])
+    per = per.withColumn("control", control)
     mine = lambda a: F.coalesce(a["treatment"] == F.col("control"), F.lit(False))
     per = per.withColumns({"base": F.get(F.filter("arms", mine), 0), "others": F.filter("arms", lambda a: ~mine(a))})
     high = lambda side: F.array_max(F.transform("others", lambda a: a[side])) - F.col(f"base.{side}")
@@ -84,29 +90,50 @@ def score(prefix: DataFrame, *, min_leaf_size: int = 1, min_uplift: float = 0.0,
     return per.select(*KEYS, "left_count", "left_sum", "right_count", "right_sum", "score", (fits & good).alias("is_valid"), "tie_break_rank")
 
 
-def _score_frame(min_leaf_size: int, min_uplift: float, prefer: str):
-    """The same for all candidates of a feature at once, as arrays (candidate, arm)."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["candidate_bin", "nan_direction", "treatment"])
-        arms = frame["treatment"].nunique()
-        grid = lambda c: frame[c].to_numpy(dtype=float).reshape(-1, arms)
-        lc, ls, rc, rs = grid("left_count"), grid("left_sum"), grid("right_count"), grid("right_sum")
-        control = frame["is_control"].to_numpy(dtype=bool)[:arms]
-        out = frame.iloc[::arms][KEYS].reset_index(drop=True)
-        out["left_count"], out["left_sum"], out["right_count"], out["right_sum"] = lc.sum(1).astype("int64"), ls.sum(1), rc.sum(1).astype("int64"), rs.sum(1)
-        full = (lc > 0).all(1) & (rc > 0).all(1)
-        value = np.full(len(out), np.nan)
-        if control.any() and not control.all():
+def _score_batches(min_leaf_size: int, min_uplift: float, prefer: str):
+    """The same in arrays: rows come sorted by candidate; one that a batch cuts off waits for the next."""
+    keys = ["feature", "candidate_bin", "nan_direction"]
+
+    def scored(frame: pd.DataFrame, new: np.ndarray) -> pd.DataFrame:
+        heads = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        lc, ls, rc, rs = (frame[c].to_numpy(dtype=float) for c in ("left_count", "left_sum", "right_count", "right_sum"))
+        control = frame["is_control"].to_numpy(dtype=bool)
+        sums = [np.add.reduceat(x, heads) for x in (lc, ls, rc, rs)]
+        full = np.minimum.reduceat(np.minimum(lc, rc), heads) > 0
+        fits = full & np.logical_or.reduceat(control, heads) & np.logical_or.reduceat(~control, heads)
+        ends = []
+        for total, count in ((ls, lc), (rs, rc)):
             with np.errstate(divide="ignore", invalid="ignore"):
-                left, right = ls / lc, rs / rc
-            left, right = left[:, ~control] - left[:, control][:, :1], right[:, ~control] - right[:, control][:, :1]
-            value = np.where(full, np.maximum(right.max(1) - left.min(1), left.max(1) - right.min(1)), np.nan)
+                own = total / count
+            base = np.zeros(len(heads))
+            base[group[control]] = own[control]
+            up = own - base[group]
+            ends.append((np.maximum.reduceat(np.where(control, -np.inf, up), heads), np.minimum.reduceat(np.where(control, np.inf, up), heads)))
+        (left_high, left_low), (right_high, right_low) = ends
+        with np.errstate(invalid="ignore"):
+            value = np.where(fits, np.maximum(right_high - left_low, left_high - right_low), np.nan)
+        out = frame.iloc[heads][KEYS].reset_index(drop=True)
+        out["left_count"], out["left_sum"], out["right_count"], out["right_sum"] = sums[0].astype("int64"), sums[1], sums[2].astype("int64"), sums[3]
         out["score"] = pd.Series(value).astype(object).where(~np.isnan(value), None)
-        out["is_valid"] = full & (out["left_count"] >= min_leaf_size) & (out["right_count"] >= min_leaf_size) & (value >= min_uplift)
+        out["is_valid"] = fits & (out["left_count"] >= min_leaf_size) & (out["right_count"] >= min_leaf_size) & (value >= min_uplift)
         out["tie_break_rank"] = np.where(out["nan_direction"] == prefer, 0, 1).astype("int32")
         return out
 
+    def run(frames):
+        rest = None
+        for frame in frames:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            new = (frame[keys] != frame[keys].shift()).any(axis=1).to_numpy()
+            last = np.flatnonzero(new)[-1]
+            rest = frame.iloc[last:]
+            if last:
+                yield scored(frame.iloc[:last], new[:last])
+        if rest is not None and len(rest):
+            yield scored(rest, np.arange(len(rest)) == 0)
+
     return run
 
 

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from armwise.functions.values import is_missing, number
+from armwise.functions.values import bin_of, is_missing, number
 
 
 def clean(values: Iterable) -> list[float]:
@@ -55,24 +55,49 @@ def _cell(x: Column) -> Column:
 def exact_quantiles(df: DataFrame, features: list[str], n: int = 16) -> DataFrame:
     """(feature, cut): the distinct values at rank ceil(i * rows / n) of each feature's present values, i = 1..n-1.
 
-    Distributed: equal values are counted first, counts are summed by cells of the value axis, the cells of a
-    feature by a window (their number is bounded by the number format), and values inside a cell by another.
-    No value passes through the driver. A feature without values gives no row.
+    Two passes. The first counts the cells of the value axis (partial counts; a feature's cells are bounded by the
+    number format, not by its values) and finds by a window over them those that hold a wanted rank: n - 1 a feature
+    at most, so they are broadcast. In the second only values of these cells travel, equal ones as one with their
+    number. No value passes through the driver. A feature without values gives no row.
     """
     if n < 1:
         raise ValueError("n >= 1 is asked for")
     each = F.array(*[F.struct(F.lit(f).alias("feature"), number(f).alias("x")) for f in features])
-    rows = df.select(F.explode(each).alias("v")).select("v.feature", "v.x").where(~is_missing(F.col("x")))
-    counts = rows.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("cell", _cell(F.col("x")))
-    cells = counts.groupBy("feature", "cell").agg(F.sum("n").alias("n"))
+    rows = df.select(F.explode(each).alias("v")).select("v.feature", "v.x").where(~is_missing(F.col("x"))).withColumn("cell", _cell(F.col("x")))
     own = Window.partitionBy("feature")
     before = own.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("feature", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(own).alias("all"))
-    inner = Window.partitionBy("feature", "cell").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    upto = counts.withColumn("upto", F.sum("n").over(inner)).join(cells, ["feature", "cell"]).withColumn("upto", F.col("upto") + F.col("before"))
+    cells = rows.groupBy("feature", "cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.select("feature", "cell", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(own).alias("all"))
     ranks = F.transform(F.sequence(F.lit(1), F.lit(max(n - 1, 1))), lambda i: F.ceil(i * F.col("all") / n))
-    met = F.exists(ranks, lambda r: (r <= F.col("upto")) & (r > F.col("upto") - F.col("n")))
-    return upto.where(met & F.lit(n > 1)).select("feature", F.col("x").alias("cut"))
+    met = lambda upto: F.exists(ranks, lambda r: (r <= upto) & (r > upto - F.col("n"))) & F.lit(n > 1)
+    wanted = cells.where(met(F.col("before") + F.col("n"))).select("feature", "cell", "before", "all")
+
+    counts = rows.join(F.broadcast(wanted), ["feature", "cell"]).groupBy("feature", "cell", "before", "all", "x").agg(F.count(F.lit(1)).alias("n"))
+    inner = Window.partitionBy("feature", "cell").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("upto", F.sum("n").over(inner) + F.col("before"))
+    return upto.where(met(F.col("upto"))).select("feature", F.col("x").alias("cut"))
+
+
+def rank_errors(df: DataFrame, cuts: dict[str, list[float]], n: int = 16) -> DataFrame:
+    """(feature, quantile, error): for each i of n quantiles, how far the nearest cut's ranks are from i / n, as a share.
+
+    One scan: rows are counted by bins between each cut and the next double after it, which tell how many values
+    are below a cut and how many not above it; a row for each feature and bin moves. A feature without values has no
+    error (null), one without cuts is off by the whole; an empty table gives no row.
+    """
+    fine = {f: sorted({x for c in own for x in (c, math.nextafter(c, math.inf))}) for f, own in cuts.items()}
+    places = [(f, [fine[f].index(c) for c in own], [fine[f].index(math.nextafter(c, math.inf)) for c in own], len(fine[f])) for f, own in cuts.items()]
+    spec = df.sparkSession.createDataFrame(places, "feature string, below array<int>, upto array<int>, last int")
+    each = F.array(*[F.struct(F.lit(f).alias("feature"), bin_of(number(f), own).alias("bin")) for f, own in fine.items()])
+    counts = df.select(F.explode(each).alias("v")).groupBy("v.feature", "v.bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("have"))  # a feature's bins
+    own = F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.coalesce(F.try_element_at("have", k), F.lit(0).cast("bigint")))
+    sums = F.aggregate("own", F.array(F.lit(0).cast("bigint")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    rows = counts.join(F.broadcast(spec), "feature").withColumn("own", own).withColumn("sums", sums).withColumn("size", F.element_at("sums", -1))
+    rows = rows.select("feature", "below", "upto", "sums", "size", F.explode(F.sequence(F.lit(1), F.lit(max(1, n - 1)))).alias("quantile")).where(F.lit(n > 1))
+    rank = F.ceil(F.col("quantile") * F.col("size") / n)
+    gap = F.zip_with("below", "upto", lambda lo, hi: F.greatest(F.get("sums", lo + 1) + 1 - rank, rank - F.get("sums", hi + 1), F.lit(0).cast("bigint")))
+    return rows.select("feature", "quantile", F.when(F.col("size") > 0, F.coalesce(F.array_min(gap) / F.col("size"), F.lit(1.0))).alias("error"))
 
 
 def equal_width(low: float, high: float, n: int) -> list[float]:

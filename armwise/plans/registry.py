@@ -57,6 +57,18 @@ def thresholds_quantile(spark: SparkSession, d: str) -> DataFrame:
     return thresholds.exact_quantiles(views.obs_line(spark, d), views.LINE_FEATURES, 16)
 
 
+def quantile_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """The default thresholds (sketches, error 0.01) of each feature: whether each quantile's rank is as near as asked."""
+    rows = views.obs_line(spark, d)
+    found = thresholds.rank_errors(rows, thresholds.quantiles(rows, views.LINE_FEATURES), 16)
+    return found.select("feature", "quantile", (F.col("error") <= 0.01).alias("within"))
+
+
+def prefix_sums_quantile(spark: SparkSession, d: str) -> DataFrame:
+    """Prefix sums with default thresholds, whose ranks are checked."""
+    return split_search.build_prefix_sums(views.obs_line(spark, d), feature_cols=views.LINE_FEATURES, check_quantiles=True)
+
+
 def thresholds_equal_width(spark: SparkSession, d: str) -> DataFrame:
     rows = _obs(spark, d, views.LINE_FEATURES).select(*[F.when(~is_missing(F.col(c)), F.col(c)).alias(c) for c in views.LINE_FEATURES])
     ends = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in views.LINE_FEATURES])).alias("v")).groupBy("v.feature").agg(F.min("v.x").alias("lo"), F.max("v.x").alias("hi"))
@@ -261,9 +273,10 @@ def deep_forest_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def result_rows_csv(spark: SparkSession, d: str) -> DataFrame:
-    """Scored candidates written as CSV and read back."""
+    """Scored candidates written as CSV, read back and compared with their manifest."""
     rows = scored_candidates(spark, d)
-    return sinks.read_rows(spark, sinks.write_rows(rows, sinks.scratch(spark, "results"), "csv"), rows.schema, "csv")
+    path = sinks.write_rows(rows, sinks.scratch(spark, "results"), "csv", manifest=True)
+    return sinks.read_rows(spark, path, kind="csv", verify=True)
 
 
 def mllib_tree_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -273,7 +286,7 @@ def mllib_tree_scores(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        observations, impute_zero, thresholds_quantile, thresholds_equal_width, boundaries, bin_assign, bin_tallies, bin_tallies_dense, prefix_sums, nan_expanded, control_arm, arm_rates, scored_candidates,
+        observations, impute_zero, thresholds_quantile, quantile_ranks, prefix_sums_quantile, thresholds_equal_width, boundaries, bin_assign, bin_tallies, bin_tallies_dense, prefix_sums, nan_expanded, control_arm, arm_rates, scored_candidates,
         scored_candidates_pandas, best_split, best_split_multi, best_split_per_feature, bin_sweep, determinism, determinism_real, sample_first_n, run_summary, forest_json_nodes, forest_invalid_nodes, forest_faults, tree_scores, forest_scores,
         forest_scores_pandas, forest_scores_expr, score_contract, score_checksum, scalar_checksum, score_parity, mllib_tree_scores,
         score_pairs, line_pairs, arm_sweep, best_split_wide, deep_forest_scores, deep_forest_blocks, result_rows_csv,
@@ -407,6 +420,7 @@ ORACLES = {
     "observations": f"WITH {_LINE} SELECT * FROM line",
     "impute_zero": f"WITH {_LINE}, i AS (SELECT coalesce(l_extendedprice, 0.0::DOUBLE) AS price, coalesce(l_quantity, 0.0::DOUBLE) AS quantity FROM line) SELECT *, CASE WHEN price > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label FROM i",
     "thresholds_quantile": f"WITH {_LINE}, v AS ({_LONG}), q AS (SELECT feature, unnest(quantile_disc(x, [{', '.join(str(i / 16) for i in range(1, 16))}])) AS cut FROM v GROUP BY feature) SELECT DISTINCT feature, cut FROM q",
+    "quantile_ranks": "SELECT DISTINCT feature, quantile, true AS within FROM (SELECT unnest([{}]) AS feature FROM lineitem), (SELECT unnest(range(1, 16))::INTEGER AS quantile)".format(", ".join(f"'{f}'" for f in views.LINE_FEATURES)),
     "thresholds_equal_width": f"WITH {_LINE}, v AS ({_LONG}), m AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM v GROUP BY feature) SELECT DISTINCT feature, lo + (hi - lo) * i / 16 AS cut FROM m CROSS JOIN (SELECT unnest(range(1, 16)) AS i)",
     "boundaries": f"{_ctes(CUTS)} SELECT DISTINCT feature, bin_boundary FROM p",
     "bin_assign": f"{_ctes(CUTS)} SELECT feature, bin_id, count(*) AS n_rows FROM b GROUP BY ALL",

@@ -12,11 +12,12 @@ from armwise.operators import candidates, tallies, thresholds
 def build_prefix_sums(
     df: DataFrame, *, feature_cols: list[str], treatment_col: str = "treatment", outcome_col: str = "outcome",
     splits: dict[str, list[float]] | None = None, num_quantile_splits: int | None = None, quantile_relative_error: float = 0.01,
-    on_null_treatment: str = "drop", exact_sums: bool = False,
+    on_null_treatment: str = "drop", exact_sums: bool = False, check_quantiles: bool = False,
 ) -> DataFrame:
     """Prefix sums of all features; thresholds are given, or quantiles (16 by default).
 
-    With ``exact_sums``, sums of real outcomes are the same for any partitions of the rows (see ``tallies.tally``).
+    Quantiles come from mergeable sketches of all features in one job; with ``check_quantiles`` their ranks are counted
+    in another scan, and one further off than ``quantile_relative_error`` is a ValueError. With ``exact_sums``, sums of real outcomes are the same for any partitions of the rows (see ``tallies.tally``).
 
     One scan of the observations for any number of features; nothing is cached. A caller that uses the
     result several times writes or caches it: it has features * bins * arms rows.
@@ -27,7 +28,12 @@ def build_prefix_sums(
     if splits is not None:
         cuts = {f: thresholds.clean(splits[f]) for f in feature_cols}
     else:
-        cuts = thresholds.quantiles(obs, feature_cols, 16 if num_quantile_splits is None else num_quantile_splits, quantile_relative_error)
+        n = 16 if num_quantile_splits is None else num_quantile_splits
+        cuts = thresholds.quantiles(obs, feature_cols, n, quantile_relative_error)
+        if check_quantiles and n > 1:
+            off = thresholds.rank_errors(obs, cuts, n).where(F.col("error") > quantile_relative_error).collect()  # n - 1 rows a feature
+            if off:
+                raise ValueError(f"quantiles beyond the asked error: {[tuple(r) for r in off]}")
     return tallies.prefix_sums(tallies.densify(tallies.tally(obs, cuts, exact_sums), cuts))
 
 

@@ -6,7 +6,9 @@ import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 FORMATS = ("csv", "json", "parquet")
 
@@ -40,19 +42,44 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def write_rows(rows: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists") -> str:
-    """Result rows as a folder of files, written by the tasks that hold them; nested columns need JSON or Parquet."""
+def fingerprint(rows: DataFrame) -> list:
+    """Aggregates that tell a table of rows in any order and partitions: number, XOR and sum of the rows' hashes."""
+    row = F.xxhash64(F.lit(len(rows.columns)), *[F.col(f"`{c}`") for c in rows.columns])
+    whole = F.coalesce(F.sum(row.cast("decimal(20,0)")), F.lit(0)).cast("string")
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(row), F.lit(0)).alias("xor"), whole.alias("sum")]
+
+
+def write_rows(rows: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists", manifest: bool = False) -> str:
+    """Result rows as a folder of files, written by the tasks that hold them; nested columns need JSON or Parquet.
+
+    With ``manifest``, the number, fingerprint and schema of the rows are taken while they are written, and put
+    beside the folder (``<path>.manifest``) for ``read_rows`` to check.
+    """
     if kind not in FORMATS:
         raise ValueError(f"kind must be one of {', '.join(FORMATS)}")
-    writer = rows.write.mode(mode)
+    seen = Observation(f"rows-{uuid.uuid4().hex}")
+    writer = (rows.observe(seen, *fingerprint(rows)) if manifest else rows).write.mode(mode)
     (writer.option("header", True).option("escape", '"') if kind == "csv" else writer).format(kind).save(path)
+    if manifest:
+        write_metadata(rows.sparkSession, {"kind": kind, "schema": rows.schema.jsonValue(), **seen.get}, f"{path}.manifest", mode)
     return path
 
 
-def read_rows(spark: SparkSession, path: str, schema, kind: str = "parquet") -> DataFrame:
-    """What ``write_rows`` wrote, under the schema of the rows."""
-    reader = spark.read.schema(schema)
-    return (reader.option("header", True).option("escape", '"') if kind == "csv" else reader).format(kind).load(path)
+def read_rows(spark: SparkSession, path: str, schema=None, kind: str = "parquet", verify: bool = False) -> DataFrame:
+    """What ``write_rows`` wrote, under the schema of the rows (or the manifest's).
+
+    With ``verify``, the rows are read once to be compared with the manifest: lost, added, repeated or changed rows
+    are a ValueError.
+    """
+    facts = read_metadata(spark, f"{path}.manifest") if verify or schema is None else {}
+    reader = spark.read.schema(StructType.fromJson(facts["schema"]) if schema is None else schema)
+    rows = (reader.option("header", True).option("escape", '"') if kind == "csv" else reader).format(kind).load(path)
+    if verify:
+        found = rows.agg(*fingerprint(rows)).first().asDict()
+        off = {k: (facts[k], v) for k, v in found.items() if facts[k] != v}
+        if off:
+            raise ValueError(f"{path} is not what its manifest tells: {off}")
+    return rows
 
 
 def write_metadata(spark: SparkSession, facts: dict, path: str, mode: str = "errorifexists") -> str:

@@ -1,7 +1,8 @@
-"""Synthetic features, observations and forests. Values depend on the partitioning: write them once, then read."""
+"""Synthetic features, observations and forests. A value depends on its row, its use and the seed, on no partitioning."""
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -20,9 +21,20 @@ def _stream(seed: int, *use: object) -> int:
     return zlib.crc32("/".join(map(str, (seed, *use))).encode())
 
 
+def _uniform(seed: int, *use: object) -> Column:
+    """Counter-based: 53 bits of the hash of the row's number and the stream, as a number in [0, 1)."""
+    return F.shiftrightunsigned(F.xxhash64("id", F.lit(_stream(seed, *use))), 11) * F.lit(2.0**-53)
+
+
+def _normal(seed: int, *use: object) -> Column:
+    """Standard normal, from two uniform numbers (Box and Muller)."""
+    size = F.sqrt(F.log(1.0 - _uniform(seed, *use, "size")) * -2.0)
+    return size * F.cos(_uniform(seed, *use, "angle") * (2 * math.pi))
+
+
 def _gappy(values: Column, rate: float, seed: int, name: str) -> Column:
     """``values``, null with ``rate``."""
-    return (F.when(F.rand(_stream(seed, name, "present")) >= rate, values) if rate else values).alias(name)
+    return (F.when(_uniform(seed, name, "present") >= rate, values) if rate else values).alias(name)
 
 
 def _checked(n_rows: int, n_features: int, missing_rate: float) -> None:
@@ -36,7 +48,7 @@ def features(
     """f0, f1, ...: standard normal, null with ``missing_rate``."""
     _checked(n_rows, n_features, missing_rate)
     names = [f"f{i}" for i in range(n_features)]
-    return spark.range(0, n_rows, 1, partitions).select(*[_gappy(F.randn(_stream(seed, f, "value")), missing_rate, seed, f) for f in names])
+    return spark.range(0, n_rows, 1, partitions).select(*[_gappy(_normal(seed, f, "value"), missing_rate, seed, f) for f in names])
 
 
 def observations(
@@ -46,9 +58,9 @@ def observations(
     _checked(n_rows, n_features, missing_rate)
     names = [f"x{i}" for i in range(n_features)]
     drawn = spark.range(0, n_rows, 1, partitions).select(
-        *[_gappy(F.rand(_stream(seed, x, "value")), missing_rate, seed, x) for x in names],
-        (F.rand(_stream(seed, "arm")) * arms).cast("int").alias("arm"),
-        F.rand(_stream(seed, "outcome")).alias("luck"),
+        *[_gappy(_uniform(seed, x, "value"), missing_rate, seed, x) for x in names],
+        (_uniform(seed, "arm") * arms).cast("int").alias("arm"),
+        _uniform(seed, "outcome").alias("luck"),
     )
     chance = BASE + PER_ARM * F.col("arm") / arms + PER_X * F.coalesce("x0", F.lit(0.5))
     won = F.col("luck") < F.greatest(F.least(chance, F.lit(GREATEST)), F.lit(LEAST))
@@ -58,7 +70,7 @@ def observations(
 def three_arms(spark: SparkSession, n_rows: int, missing_rate: float = 0.0, nan_rate: float = 0.0, *, seed: int = 7) -> DataFrame:
     """A normal feature with nulls and NaNs, arms of SHARES, and an outcome that is 1 with RATE."""
     _checked(n_rows, 1, missing_rate + nan_rate)
-    drawn = spark.range(n_rows).select(*[F.rand(_stream(seed, c)).alias(c) for c in ("gap", "arm", "luck")], F.randn(_stream(seed, "x")).alias("x"))
+    drawn = spark.range(n_rows).select(*[_uniform(seed, c).alias(c) for c in ("gap", "arm", "luck")], _normal(seed, "x").alias("x"))
     value = F.when(F.col("gap") >= missing_rate + nan_rate, F.col("x")).when(F.col("gap") >= missing_rate, F.lit(float("nan")))
     arm, upto = F.lit(None).cast("string"), 1.0
     for name, share in reversed(SHARES.items()):  # the last arm first: each earlier one takes its part from below
@@ -68,24 +80,17 @@ def three_arms(spark: SparkSession, n_rows: int, missing_rate: float = 0.0, nan_
 
 
 def _tree(rng: np.random.Generator, depth: int, arms: int, n_features: int, routing: str) -> dict:
-    """A complete tree, nodes in preorder; tests of values and of categories take turns by level; leaves have rates."""
-    rows: list[list] = []
-
-    def grow(level: int) -> int:
-        at = len(rows)
-        if level == depth:
-            rows.append([0, 0, 0.0, 0.0, at, at, rng.random(arms)])
-            return at
-        kind = 1 if level % 2 == 0 else 2
-        test = [kind, int(rng.integers(n_features)), float(rng.uniform(-THRESHOLD, THRESHOLD)), float(rng.integers(CATEGORIES))]
-        rows.append([*test, 0, 0, np.zeros(arms)])
-        rows[at][4], rows[at][5] = grow(level + 1), grow(level + 1)
-        return at
-
-    grow(0)
-    tree = dict(zip(("node_type", "feature_idx", "thresholds", "cat_value", "left_child", "right_child", "leaf_response_rates"), map(np.array, zip(*rows, strict=True)), strict=True))
-    ways = {"left": np.ones(len(rows), bool), "right": np.zeros(len(rows), bool)}
-    return tree | {"nan_goes_left": ways[routing] if routing in ways else rng.integers(0, 2, len(rows)).astype(bool)}
+    """A complete tree, nodes by level; even inner nodes test a value, odd ones a category; leaves have rates."""
+    inner = 2**depth - 1
+    node = np.arange(2 * inner + 1)
+    at = node < inner
+    drawn = lambda values: np.where(at, values, 0)
+    ways = {"left": np.ones(len(node), bool), "right": np.zeros(len(node), bool)}
+    return {
+        "node_type": drawn(1 + node % 2).astype(np.int8), "feature_idx": drawn(rng.integers(0, n_features, len(node))), "thresholds": drawn(rng.uniform(-THRESHOLD, THRESHOLD, len(node))),
+        "cat_value": drawn(rng.integers(0, CATEGORIES, len(node)).astype(float)), "left_child": np.where(at, 2 * node + 1, node), "right_child": np.where(at, 2 * node + 2, node),
+        "leaf_response_rates": np.where(at[:, None], 0.0, rng.random((len(node), arms))), "nan_goes_left": ways[routing] if routing in ways else rng.integers(0, 2, len(node)).astype(bool),
+    }
 
 
 def forest(depth: int, n_treatments: int, n_trees: int, *, n_features: int = 16, missing_routing: str = "random", seed: int = 13) -> list[dict]:

@@ -141,6 +141,23 @@ def test_sinks(spark, tmp_path, kind):
         sinks.write_rows(rows, str(tmp_path / "other"), "xml")
 
 
+@pytest.mark.parametrize("kind", sinks.FORMATS)
+def test_manifest(spark, tmp_path, kind):
+    """A manifest is the same for any order and partitions; a lost, repeated or changed row is detected."""
+    rows = spark.createDataFrame([(f"r{i}", i / 7, i if i % 3 else None) for i in range(50)], "name string, score double, n bigint")
+    path = sinks.write_rows(rows.repartition(4), str(tmp_path / "rows"), kind, manifest=True)
+    assert sorted(map(tuple, sinks.read_rows(spark, path, kind=kind, verify=True).collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    again = [tuple(r.agg(*sinks.fingerprint(r)).first()) for r in (rows, rows.repartition(7).orderBy("score"))]
+    assert again[0] == again[1]
+    changes = [rows.where("score > 0"), rows.unionByName(rows.limit(2)), rows.withColumn("score", F.when(F.col("name") == "r3", 0.0).otherwise(F.col("score")))]
+    for changed in changes:
+        sinks.write_rows(changed, path, kind, mode="overwrite")
+        with pytest.raises(ValueError, match="manifest"):
+            sinks.read_rows(spark, path, kind=kind, verify=True)
+    empty = sinks.write_rows(rows.limit(0), str(tmp_path / "none"), "parquet", manifest=True)
+    assert sinks.read_rows(spark, empty, verify=True).count() == 0
+
+
 def test_metadata(spark, tmp_path):
     facts = {"rows": 5, "features": ["a", "b"], "error": 0.01}
     sinks.write_metadata(spark, facts, str(tmp_path / "run"))
@@ -273,6 +290,75 @@ def test_synthetic(spark):
     assert all(abs(arms[a] - share) < 0.05 for a, share in synthetic.SHARES.items())
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sql_path_has_no_python(spark):
-    plan = candidates.score(prefix(spark, drawn(9, 2)))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan
+    sums = prefix(spark, drawn(9, 2))
+    for plan in (plan_of(sums), plan_of(candidates.score(sums))):
+        assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_no_single_task_above_candidates(spark):
+    """The control arm is a scalar of the written prefix sums; candidates never meet in one task."""
+    plan = plan_of(candidates.best_split_per_feature(candidates.score(prefix(spark, drawn(60, 2)))))
+    assert "SinglePartition" not in plan.split("Subquery")[0]
+
+
+def test_pandas_candidates_are_dealt(spark):
+    """One feature's candidates go to several tasks, whole ones; batches that cut one off change nothing."""
+    cuts = [x / 8 for x in range(1, 60)]
+    scored = lambda mode: candidates.score(prefix(spark, drawn(3000, 5), cuts), evaluation_mode=mode)
+    parts = scored("pandas").withColumn("part", F.spark_partition_id())
+    assert parts.select("part").distinct().count() > 3
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        got = {tuple(r)[:4]: tuple(r)[4:] for r in scored("pandas").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {tuple(r)[:4]: tuple(r)[4:] for r in scored("sql").collect()}
+    assert len(want) == 118 and set(got) == set(want)
+    for key, row in want.items():
+        assert all(a == b or math.isclose(a, b, abs_tol=1e-12) for a, b in zip(got[key], row, strict=True))
+
+
+def test_quantile_passes(spark):
+    """Only values of cells with a wanted rank take the shuffle of values; the cells are broadcast to the second pass."""
+    df = spark.range(200_000).select((F.xxhash64("id") / 1e18).alias("x"))
+    found = thresholds.exact_quantiles(df, ["x"], 4)
+    values = sorted(r.x for r in df.collect())
+    assert sorted(r.cut for r in found.collect()) == [values[50_000 * i - 1] for i in (1, 2, 3)]
+    assert "BroadcastHashJoin" in plan_of(found)
+    cells = df.select(thresholds._cell(F.col("x")).alias("cell")).groupBy("cell").count()
+    assert 3 * cells.agg(F.max("count")).first()[0] < 200_000 / 50  # at most so many values are in the wanted cells
+
+
+def test_default_quantiles(spark, monkeypatch):
+    """Each default threshold's rank is within the asked error, also for values that repeat; a wrong one is told."""
+    rng = random.Random(6)
+    df = spark.createDataFrame([(rng.gauss(0, 1), float(rng.randrange(4)), None, rng.choice("ab"), 1.0) for _ in range(5000)], "x double, y double, z double, treatment string, outcome double")
+    cuts = thresholds.quantiles(df, ["x", "y", "z"], 16, 0.02)
+    errors = {(r.feature, r.quantile): r.error for r in thresholds.rank_errors(df, cuts, 16).collect()}
+    values = sorted(r.x for r in df.select("x").collect())
+    for i in range(1, 16):
+        near = min(abs(sum(v <= c for v in values) - math.ceil(i * 5000 / 16)) / 5000 for c in cuts["x"])
+        assert math.isclose(errors["x", i], near, abs_tol=1 / 5000) and near <= 0.02 and errors["y", i] <= 0.02 and errors["z", i] is None
+    assert thresholds.rank_errors(df, {"x": [values[-1]]}, 16).where("error > 0.5").count() == 7
+    sums = split_search.build_prefix_sums(df, feature_cols=["x", "y"], check_quantiles=True)
+    assert sums.where("feature = 'x'").select("candidate_bin").distinct().count() == 15
+    monkeypatch.setattr(thresholds, "quantiles", lambda *a: {"x": [0.0]})
+    with pytest.raises(ValueError, match="asked error"):
+        split_search.build_prefix_sums(df, feature_cols=["x"], check_quantiles=True)
+
+
+def test_synthetic_partitions(spark):
+    """The same rows for any number of partitions."""
+    makers = [lambda p: synthetic.features(spark, 500, 3, 0.2, partitions=p), lambda p: synthetic.observations(spark, 500, 2, 3, 0.1, partitions=p)]
+    for make in makers:
+        first, *others = [sorted(map(str, make(p).collect())) for p in (1, 4, 13)]
+        assert all(o == first for o in others) and len(set(first)) > 450
+    x = [r.f0 for r in synthetic.features(spark, 20_000, 1).collect()]
+    assert abs(np.mean(x)) < 0.03 and abs(np.std(x) - 1) < 0.03 and abs(np.mean(np.abs(x) < 1) - 0.6827) < 0.02
+    u = [r.x0 for r in synthetic.observations(spark, 20_000).collect()]
+    assert abs(np.mean(u) - 0.5) < 0.01 and 0 <= min(u) and max(u) < 1
