@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -64,6 +65,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
 KEY = "__key"
 
 
+def shielded(operator):
+    """For operators that return their input's columns: the user's own that begin like internal ones (``__``) get
+    other names meanwhile, so that none is overwritten, dropped or ambiguous."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        aside = {}
+        for c in [c for c in docs.columns if c.startswith("__")]:
+            name = f"own{c}"
+            while name in docs.columns or name in aside.values():
+                name += "_"
+            aside[c] = name
+        if not aside:
+            return operator(docs, *args, **options)
+        named = lambda v: aside.get(v, v) if isinstance(v, str) else v
+        out = operator(docs.withColumnsRenamed(aside), *map(named, args), **{k: named(v) for k, v in options.items()})
+        return out.withColumnsRenamed({v: k for k, v in aside.items()})
+
+    return run
+
+
 def keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, bool]:
     """``docs`` with KEY, a bigint that is each row's own and in the order of the ids (null last).
 

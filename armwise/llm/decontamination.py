@@ -138,6 +138,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("best.c")).cast("bigint").alias("compared"), F.col("best.agreeing").cast("bigint").alias("agreeing"))
 
 
+@C.shielded
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` without a passage of the benchmark, columns unchanged; each row is judged by itself."""
     rows, _ = C.keyed(docs, id_col)

@@ -73,6 +73,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return alone.unionByName(met).withColumnRenamed("id", id_col)
 
 
+@C.shielded
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps: one of each text, whatever ids are null or repeat.
 

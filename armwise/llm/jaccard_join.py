@@ -426,6 +426,7 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("first").alias("component_id"))
 
 
+@C.shielded
 def keep_one(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that come first in their group by id: one document of each group stays.
 

@@ -134,6 +134,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 0, id
     return slots, result.select("row", "id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
+@C.shielded
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: a row for each pass over a document, in which the
     words taken in that pass stand; a pass that takes a document whole leaves its text unchanged."""

@@ -4,6 +4,7 @@ import collections
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from armwise.llm import class_lm, decontamination, exact_dedup, jaccard_join, language_id, mixing, secret_scan, substring_dedup, token_output, toxicity
@@ -124,3 +125,23 @@ def test_null_ids_and_repeated_rows(spark, tmp_path):
     assert class_lm.score_texts(docs).count() == 5
     labels = spark.createDataFrame([(7, 1), (7, 1), (8, 0), (None, None)], "doc_id bigint, toxic int")
     assert toxicity.score_texts(docs, toxicity.fit(docs, labels)).count() == 5
+
+
+def test_own_columns_stay(spark):
+    """Columns of the user with the names that the operators use inside, and ids and texts under such names."""
+    odd = ["__key", "__first", "__words", "__rejected", "__salt", "__row", "__leaf0", "own__key"]
+    rows = [(i % 30 if i % 9 else None, f"some words of a text that is number {i % 20} of them all " * 3, "en", "a") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumns({c: F.concat(F.lit(c), F.col("text")) for c in odd})
+    bench = spark.createDataFrame([(1, "a passage that no document has, of quite other origin and with fifteen tokens or more")], "item_id int, text string")
+    found = {
+        "copies": exact_dedup.drop_copies(docs), "near": jaccard_join.keep_one(docs), "clean": decontamination.clean(docs, bench), "mixed": mixing.mixed_documents(docs), "language": corpus_pipeline.language(spark, docs, ""),
+        "named": exact_dedup.drop_copies(docs.withColumnRenamed("doc_id", "__id"), id_col="__id").withColumnRenamed("__id", "doc_id"),
+    }
+    sizes = {}
+    for name, out in found.items():
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        sizes[name] = len(kept)
+        if name != "mixed":
+            assert all(r[c] == c + r.text for r in kept for c in odd), name
+    assert sizes["copies"] == sizes["named"] == 20 and sizes["language"] == 60 and sizes["clean"] == 60 and sizes["near"] <= 20
