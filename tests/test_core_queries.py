@@ -7,7 +7,7 @@ import pytest
 from armwise.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-TABLES = ("customer", "orders", "lineitem")
+TABLES = ("customer", "orders", "lineitem", "part")
 
 
 @pytest.fixture(scope="module")
