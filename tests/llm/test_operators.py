@@ -332,8 +332,10 @@ def test_decontamination_seeds():
             assert any(not w & spoiled for w in windows), (n, gone)
 
 
-def test_decontamination_replacements(spark):
+@pytest.mark.parametrize("hot", [32, 0])
+def test_decontamination_replacements(spark, monkeypatch, hot):
     """All replacements of 2 of 13 and 3 of 15 words, every fifth and sixth word of 40, and short items, against plain Python."""
+    monkeypatch.setattr(decontamination, "HOT", hot)
     item, rows = [f"item{i}" for i in range(40)], []
     replaced = lambda start, n, gone: [f"new{k}" if k in gone else w for k, w in enumerate(item[start : start + n])]
     parts = [replaced(9, n, gone) for n, k in ((13, 2), (13, 3), (15, 3)) for gone in itertools.combinations(range(n), k)]
@@ -362,8 +364,24 @@ def test_decontamination_replacements(spark):
     assert all(100 * r.agreeing >= 80 * r.compared for r in found)
 
 
-def test_decontamination_short_items(spark, monkeypatch):
+def test_decontamination_stock_phrase(spark, monkeypatch):
+    """A phrase of eight words in all items: documents with it alone meet none, those with an item's words around it only that one."""
+    phrase, words = "which of these answers is the right one", random.Random(5)
+    some = lambda n: " ".join(f"v{words.randrange(5000)}" for _ in range(n))
+    items = [(k, f"{some(9)} {phrase} {some(9)}") for k in range(300)] + [(1000 + k, f"{phrase} q{k} r{k} s{k} t{k}") for k in range(60)]
+    rows = [(i, f"{some(20)} {phrase} {some(20)}") for i in range(200)]
+    rows += [(500 + k, f"{some(15)} {items[k][1]} {some(15)}") for k in range(0, 300, 7)] + [(900 + k, f"{some(5)} {phrase} q{k} r{k} {some(5)}") for k in range(0, 60, 11)]
+    bench, docs = spark.createDataFrame(items, "item_id int, text string"), spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = lambda: {tuple(r) for r in decontamination.overlaps(docs, bench).collect()}
+    got = found()
+    monkeypatch.setattr(decontamination, "HOT", 1 << 40)
+    assert got == found() and {(500 + k, k) for k in range(0, 300, 7)} | {(900 + k, 1000 + k) for k in range(0, 60, 11)} == {r[:2] for r in got}
+
+
+@pytest.mark.parametrize("hot", [32, 0])
+def test_decontamination_short_items(spark, monkeypatch, hot):
     """Items of 1 to 9 words are found whole and unchanged only, without a filter and a broadcast too."""
+    monkeypatch.setattr(decontamination, "HOT", hot)
     items = {n: [f"s{n}x{i}" for i in range(n)] for n in range(1, 10)}
     rows = [(n, "A, " + " ".join(w).upper() + "! b") for n, w in items.items()] + [(20 + n, " ".join(["a", *w[:-1], "b"])) for n, w in items.items()]
     rows += [(40 + n, " ".join(w[:1] + ["x"] + w[1:])) for n, w in items.items()] + [(60, None), (61, "")]
