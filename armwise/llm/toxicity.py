@@ -1,19 +1,16 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosine over a block-max inverted index.
 
-Every term of the examples counts: its weight in a text is (1 + ln tf) * idf * relevance, where relevance is
-the term's chi-square share with the label (how much of the label's variance its presence explains). So
-words that go with the label lead the cosine and the many others only tell near ties apart.
-
-Terms that more than one in COMMON examples have are few: their weights are a matrix, and their part of the
-cosines of many texts is one product. For each other term the index keeps its examples in ascending order,
-cut into runs by block of examples, and the greatest weight of each run. A search adds these maxima and the
-block's greatest common part to an upper bound of every block's cosines. The blocks of highest bound are
-opened first; then all whose bound reaches the k-th best cosine so far. The others cannot hold a nearer
-example, so the result is that of comparing all examples.
-
-Examples vote with their squared cosine, against
-a prior of the label's share. A monotone map, fitted on scores of examples that leave their own vote out,
-turns the votes' share into the rate of the label.
+Every term of the examples counts, with the weight (1 + ln tf) * idf, and a text's neighbours are the examples of
+greatest cosine. The index keeps each term's examples in ascending order, cut into runs by block of examples, and
+the greatest weight of each run (terms that more than one in COMMON examples have: a row of weights for each
+example, and of maxima for each block). A search adds a text's weights times these maxima to an upper bound of
+every block's cosines. The blocks of highest bound are opened first; then all whose bound reaches the k-th best
+cosine so far. The others cannot hold a nearer example, so the result is that of comparing all examples.
+
+A neighbour's vote is its cosine times what the two texts share of terms that go with the label: the cosine of
+the same weights times relevance, the term's chi-square share (how much of the label's variance its presence
+explains). Votes stand against a prior of the label's share. A monotone map, fitted on scores of examples that
+leave their own vote out, turns the votes' share into the rate of the label.
 """
 
 from __future__ import annotations
@@ -31,7 +28,7 @@ from armwise.llm import common as C
 #: Labelled rows that the model is fitted on, at most (all of them up to that number), and of these the rows
 #: that the calibration is fitted on.
 MOST_EXAMPLES, CALIBRATION = 3_000, 2_000
-NEIGHBOURS, PRIOR_WEIGHT, BLOCK, FIRST_BLOCKS, COMMON = 25, 0.25, 32, 4, 16
+NEIGHBOURS, PRIOR_WEIGHT, BLOCK, FIRST_BLOCKS, COMMON = 100, 0.25, 32, 8, 16
 #: Least number of scores in a step of the calibration.
 STEP = 40
 #: Characters and texts that are searched in one product.
@@ -57,16 +54,23 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _unit(row: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Weights of n texts scaled to length 1 in each."""
+    return w / np.maximum(np.sqrt(np.bincount(row, weights=w * w, minlength=n)), 1e-300)[row]
+
+
 @dataclass
 class Index:
     terms: np.ndarray
-    weight: np.ndarray
+    idf: np.ndarray
+    relevance: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     prior: float
-    #: Column of each term in ``common`` (examples by common terms), or -1.
+    #: Column of each term in ``common`` (examples by common terms) and ``common_max`` (blocks by them), or -1.
     column: np.ndarray
     common: np.ndarray
+    common_max: np.ndarray
     #: Postings of the other terms: examples in ascending order and their weights; runs of a term in a block of
     #: examples (``run_of`` gives each term's first run): block, greatest weight, and where its postings begin.
     examples: np.ndarray
@@ -75,6 +79,10 @@ class Index:
     run_block: np.ndarray
     run_max: np.ndarray
     run_begin: np.ndarray
+    #: The terms of each example and their weights as evidence, from ``own_of`` on.
+    own_of: np.ndarray
+    own_term: np.ndarray
+    own_evidence: np.ndarray
     #: Steps of the calibration: votes' shares and rates of the label.
     steps: np.ndarray = field(default_factory=lambda: np.zeros(0))
     rates: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -82,78 +90,85 @@ class Index:
     opened: int = 0
     searched: int = 0
 
-    def weigh(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the known terms, and their weights in a text, scaled to length 1."""
+    def weigh(self, row: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+        """Of n texts, by text: the known terms' text, place, weight, and weight as evidence (each of length 1 a text)."""
         at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
         known = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        at = at[known]
-        w = (1 + np.log(counts[known])) * self.weight[at]
-        at, w = at[w > 0], w[w > 0]
-        return at, w / max(np.linalg.norm(w), 1e-300)
+        row, at = row[known], at[known]
+        w = (1 + np.log(counts[known])) * self.idf[at]
+        return row, at, _unit(row, w, n), _unit(row, w * self.relevance[at], n)
 
     def places(self, ids: np.ndarray) -> np.ndarray:
         """Places of some examples."""
         order = np.argsort(self.ids, kind="stable")
         return order[np.searchsorted(self.ids, ids, sorter=order)]
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine above 0 (ties: smaller place), and the cosines.
-
-        ``part`` has what the common terms add to each example's cosine; ``at`` and ``w`` are the other terms.
-        """
-        n_runs = self.run_of[at + 1] - self.run_of[at]
-        runs, heavy = _ranges(self.run_of[at], n_runs), np.repeat(w, n_runs)
+    def search(self, row: np.ndarray, at: np.ndarray, w: np.ndarray, n: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of n texts, the k examples of greatest cosine above 0 (ties: smaller place), and the cosines."""
+        size, blocks = len(self.ids), len(self.common_max)
+        column = self.column[at]
+        dense = np.zeros((n, self.common.shape[1]))
+        dense[row[column >= 0], column[column >= 0]] = w[column >= 0]
+        rare, rare_at = row[column < 0], at[column < 0]
+        n_runs = self.run_of[rare_at + 1] - self.run_of[rare_at]
+        runs, heavy, text = _ranges(self.run_of[rare_at], n_runs), np.repeat(w[column < 0], n_runs), np.repeat(rare, n_runs)
         block = self.run_block[runs]
-        bound = np.maximum.reduceat(part, np.arange(0, len(part), BLOCK))
-        bound = bound + np.bincount(block, weights=heavy * self.run_max[runs], minlength=len(bound))
-        cosines, opened = part.copy(), np.zeros(len(bound), bool)
-
-        def open_blocks(new: np.ndarray) -> float:
-            """Complete the cosines of these blocks' examples; the k-th best cosine known so far."""
-            some = np.flatnonzero(new[block])
-            first, size = self.run_begin[runs[some]], self.run_begin[runs[some] + 1] - self.run_begin[runs[some]]
-            place = _ranges(first, size)
+        bound = dense @ self.common_max.T + np.bincount(text * blocks + block, weights=heavy * self.run_max[runs], minlength=n * blocks).reshape(n, blocks)
+        cosines, opened = np.zeros((n, size)), np.zeros((n, blocks), bool)
+
+        def open_blocks(new: np.ndarray) -> np.ndarray:
+            """The cosines of these blocks' examples; each text's k-th best so far, or what counts as above 0."""
+            some = np.flatnonzero(new[text, block])
+            first = self.run_begin[runs[some]]
+            length = self.run_begin[runs[some] + 1] - first
+            place = _ranges(first, length)
+            cell = np.repeat(text[some], length) * size + self.examples[place]
+            cosines.reshape(-1)[:] += np.bincount(cell, weights=self.weights[place] * np.repeat(heavy[some], length), minlength=n * size)
+            for b in np.flatnonzero(new.any(axis=0)):
+                texts, part = np.flatnonzero(new[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                cosines[texts, part] += dense[texts] @ self.common[part].T
             opened[new] = True
-            np.add(cosines, np.bincount(self.examples[place], weights=self.weights[place] * np.repeat(heavy[some], size), minlength=len(cosines)), out=cosines)
-            return np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
+            best = np.partition(cosines, size - k, axis=1)[:, size - k] if size >= k else np.zeros(n)
+            return np.maximum(best - 1e-9, 1e-12)
 
-        leading = np.zeros(len(bound), bool)
-        leading[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        leading = np.zeros((n, blocks), bool)
+        np.put_along_axis(leading, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
         least = open_blocks(leading)
-        least = open_blocks(~opened & (bound >= max(least - 1e-9, 1e-12)))
-        self.opened, self.searched = self.opened + int(opened.sum()), self.searched + len(opened)
-        found = np.flatnonzero(np.repeat(opened, BLOCK)[: len(cosines)] & (cosines >= max(least - 1e-9, 1e-12)))
-        best = found[np.lexsort((found, -np.round(cosines[found], 12)))[:k]]
-        return best, cosines[best]
-
-    def search(self, ends: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``nearest`` for the texts whose terms end at ``ends``; their common terms in one product."""
-        texts = [self.weigh(terms[a:b], counts[a:b]) for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)]
-        dense = np.zeros((len(texts), self.common.shape[1]))
-        for i, (at, w) in enumerate(texts):
-            column = self.column[at]
-            dense[i, column[column >= 0]] = w[column >= 0]
-        parts = dense @ self.common.T
-        rare = [(at[self.column[at] < 0], w[self.column[at] < 0]) for at, w in texts]
-        none = (np.zeros(0, np.int64), np.zeros(0))
-        return [self.nearest(*r, k, part) if len(at) and len(part) else none for (at, _), r, part in zip(texts, rare, parts, strict=True)]
-
-    def shares(self, ends: np.ndarray, terms: np.ndarray, counts: np.ndarray, without: list[int] | None = None) -> list[tuple[float, np.ndarray]]:
-        """The votes' share for the label, and the nearest examples; the examples ``without`` have no vote."""
+        least = open_blocks(~opened & (bound >= least[:, None]))
+        self.opened, self.searched = self.opened + int(opened.sum()), self.searched + opened.size
         out = []
-        found = self.search(ends, terms, counts, NEIGHBOURS + (without is not None))
-        for (places, cosines), own in zip(found, without or [-1] * len(found), strict=True):
-            votes = np.where(places == own, 0.0, cosines**2)
-            out.append((float(votes @ self.labels[places] + PRIOR_WEIGHT * self.prior) / float(votes.sum() + PRIOR_WEIGHT), places))
+        for cosine, floor in zip(cosines, least, strict=True):
+            found = np.flatnonzero(cosine >= floor)
+            best = found[np.lexsort((found, -np.round(cosine[found], 12)))[:k]]
+            out.append((best, cosine[best]))
+        return out
+
+    def shares(self, row: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int, without: list[int] | None = None) -> list[tuple[float, np.ndarray]]:
+        """For each of n texts, the votes' share for the label, and the examples that vote, greatest vote first.
+
+        The examples ``without`` have no vote.
+        """
+        row, at, w, evidence = self.weigh(row, terms, counts, n)
+        found = self.search(row, at, w, n, NEIGHBOURS + (without is not None)) if len(self.ids) else [(np.zeros(0, np.int64), np.zeros(0))] * n
+        ends, mine, out = np.searchsorted(row, np.arange(n + 1)), np.zeros(len(self.terms)), []
+        for i, ((places, cosines), own) in enumerate(zip(found, without or [-1] * n, strict=True)):
+            its = slice(ends[i], ends[i + 1])
+            mine[at[its]] = evidence[its]
+            length = self.own_of[places + 1] - self.own_of[places]
+            theirs = _ranges(self.own_of[places], length)
+            shared = np.bincount(np.repeat(np.arange(len(places)), length), weights=mine[self.own_term[theirs]] * self.own_evidence[theirs], minlength=len(places))
+            mine[at[its]] = 0.0
+            votes = np.where(places == own, 0.0, np.round(cosines * shared, 12))
+            share = float(votes @ self.labels[places] + PRIOR_WEIGHT * self.prior) / float(votes.sum() + PRIOR_WEIGHT)
+            out.append((share, places[np.lexsort((places, -votes))][: np.count_nonzero(votes)]))
         return out
 
     def calibrated(self, share: float) -> float:
         return float(np.interp(share, self.steps, self.rates)) if len(self.steps) else share
 
     def score(self, texts: list[str | None]) -> tuple[list[float], list[list[int]]]:
-        """Scores of the texts, and the ids of the three nearest examples of each."""
-        row, terms, counts = term_counts(texts)
-        found = self.shares(np.searchsorted(row, np.arange(1, len(texts) + 1)), terms, counts)
+        """Scores of the texts, and the ids of the three neighbours of each that have the greatest votes."""
+        found = self.shares(*term_counts(texts), len(texts))
         return [self.calibrated(s) for s, _ in found], [self.ids[p[:3]].tolist() for _, p in found]
 
 
@@ -166,10 +181,9 @@ def build(ids: np.ndarray, labels: np.ndarray, row: np.ndarray, terms: np.ndarra
     margins = df * (n - df) * positive * (n - positive)
     with np.errstate(divide="ignore", invalid="ignore"):
         relevance = np.where(margins > 0, (pos * n - df * positive) ** 2 / margins, 0.0)
-    weight = np.log((n + 1) / np.maximum(df, 1)) * relevance
-    w = (1 + np.log(counts)) * weight[at]
-    norm = np.sqrt(np.bincount(row, weights=w * w, minlength=n))
-    w = w / np.maximum(norm[row], 1e-300)
+    idf = np.log((n + 1) / np.maximum(df, 1))
+    w = (1 + np.log(counts)) * idf[at]
+    evidence, w = _unit(row, w * relevance[at], n), _unit(row, w, n)
     # Examples that have their heaviest term in common become neighbours, so that blocks differ in their maxima.
     heaviest = np.full(n, -1)
     by = np.lexsort((w, row))
@@ -179,10 +193,12 @@ def build(ids: np.ndarray, labels: np.ndarray, row: np.ndarray, terms: np.ndarra
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     row = place[row]
+    own = np.argsort(row, kind="stable")
     column = np.where(df * COMMON > n, np.cumsum(df * COMMON > n) - 1, -1)
     dense = column[at] >= 0
     common = np.zeros((n, int((column >= 0).sum())))
     common[row[dense], column[at[dense]]] = w[dense]
+    common_max = np.maximum.reduceat(common, np.arange(0, n, BLOCK)) if n else common
     used = np.flatnonzero((w > 0) & ~dense)
     order = used[np.lexsort((row[used], at[used]))]
     term, example, weights = at[order], row[order].astype(np.int32), w[order]
@@ -190,7 +206,8 @@ def build(ids: np.ndarray, labels: np.ndarray, row: np.ndarray, terms: np.ndarra
     run_max = np.maximum.reduceat(weights, new) if len(new) else np.zeros(0)
     run_of = np.searchsorted(term[new], np.arange(len(names) + 1))
     prior = positive / n if n else 0.0
-    return Index(names, weight, ids, labels, prior, column, common, example, weights, run_of, example[new] // BLOCK, run_max, np.append(new, len(order)))
+    runs = (run_of, example[new] // BLOCK, run_max, np.append(new, len(order)))
+    return Index(names, idf, relevance, ids, labels, prior, column, common, common_max, example, weights, *runs, np.searchsorted(row[own], np.arange(n + 1)), at[own], evidence[own])
 
 
 def _changes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -219,14 +236,28 @@ def calibrate(shares: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.nd
 _COUNTED = "id bigint, label int, terms array<bigint>, counts array<int>"
 
 
+def _pieces(texts: list[str | None]):
+    """Bounds of runs of up to TOGETHER texts with up to HELD characters, or of one longer text."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > start and (size + len(text or "") > HELD or i - start >= TOGETHER):
+            yield start, i
+            start, size = i, 0
+        size += len(text or "")
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def _counted(batches):
     for batch in batches:
-        row, terms, counts = term_counts(batch.column("text").to_pylist())
-        off = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("label"), C.lists(terms.view(np.int64), off, pa.int64()), C.lists(counts.astype(np.int32), off, pa.int32())],
-            names=["id", "label", "terms", "counts"],
-        )
+        texts = batch.column("text").to_pylist()
+        for start, stop in _pieces(texts):
+            row, terms, counts = term_counts(texts[start:stop])
+            off = np.searchsorted(row, np.arange(stop - start + 1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).slice(start, stop - start) for c in ("id", "label")] + [C.lists(terms.view(np.int64), off, pa.int64()), C.lists(counts.astype(np.int32), off, pa.int32())],
+                names=["id", "label", "terms", "counts"],
+            )
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
@@ -252,11 +283,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES, id_col: s
 
         def left_out(batches):
             model = shared.value
-            for batch in batches:
-                ends, own = np.cumsum(C.sizes(batch.column("terms"))), model.places(batch.column("id").to_numpy())
-                terms, counts = C.unsigned(C.flat(batch.column("terms"))), C.flat(batch.column("counts")).astype(np.int64)
-                found = [share for share, _ in model.shares(ends, terms, counts, own.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column("label")], names=["share", "label"])
+            for whole in batches:
+                for start in range(0, whole.num_rows, TOGETHER):
+                    batch = whole.slice(start, TOGETHER)
+                    row, own = np.repeat(np.arange(batch.num_rows), C.sizes(batch.column("terms"))), model.places(batch.column("id").to_numpy())
+                    terms, counts = C.unsigned(C.flat(batch.column("terms"))), C.flat(batch.column("counts")).astype(np.int64)
+                    found = [share for share, _ in model.shares(row, terms, counts, batch.num_rows, own.tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column("label")], names=["share", "label"])
 
         some = examples.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < int(min(1.0, CALIBRATION / len(marked)) * (1 << 20)))
         # Dealt out anew: a bounded table has few files, and its texts' searches are the work.
@@ -266,7 +299,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_EXAMPLES, id_col: s
 
 
 def score_texts(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, score (0 to 1) and evidence, the ids of the up to three nearest examples.
+    """One row per input row: id, score (0 to 1) and evidence, the ids of the up to three neighbours
+    that have the greatest votes (ties: smaller place in the index).
 
     Null and empty texts, and texts without a known term, get the prior's rate. Rows that repeat are scored
     each; an empty table gives an empty result; other columns are not read.
@@ -278,12 +312,10 @@ def score_texts(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col:
         model = shared.value
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
-            scores, near, start, size = [], [], 0, 0
-            for stop, text in enumerate([*texts, None], 1):  # about HELD characters at once
-                size += len(text or "")
-                if size > HELD or stop - start > TOGETHER or stop > len(texts):
-                    some = model.score(texts[start : min(stop, len(texts))])
-                    scores, near, start, size = scores + some[0], near + some[1], stop, 0
+            scores, near = [], []
+            for start, stop in _pieces(texts):
+                some = model.score(texts[start:stop])
+                scores, near = scores + some[0], near + some[1]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64()))], names=[id_col, "score", "evidence"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, evidence array<bigint>")

@@ -534,34 +534,61 @@ def test_class_exchange():
         assert np.corrcoef(got, moved)[0, 1] > 0.99
 
 
-def test_toxicity_search(monkeypatch):
-    """The nearest examples and their cosines are those of comparing all, and blocks are left closed."""
+def test_toxicity_search():
+    """Neighbours, cosines, votes and scores are those of comparing all examples, and blocks are left closed."""
     rng = random.Random(3)
     names = [f"term{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
-    texts = [" ".join(rng.choices(names[:9], k=6) + rng.choices(names[9 + 20 * (i % 14) :][:20], k=rng.randrange(1, 12))) for i in range(900)]
+    texts = [" ".join(rng.choices(names[:9], k=6) + rng.choices(names[9 + 20 * (i % 14) :][:20], k=rng.randrange(1, 12))) for i in range(880)]
+    texts += texts[40:60]  # equal cosines
     labels = np.array([float(i % 14 == 3 or rng.random() < 0.05) for i in range(900)])
     row, terms, counts = toxicity.term_counts(texts)
     index = toxicity.build(np.arange(900) * 3, labels, row, terms, counts)
     assert index.common.shape[1] and index.common.shape[1] < len(index.terms)
-    # Weights and cosines from their definition.
+    # Weights, cosines and votes from their definition.
     df, joint = collections.Counter(terms.tolist()), collections.Counter(terms[labels[row] > 0].tolist())
-    weigh, n, pos = {}, 900, labels.sum()
-    for t, k in df.items():
-        weigh[t] = math.log((n + 1) / k) * ((joint[t] * n - k * pos) ** 2 / (k * (n - k) * pos * (n - pos)) if k < n else 0.0)
+    n, pos = 900, labels.sum()
+    idf = {t: math.log((n + 1) / k) for t, k in df.items()}
+    relevance = {t: (joint[t] * n - k * pos) ** 2 / (k * (n - k) * pos * (n - pos)) if k < n else 0.0 for t, k in df.items()}
+    unit = lambda v: {t: x / math.sqrt(sum(y * y for y in v.values())) for t, x in v.items()}
+    dot = lambda u, v: sum(x * v.get(t, 0.0) for t, x in u.items())
     vectors = [{} for _ in texts]
     for r, t, c in zip(row.tolist(), terms.tolist(), counts.tolist(), strict=True):
-        vectors[r][t] = (1 + math.log(c)) * weigh[t]
-    unit = lambda v: {t: x / math.sqrt(sum(y * y for y in v.values())) for t, x in v.items()}
+        vectors[r][t] = (1 + math.log(c)) * idf[t]
+    votes = [unit({t: x * relevance[t] for t, x in v.items()}) for v in vectors]
     vectors = [unit(v) for v in vectors]
-    ends = np.searchsorted(row, np.arange(1, 901))
-    for i in range(0, 900, 31):
-        a, b = int(ends[i - 1]) if i else 0, int(ends[i])
-        (places, cosines), = index.search(np.array([b - a]), terms[a:b], counts[a:b], 25)
-        want = sorted((-sum(x * v.get(t, 0.0) for t, x in vectors[i].items()) for v in vectors))[:25]
-        assert np.allclose(-cosines, want) and all(math.isclose(c, sum(x * vectors[e // 3].get(t, 0.0) for t, x in vectors[i].items()), abs_tol=1e-9) for c, e in zip(cosines, index.ids[places].tolist(), strict=True))
-    assert 0 < index.opened < 0.8 * index.searched
-    near, = index.shares(ends[:1], terms[: ends[0]], counts[: ends[0]], index.places(np.array([0])).tolist())
-    assert 0 <= near[0] <= 1
+    of = {int(e) // 3: place for place, e in enumerate(index.ids)}
+    index.steps, index.rates = np.array([0.0, 0.5, 1.0]), np.array([0.1, 0.2, 0.9])
+    scores, evidence = index.score(texts)
+    asked = list(range(0, 900, 31)) + [45, 890]
+    known = index.weigh(row, terms, counts, n)[:3]
+    k = 25
+    found = index.search(*known, n, k)
+    assert 0 < index.opened < 0.9 * index.searched
+    for i in asked:
+        cosine = [dot(vectors[i], v) for v in vectors]
+        order = sorted((e for e in range(900) if cosine[e] > 1e-12), key=lambda e: (-round(cosine[e], 12), of[e]))
+        assert [int(e) // 3 for e in index.ids[found[i][0]]] == order[:k] and np.allclose(found[i][1], [cosine[e] for e in order[:k]])
+        near = order[: toxicity.NEIGHBOURS]
+        vote = {e: cosine[e] * dot(votes[i], votes[e]) for e in near}
+        share = (sum(v for e, v in vote.items() if labels[e]) + toxicity.PRIOR_WEIGHT * pos / n) / (sum(vote.values()) + toxicity.PRIOR_WEIGHT)
+        assert math.isclose(scores[i], float(np.interp(share, index.steps, index.rates)), abs_tol=1e-9)
+        assert [e // 3 for e in evidence[i]] == sorted((e for e in near if vote[e] > 1e-12), key=lambda e: (-round(vote[e], 12), of[e]))[:3]
+        # Without its own vote.
+        mine = row == i
+        (left, _), = index.shares(np.zeros(mine.sum(), int), terms[mine], counts[mine], 1, [of[i]])
+        near = order[: toxicity.NEIGHBOURS + 1]
+        vote = {e: cosine[e] * dot(votes[i], votes[e]) for e in near if e != i}
+        assert math.isclose(left, (sum(v for e, v in vote.items() if labels[e]) + toxicity.PRIOR_WEIGHT * pos / n) / (sum(vote.values()) + toxicity.PRIOR_WEIGHT), abs_tol=1e-9)
+
+
+def test_toxicity_long_texts(spark):
+    """Texts longer than a piece stand alone, and count whole."""
+    assert list(toxicity._pieces(["a"] * 300)) == [(0, 128), (128, 256), (256, 300)] and list(toxicity._pieces([])) == []
+    long = "word " * (toxicity.HELD // 4) + "vile"
+    assert list(toxicity._pieces(["x", long, None, "y"])) == [(0, 1), (1, 2), (2, 4)]
+    docs = spark.createDataFrame([(1, long), (2, "vile"), (3, "kind word"), (4, long)], "doc_id bigint, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id bigint, toxic int"))
+    assert len(index.ids) == 3 and {r.doc_id for r in toxicity.score_texts(docs, index).collect()} == {1, 2, 3, 4}
 
 
 def test_toxicity_calibration():
