@@ -79,10 +79,9 @@ class Index:
     run_block: np.ndarray
     run_max: np.ndarray
     run_begin: np.ndarray
-    #: The terms of each example and their weights as evidence, from ``own_of`` on.
-    own_of: np.ndarray
-    own_term: np.ndarray
-    own_evidence: np.ndarray
+    #: Weights as evidence, beside ``common`` and ``weights``.
+    common_evidence: np.ndarray
+    evidence: np.ndarray
     #: Steps of the calibration: votes' shares and rates of the label.
     steps: np.ndarray = field(default_factory=lambda: np.zeros(0))
     rates: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -103,18 +102,21 @@ class Index:
         order = np.argsort(self.ids, kind="stable")
         return order[np.searchsorted(self.ids, ids, sorter=order)]
 
-    def search(self, row: np.ndarray, at: np.ndarray, w: np.ndarray, n: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each of n texts, the k examples of greatest cosine above 0 (ties: smaller place), and the cosines."""
+    def search(self, row: np.ndarray, at: np.ndarray, w: np.ndarray, evidence: np.ndarray, n: int, k: int) -> list[tuple[np.ndarray, ...]]:
+        """For each of n texts, the k examples of greatest cosine above 0 (ties: smaller place), the cosines, and
+        the cosines of the weights as evidence."""
         size, blocks = len(self.ids), len(self.common_max)
         column = self.column[at]
-        dense = np.zeros((n, self.common.shape[1]))
-        dense[row[column >= 0], column[column >= 0]] = w[column >= 0]
-        rare, rare_at = row[column < 0], at[column < 0]
-        n_runs = self.run_of[rare_at + 1] - self.run_of[rare_at]
-        runs, heavy, text = _ranges(self.run_of[rare_at], n_runs), np.repeat(w[column < 0], n_runs), np.repeat(rare, n_runs)
+        often = column >= 0
+        dense, dense_evidence = np.zeros((2, n, self.common.shape[1]))
+        dense[row[often], column[often]], dense_evidence[row[often], column[often]] = w[often], evidence[often]
+        rare = at[~often]
+        n_runs = self.run_of[rare + 1] - self.run_of[rare]
+        runs, text = _ranges(self.run_of[rare], n_runs), np.repeat(row[~often], n_runs)
+        heavy, telling = np.repeat(w[~often], n_runs), np.repeat(evidence[~often], n_runs)
         block = self.run_block[runs]
         bound = dense @ self.common_max.T + np.bincount(text * blocks + block, weights=heavy * self.run_max[runs], minlength=n * blocks).reshape(n, blocks)
-        cosines, opened = np.zeros((n, size)), np.zeros((n, blocks), bool)
+        cosines, shared, opened = np.zeros((n, size)), np.zeros((n, size)), np.zeros((n, blocks), bool)
 
         def open_blocks(new: np.ndarray) -> np.ndarray:
             """The cosines of these blocks' examples; each text's k-th best so far, or what counts as above 0."""
@@ -122,11 +124,13 @@ class Index:
             first = self.run_begin[runs[some]]
             length = self.run_begin[runs[some] + 1] - first
             place = _ranges(first, length)
-            cell = np.repeat(text[some], length) * size + self.examples[place]
+            cell = np.repeat(text[some] * size, length) + self.examples[place]
             cosines.reshape(-1)[:] += np.bincount(cell, weights=self.weights[place] * np.repeat(heavy[some], length), minlength=n * size)
+            shared.reshape(-1)[:] += np.bincount(cell, weights=self.evidence[place] * np.repeat(telling[some], length), minlength=n * size)
             for b in np.flatnonzero(new.any(axis=0)):
                 texts, part = np.flatnonzero(new[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
                 cosines[texts, part] += dense[texts] @ self.common[part].T
+                shared[texts, part] += dense_evidence[texts] @ self.common_evidence[part].T
             opened[new] = True
             best = np.partition(cosines, size - k, axis=1)[:, size - k] if size >= k else np.zeros(n)
             return np.maximum(best - 1e-9, 1e-12)
@@ -137,10 +141,10 @@ class Index:
         least = open_blocks(~opened & (bound >= least[:, None]))
         self.opened, self.searched = self.opened + int(opened.sum()), self.searched + opened.size
         out = []
-        for cosine, floor in zip(cosines, least, strict=True):
-            found = np.flatnonzero(cosine >= floor)
+        for i, cosine in enumerate(cosines):
+            found = np.flatnonzero(cosine >= least[i])
             best = found[np.lexsort((found, -np.round(cosine[found], 12)))[:k]]
-            out.append((best, cosine[best]))
+            out.append((best, cosine[best], shared[i, best]))
         return out
 
     def shares(self, row: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int, without: list[int] | None = None) -> list[tuple[float, np.ndarray]]:
@@ -148,16 +152,9 @@ class Index:
 
         The examples ``without`` have no vote.
         """
-        row, at, w, evidence = self.weigh(row, terms, counts, n)
-        found = self.search(row, at, w, n, NEIGHBOURS + (without is not None)) if len(self.ids) else [(np.zeros(0, np.int64), np.zeros(0))] * n
-        ends, mine, out = np.searchsorted(row, np.arange(n + 1)), np.zeros(len(self.terms)), []
-        for i, ((places, cosines), own) in enumerate(zip(found, without or [-1] * n, strict=True)):
-            its = slice(ends[i], ends[i + 1])
-            mine[at[its]] = evidence[its]
-            length = self.own_of[places + 1] - self.own_of[places]
-            theirs = _ranges(self.own_of[places], length)
-            shared = np.bincount(np.repeat(np.arange(len(places)), length), weights=mine[self.own_term[theirs]] * self.own_evidence[theirs], minlength=len(places))
-            mine[at[its]] = 0.0
+        none, out = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0)), []
+        found = self.search(*self.weigh(row, terms, counts, n), n, NEIGHBOURS + (without is not None)) if len(self.ids) else [none] * n
+        for (places, cosines, shared), own in zip(found, without or [-1] * n, strict=True):
             votes = np.where(places == own, 0.0, np.round(cosines * shared, 12))
             share = float(votes @ self.labels[places] + PRIOR_WEIGHT * self.prior) / float(votes.sum() + PRIOR_WEIGHT)
             out.append((share, places[np.lexsort((places, -votes))][: np.count_nonzero(votes)]))
@@ -193,11 +190,12 @@ def build(ids: np.ndarray, labels: np.ndarray, row: np.ndarray, terms: np.ndarra
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     row = place[row]
-    own = np.argsort(row, kind="stable")
     column = np.where(df * COMMON > n, np.cumsum(df * COMMON > n) - 1, -1)
     dense = column[at] >= 0
     common = np.zeros((n, int((column >= 0).sum())))
     common[row[dense], column[at[dense]]] = w[dense]
+    common_evidence = np.zeros_like(common)
+    common_evidence[row[dense], column[at[dense]]] = evidence[dense]
     common_max = np.maximum.reduceat(common, np.arange(0, n, BLOCK)) if n else common
     used = np.flatnonzero((w > 0) & ~dense)
     order = used[np.lexsort((row[used], at[used]))]
@@ -207,7 +205,7 @@ def build(ids: np.ndarray, labels: np.ndarray, row: np.ndarray, terms: np.ndarra
     run_of = np.searchsorted(term[new], np.arange(len(names) + 1))
     prior = positive / n if n else 0.0
     runs = (run_of, example[new] // BLOCK, run_max, np.append(new, len(order)))
-    return Index(names, idf, relevance, ids, labels, prior, column, common, common_max, example, weights, *runs, np.searchsorted(row[own], np.arange(n + 1)), at[own], evidence[own])
+    return Index(names, idf, relevance, ids, labels, prior, column, common, common_max, example, weights, *runs, common_evidence, evidence[order])
 
 
 def _changes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
