@@ -16,7 +16,7 @@ leave their own vote out, turns the votes' share into the rate of the label.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
@@ -62,32 +62,46 @@ def _unit(row: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
 @dataclass
 class Index:
     terms: np.ndarray
-    idf: np.ndarray
     relevance: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    prior: float
-    #: Column of each term in ``common`` (examples by common terms) and ``common_max`` (blocks by them), or -1.
-    column: np.ndarray
-    common: np.ndarray
-    common_max: np.ndarray
-    #: Postings of the other terms: examples in ascending order and their weights; runs of a term in a block of
-    #: examples (``run_of`` gives each term's first run): block, greatest weight, and where its postings begin.
+    #: Postings by term, from ``posting_of`` on: examples in ascending order and their weights.
+    posting_of: np.ndarray
     examples: np.ndarray
     weights: np.ndarray
-    run_of: np.ndarray
-    run_block: np.ndarray
-    run_max: np.ndarray
-    run_begin: np.ndarray
-    #: Weights as evidence, beside ``common`` and ``weights``.
-    common_evidence: np.ndarray
-    evidence: np.ndarray
+    #: What turns an example's weights times relevance into its weights as evidence.
+    scale: np.ndarray
     #: Steps of the calibration: votes' shares and rates of the label.
     steps: np.ndarray = field(default_factory=lambda: np.zeros(0))
     rates: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    #: Blocks opened, and all blocks, of the searches so far.
-    opened: int = 0
-    searched: int = 0
+
+    def __post_init__(self) -> None:
+        n, df = len(self.ids), np.diff(self.posting_of)
+        self.prior = float(self.labels.sum()) / n if n else 0.0
+        self.idf = np.log((n + 1) / np.maximum(df, 1))
+        #: Blocks opened, and all blocks, of the searches so far.
+        self.opened = self.searched = 0
+        #: Column of each term in ``common`` (examples by common terms) and ``common_max`` (blocks by them), or -1.
+        often = df * COMMON > n
+        self.column = np.where(often, np.cumsum(often) - 1, -1)
+        term = np.repeat(np.arange(len(df)), df)
+        evidence, dense = self.weights * self.relevance[term] * self.scale[self.examples], often[term]
+        self.common, self.common_evidence = np.zeros((2, n, int(often.sum())))
+        cells = self.examples[dense], self.column[term[dense]]
+        self.common[cells], self.common_evidence[cells] = self.weights[dense], evidence[dense]
+        self.common_max = np.maximum.reduceat(self.common, np.arange(0, n, BLOCK)) if n else self.common
+        #: Postings of the other terms; runs of a term in a block of examples (``run_of`` gives each term's first
+        #: run): block, greatest weight, and where its postings begin.
+        term, self.rare, self.rare_weights, self.rare_evidence = term[~dense], self.examples[~dense], self.weights[~dense], evidence[~dense]
+        block = self.rare // BLOCK
+        new = np.flatnonzero(_changes(term, block))
+        self.run_of, self.run_block = np.searchsorted(term[new], np.arange(len(df) + 1)), block[new]
+        self.run_max = np.maximum.reduceat(self.rare_weights, new) if len(new) else np.zeros(0)
+        self.run_begin = np.append(new, len(term))
+
+    def __reduce__(self):
+        """Travels as its postings; what is derived from them is made anew where it arrives."""
+        return Index, tuple(getattr(self, f.name) for f in fields(self))
 
     def weigh(self, row: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
         """Of n texts, by text: the known terms' text, place, weight, and weight as evidence (each of length 1 a text)."""
@@ -124,9 +138,9 @@ class Index:
             first = self.run_begin[runs[some]]
             length = self.run_begin[runs[some] + 1] - first
             place = _ranges(first, length)
-            cell = np.repeat(text[some] * size, length) + self.examples[place]
-            cosines.reshape(-1)[:] += np.bincount(cell, weights=self.weights[place] * np.repeat(heavy[some], length), minlength=n * size)
-            shared.reshape(-1)[:] += np.bincount(cell, weights=self.evidence[place] * np.repeat(telling[some], length), minlength=n * size)
+            cell = np.repeat(text[some] * size, length) + self.rare[place]
+            cosines.reshape(-1)[:] += np.bincount(cell, weights=self.rare_weights[place] * np.repeat(heavy[some], length), minlength=n * size)
+            shared.reshape(-1)[:] += np.bincount(cell, weights=self.rare_evidence[place] * np.repeat(telling[some], length), minlength=n * size)
             for b in np.flatnonzero(new.any(axis=0)):
                 texts, part = np.flatnonzero(new[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
                 cosines[texts, part] += dense[texts] @ self.common[part].T
@@ -180,7 +194,8 @@ def build(ids: np.ndarray, labels: np.ndarray, row: np.ndarray, terms: np.ndarra
         relevance = np.where(margins > 0, (pos * n - df * positive) ** 2 / margins, 0.0)
     idf = np.log((n + 1) / np.maximum(df, 1))
     w = (1 + np.log(counts)) * idf[at]
-    evidence, w = _unit(row, w * relevance[at], n), _unit(row, w, n)
+    w = _unit(row, w, n)
+    scale = 1 / np.maximum(np.sqrt(np.bincount(row, weights=(w * relevance[at]) ** 2, minlength=n)), 1e-300)
     # Examples that have their heaviest term in common become neighbours, so that blocks differ in their maxima.
     heaviest = np.full(n, -1)
     by = np.lexsort((w, row))
@@ -189,23 +204,9 @@ def build(ids: np.ndarray, labels: np.ndarray, row: np.ndarray, terms: np.ndarra
     ids, labels = ids[order], labels[order]
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    row = place[row]
-    column = np.where(df * COMMON > n, np.cumsum(df * COMMON > n) - 1, -1)
-    dense = column[at] >= 0
-    common = np.zeros((n, int((column >= 0).sum())))
-    common[row[dense], column[at[dense]]] = w[dense]
-    common_evidence = np.zeros_like(common)
-    common_evidence[row[dense], column[at[dense]]] = evidence[dense]
-    common_max = np.maximum.reduceat(common, np.arange(0, n, BLOCK)) if n else common
-    used = np.flatnonzero((w > 0) & ~dense)
-    order = used[np.lexsort((row[used], at[used]))]
-    term, example, weights = at[order], row[order].astype(np.int32), w[order]
-    new = np.flatnonzero(_changes(term, example // BLOCK))
-    run_max = np.maximum.reduceat(weights, new) if len(new) else np.zeros(0)
-    run_of = np.searchsorted(term[new], np.arange(len(names) + 1))
-    prior = positive / n if n else 0.0
-    runs = (run_of, example[new] // BLOCK, run_max, np.append(new, len(order)))
-    return Index(names, idf, relevance, ids, labels, prior, column, common, common_max, example, weights, *runs, common_evidence, evidence[order])
+    row = place[row].astype(np.int32)
+    by = np.lexsort((row, at))
+    return Index(names, relevance, ids, labels, np.append(0, np.cumsum(df.astype(np.int64))), row[by], w[by], scale[order])
 
 
 def _changes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
