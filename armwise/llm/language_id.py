@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from armwise.llm import common as C
 
 DIMENSIONS, GRAM, SEED = 512, 3, 20240607
-#: Labelled rows that the prototypes are fitted on, at most; all rows up to that number.
-MOST_EXAMPLES = 20_000
 #: n-grams whose vectors a task remembers.
 CACHE = 60_000
 #: Weight of an n-gram that a text holds once; that of n is STEPS * sqrt(n), rounded.
@@ -133,15 +131,12 @@ def _bundles(text_col: str, lang_col: str):
     return run
 
 
-def prototypes(examples: DataFrame, most: int = MOST_EXAMPLES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
+def prototypes(examples: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """A vector of length 1 for each language of ``examples``; rows without text or language are left out.
 
-    Fitted on about ``most`` rows, chosen by a hash of the id. The driver gets one vector per language.
+    Fitted on all other rows. The driver gets one vector per language.
     """
     rows = examples.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = rows.count()
-    if n > most:
-        rows = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED)), F.lit(1 << 20)) < int(most / n * (1 << 20)))
     parts = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(_bundles("text", "lang"), "lang string, bundle array<bigint>")
     sums = parts.select("lang", F.posexplode("bundle").alias("at", "value")).groupBy("lang", "at").agg(F.sum("value").alias("value"))
     found = sums.groupBy("lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]).alias("bundle"))
@@ -149,22 +144,25 @@ def prototypes(examples: DataFrame, most: int = MOST_EXAMPLES, id_col: str = "do
     return {k: (v / np.linalg.norm(v)) for k, v in vectors.items() if v.any()}
 
 
-#: Labelled rows that the least cosine is taken from, their share below it, and the part of it that is asked for.
-FLOOR_ROWS, FLOOR_SHARE, FLOOR_PART = 2_000, 0.01, 0.5
+#: Cells of the cosine's range that rows are counted in, the rows' share below the least one, and the part of it that is asked for.
+FLOOR_CELLS, FLOOR_SHARE, FLOOR_PART = 1 << 14, 0.01, 0.5
 
 
-def least_cosine(examples: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
-    """A cosine that nearly all texts in a known language pass: FLOOR_PART of what all but FLOOR_SHARE of about
-    FLOOR_ROWS labelled rows reach, chosen by a hash of the id; 0 without such rows."""
-    rows = examples.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = rows.count()
-    rows = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(SEED + 1)), F.lit(1 << 20)) < int(min(1.0, FLOOR_ROWS / max(n, 1)) * (1 << 20)))
-    found = identify(rows, known, id_col, text_col).where("lang_pred <> 'und'").agg(F.percentile_approx("cosine", FLOOR_SHARE, 10_000)).first()[0]
-    return max(0.0, FLOOR_PART * (found or 0.0))
+def least_cosine(found: DataFrame) -> float:
+    """A cosine that nearly all texts in a known language pass, from the rows that ``identify`` gave for all labelled ones.
+
+    FLOOR_PART of what at least 1 - FLOOR_SHARE of these rows reach: the greatest multiple of 1 / FLOOR_CELLS with no more rows
+    below. All rows are counted, those without letters left out; 0 without rows. The driver gets the counts of the cells.
+    """
+    cell = F.floor(F.col("cosine") * FLOOR_CELLS).alias("cell")
+    rows = found.where("lang_pred <> 'und'").groupBy(cell).agg(F.count(F.lit(1)).alias("n")).orderBy("cell").collect()
+    upto = np.cumsum([r["n"] for r in rows])
+    least = rows[int(np.searchsorted(upto, FLOOR_SHARE * upto[-1], "right"))]["cell"] if rows else 0
+    return max(0.0, FLOOR_PART * least / FLOOR_CELLS)
 
 
-def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows' id with lang_pred, score and cosine.
+def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """The rows' id and the columns ``also``, with lang_pred, score and cosine.
 
     ``und`` with score 0 where the text is null, has no letter or no language is known. Ties go to the
     first language in order. score is the share of the best among exp(cosine / SHARP). Rows that repeat
@@ -175,7 +173,8 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_i
     centre = matrix.mean(axis=0) if len(names) > 1 else np.zeros(DIMENSIONS)
     turned = matrix - centre
     turned = turned / np.maximum(np.linalg.norm(turned, axis=1, keepdims=True), 1e-9)
-    kind = dict(docs.dtypes)[id_col]
+    own = [id_col, *also]
+    kinds = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in own)
 
     def run(batches):
         profiler = _profiler()
@@ -190,6 +189,6 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_i
                 best[at], cosine[at] = np.argmax(cosines, axis=1), cosines.max(axis=1)
                 share[at] = 1.0 / np.exp((cosines - cosine[at, None]) / SHARP).sum(axis=1)
             found = pa.array([*names, "und"], pa.string()).take(pa.array(best))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), found, pa.array(share), pa.array(cosine)], names=[id_col, "lang_pred", "score", "cosine"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), found, pa.array(share), pa.array(cosine)], names=[*own, "lang_pred", "score", "cosine"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, cosine double")
+    return docs.select(*own, text_col).mapInArrow(run, f"{kinds}, lang_pred string, score double, cosine double")

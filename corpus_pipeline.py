@@ -18,6 +18,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rejected are texts without letters (null and blank ones too) and texts that are less like the language
     predicted for them than labelled texts ever are: in another language or script. Each row is judged by
     itself, also without an id or with one that repeats. With no labelled row all go; an empty table stays empty.
+    Languages and what is least like them come from all labelled rows that are not held out.
     """
     return _in_known_languages(docs)
 
@@ -25,10 +26,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @C.shielded
 def _in_known_languages(docs: DataFrame) -> DataFrame:
     rows, _ = C.keyed(docs, "doc_id")
-    examples = docs.where(~C.fold("doc_id", 4, 2))
-    known = language_id.prototypes(examples)
-    least = language_id.least_cosine(examples, known)
-    found = language_id.identify(rows, known, C.KEY)
+    learned = ~C.fold("doc_id", 4, 2)
+    known = language_id.prototypes(docs.where(learned))
+    marked = rows.withColumn("__labelled", learned & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    found = C.written(language_id.identify(marked, known, C.KEY, also=("__labelled",)).drop("score"), "languages")
+    least = language_id.least_cosine(found.where("__labelled"))
     rejected = found.where((F.col("lang_pred") == "und") | (F.col("cosine") < least))
     return C.without(rows, rejected.select(C.KEY), C.KEY).drop(C.KEY)
 

@@ -97,6 +97,29 @@ def test_language_stage(spark, tmp_path):
     assert corpus_pipeline.language(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_language_model_of_all_rows(spark):
+    """Prototypes and the least cosine come from every labelled row: 24,000 of them, each of which counts."""
+    names = ["aa", "bb"]
+    texts = [[f"{a}{b}{c} {c}{a} {b}{a}{c}" for a in half for b in half for c in half] for half in ("abcdefghij", "pqrstuvwxy")]
+    rows = [(i, texts[i % 2][i // 2 % 1000], names[i % 2]) for i in range(24_000)]
+    docs = C.written(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "fixture")
+    known = language_id.prototypes(docs)
+    profiler = language_id.Profiler()
+    for k, name in enumerate(names):
+        vectors, _ = profiler.vectors(texts[k])
+        total = 12 * np.rint(vectors * 2**20).sum(axis=0)
+        assert np.array_equal(known[name], total / np.linalg.norm(total))
+
+    found = C.written(language_id.identify(docs, known, also=("lang",)), "found")
+    cosines = np.sort([r.cosine for r in found.collect()])
+    cell = 1 / language_id.FLOOR_CELLS
+    least = language_id.least_cosine(found) / language_id.FLOOR_PART
+    assert (cosines < least).sum() <= language_id.FLOOR_SHARE * len(cosines) < (cosines < least + cell).sum()
+    low = spark.range(24_000).select("id", F.lit("aa").alias("lang_pred"), F.when(F.col("id") < 241, 0.25).otherwise(0.5).alias("cosine"))
+    assert language_id.least_cosine(low) == 0.125 and language_id.least_cosine(low.where("id > 1")) == 0.25
+    assert language_id.least_cosine(low.limit(0)) == 0.0
+
+
 def test_empty_pipeline(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
