@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import tempfile
 import uuid
 
@@ -177,6 +178,10 @@ def prefix_hash(values: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, _U), np.cumsum(values * up, dtype=_U)])
 
 
+#: Bytes whose prefix sums are held at once while words are hashed (or those of one longer word).
+HASHED = 1 << 19
+
+
 def hash_words(texts: list[bytes], lower: bool = False, tails: bool = False) -> tuple[np.ndarray, ...]:
     """Hashes of all words of ``texts`` in order, and the number of words of each text; with ``tails``,
     also the last two bytes of each word as a number (words of one byte: that byte)."""
@@ -186,9 +191,15 @@ def hash_words(texts: list[bytes], lower: bool = False, tails: bool = False) ->
     if len(edge) % 2:
         edge = np.append(edge, len(joined))
     starts, ends = edge[::2], edge[1::2]
-    sums = prefix_hash((_LOWER if lower else BYTES)[joined])
-    _, down = powers(len(joined))
-    hashes = mix((sums[ends] - sums[starts]) * down[starts]) if len(starts) else np.zeros(0, _U)
+    hashes, lo = np.empty(len(starts), _U), 0
+    while lo < len(starts):  # a word's hash does not depend on where the sums begin
+        from_ = starts[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, from_ + HASHED, "right")))
+        first, last = starts[lo:hi] - from_, ends[lo:hi] - from_
+        sums = prefix_hash((_LOWER if lower else BYTES)[joined[from_ : ends[hi - 1]]])
+        _, down = powers(int(last[-1]))
+        hashes[lo:hi] = mix((sums[last] - sums[first]) * down[first])
+        lo = hi
     bounds = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.searchsorted(starts, bounds), prepend=0)
     if not tails:
@@ -221,6 +232,10 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - gap], out[gap:]) if gap and len(out) > gap else out[:0] if gap else out
 
 
+#: Rows of a batch that are Python objects at once.
+LISTED = 256
+
+
 def text_chunks(batches, columns: list[str], text: str, limit: int):
     """Groups of rows with up to ``limit`` bytes of text (or one longer text): lists of the columns, texts as bytes."""
     held, size = [[] for _ in columns], 0
@@ -228,7 +243,8 @@ def text_chunks(batches, columns: list[str], text: str, limit: int):
     for batch in batches:
         cols = [batch.column(c) for c in columns]
         cols[at] = pc.cast(pc.fill_null(cols[at], ""), pa.binary())
-        for row in zip(*(c.to_pylist() for c in cols), strict=True):
+        parts = (zip(*(c.slice(lo, LISTED).to_pylist() for c in cols), strict=True) for lo in range(0, batch.num_rows, LISTED))
+        for row in itertools.chain.from_iterable(parts):
             if size and size + len(row[at]) > limit:
                 yield held
                 held, size = [[] for _ in columns], 0

@@ -7,9 +7,11 @@ import math
 import random
 import re
 import string
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +110,43 @@ def test_substring_dedup_paths(spark):
     assert paths == {(2, 1, 31, 1, 10)} | {(3, i, 1, 3, 0) for i in range(1, 21)}
 
 
+def held(work) -> float:
+    """Bytes that ``work`` holds at once, at most, for each byte of a full group of texts, and what it gives."""
+    tracemalloc.start()
+    try:
+        out = work()
+        return tracemalloc.get_traced_memory()[1], out
+    finally:
+        tracemalloc.stop()
+
+
+def group_of_texts(size):
+    """About ``size`` bytes of texts of 4,000 words out of 30,000."""
+    rng = np.random.default_rng(3)
+    names = np.array([f"name{i}" for i in range(30_000)])
+    texts = [" ".join(names[rng.integers(0, len(names), 4_000)]) for _ in range(size // 39_000)]
+    return pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts}), [t.encode() for t in texts]
+
+
+def test_hashes_in_slices(monkeypatch):
+    """A word's hash is that of the word alone, wherever the slices end; a word may be longer than a slice."""
+    texts = [b"", b" one  Two\tthree ", b"x" * 100 + b" one", b"\n", b"Two three"]
+    whole = C.hash_words(texts, lower=True, tails=True)
+    monkeypatch.setattr(C, "HASHED", 7)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, C.hash_words(texts, lower=True, tails=True), strict=True))
+    words = [w for t in texts for w in t.split()]
+    assert whole[0].tolist() == [int(C.hash_words([w], lower=True)[0][0]) for w in words] and whole[1].tolist() == [0, 3, 2, 0, 2]
+
+
+def test_substring_dedup_memory(monkeypatch):
+    """A group of texts takes a small multiple of its bytes while its windows are found."""
+    monkeypatch.setattr(C, "_powers", {})
+    batch, texts = group_of_texts(substring_dedup.HELD)
+    most, found = held(lambda: [len(w[0]) for w in substring_dedup._windows([batch], 20, "doc_id", "text")])
+    assert sum(found) == sum(max(0, len(t.split()) - 19) for t in texts)
+    assert most < 30 * substring_dedup.HELD
+
+
 def test_substring_dedup_ids(spark):
     """Rows that share an id, or have none, are documents of their own, the latter last."""
     a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
