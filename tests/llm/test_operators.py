@@ -458,6 +458,18 @@ def test_exact_dedup_filters(spark, monkeypatch):
     assert left == sorted({*(t.replace(" ", "") for _, t in rows), "only"})
 
 
+def test_class_lm_memory(monkeypatch):
+    """A group of texts takes a small multiple of its bytes while it becomes a chunk, and what is sent of a chunk is small."""
+    monkeypatch.setattr(C, "_powers", {})
+    _, texts = group_of_texts(class_lm.HELD)
+    letters = class_lm.spelling(np.zeros((class_lm._EDGE + 1) ** 2))
+    most, chunk = held(lambda: class_lm._chunk(0, list(range(len(texts))), texts, np.ones(len(texts), bool), letters))
+    assert most < 25 * class_lm.HELD
+    sent = next(class_lm._dealt(16)([chunk]))
+    n_words, n_pairs = len(C.flat(sent.column("vocab"))), len(C.flat(sent.column("after")))
+    assert n_words == 30_001 and sent.nbytes < 16 * n_words + 2 * n_pairs
+
+
 def test_class_lm(docs):
     counts, texts = collections.Counter(), {i: [*words(t, True), b"\n"] for i, t, *_ in corpus()}
     for i, w in texts.items():
