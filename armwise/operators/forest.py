@@ -107,20 +107,21 @@ def node_faults(table: DataFrame, max_depth: int) -> DataFrame:
     faults; a sound forest, and an empty one, have none.
 
     The ways up are found by pointer jumping: each round doubles all open ones by a join on the node they have
-    reached. Those that have ended leave the join, so the root, where most end, is never looked up.
+    reached. Those that have ended leave the join, so the root, where most end, is never looked up. All joins are
+    merged: node tables are so alike that millions of rows are a file of a few MB, which Spark would broadcast.
     """
     nodes = sinks.kept(table.select("tree", "node", "node_type", "left_child", "right_child"), "nodes")
     links = nodes.where(F.col("node_type") != LEAF).select("tree", F.col("node").alias("parent"), F.explode(F.array("left_child", "right_child")).alias("node"))
     links = links.select("tree", "parent", F.col("node").cast(dict(nodes.dtypes)["node"]).alias("node"))
     met = links.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("links"), F.min("parent").alias("parent"))
-    rows = nodes.select("tree", "node").distinct().join(met, ["tree", "node"], "left")
+    rows = nodes.select("tree", "node").distinct().join(met.hint("merge"), ["tree", "node"], "left")
     parent = F.when(F.col("node") != 0, F.col("parent"))
     rows = sinks.kept(rows.select("tree", "node", "links", F.coalesce(parent, "node").alias("top"), parent.isNotNull().cast("bigint").alias("steps"), parent.isNotNull().alias("open")), "ways")
 
     most, reach = rows.groupBy("tree").count().agg(F.max("count")).first()[0] or 0, 1
     while reach <= most and not rows.where("open").isEmpty():
         ahead = rows.select("tree", F.col("node").alias("top"), F.col("top").alias("far"), F.col("steps").alias("more"), F.col("open").alias("on"))
-        gone = rows.where("open").join(ahead, ["tree", "top"])
+        gone = rows.where("open").join(ahead.hint("merge"), ["tree", "top"])
         gone = gone.select("tree", "node", "links", F.col("far").alias("top"), (F.col("steps") + F.col("more")).alias("steps"), F.col("on").alias("open"))
         rows, reach = sinks.kept(rows.where("not open").unionByName(gone), "ways"), 2 * reach
 
@@ -131,5 +132,5 @@ def node_faults(table: DataFrame, max_depth: int) -> DataFrame:
         when(~F.col("open") & (F.col("top") != 0), "unreachable"), when(~F.col("open") & (F.col("top") == 0) & (F.col("steps") > max_depth), "too_deep"),
     )
     found = rows.select("tree", "node", F.explode(F.array_compact(faults)).alias("fault"))
-    lost = links.join(nodes.select("tree", "node"), ["tree", "node"], "left_anti").select("tree", F.col("parent").alias("node"), F.lit("child_outside").alias("fault")).distinct()
+    lost = links.join(nodes.select("tree", "node").hint("merge"), ["tree", "node"], "left_anti").select("tree", F.col("parent").alias("node"), F.lit("child_outside").alias("fault")).distinct()
     return found.unionByName(lost)

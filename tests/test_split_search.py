@@ -260,6 +260,17 @@ def test_node_faults(spark):
     assert forest.node_faults(forest.nodes(spark, forest.to_json([TREE])), 2).collect() == []
 
 
+def test_node_faults_broadcasts_no_nodes(spark):
+    """Tables of nodes are small files of many rows: no join may send one to the driver, also below the broadcast threshold."""
+    ran = lambda: spark._jsparkSession.sharedState().statusStore().executionsList()
+    rows = [(t, i, int(i < 3), 2 * i + 1 if i else 9, 2 * i + 2) for t in range(5) for i in range(7)]
+    table = spark.createDataFrame(rows, "tree int, node int, node_type int, left_child int, right_child int")
+    before = ran().size()
+    assert {(r.node, r.fault) for r in forest.node_faults(table, 9).collect()} == {(0, "child_outside"), *((i, "unreachable") for i in (1, 3, 4))}
+    joins = [p for p in (ran().apply(k).physicalPlanDescription() for k in range(before, ran().size())) if "Join" in p]
+    assert len(joins) >= 3 and all("SortMergeJoin" in p and "Broadcast" not in p for p in joins)
+
+
 @pytest.mark.parametrize("block", [1, 7, 50])
 def test_score_blocks(spark, block):
     """Blocks of trees give the bits of one broadcast forest, for chunks of any size, nulls and clashing names."""
