@@ -470,6 +470,22 @@ def test_class_lm_memory(monkeypatch):
     assert n_words == 30_001 and sent.nbytes < 16 * n_words + 2 * n_pairs
 
 
+def test_class_lm_long_runs(spark):
+    """What a worker holds besides its chunk is small, however many rows a batch has, and large rows come a few at a time."""
+    _, texts = group_of_texts(class_lm.HELD)
+    letters = class_lm.spelling(np.zeros((class_lm._EDGE + 1) ** 2))
+    assert held(lambda: class_lm._chunk(0, list(range(len(texts))), texts, np.ones(len(texts), bool), letters))[0] < 90e6
+    seq = pa.RecordBatch.from_pydict({"seq": [b"\1" * 700] * 10_000})
+    assert held(lambda: list(class_lm._transitions([seq])))[0] < 3 * seq.nbytes
+    rows = pa.RecordBatch.from_pydict({"id": list(range(10_000)), "text": ["x" * 3000] * 9_999 + [None]})
+    before, chunks = pa.total_allocated_bytes(), C.text_chunks([rows], ["id", "text"], "text", 1 << 20)
+    assert len(next(chunks)[0]) == 349 and pa.total_allocated_bytes() - before < rows.nbytes / 4
+    size = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    large, usual = spark.range(0, 40, 1, 1).selectExpr("repeat(cast(id as string), 200000) AS t"), spark.conf.get(C._BATCH)
+    assert max(r.n for r in C.written(large.mapInArrow(size, "n bigint"), "few", 1 << 20).collect()) <= 6
+    assert spark.conf.get(C._BATCH) == usual
+
+
 def test_class_lm(docs):
     counts, texts = collections.Counter(), {i: [*words(t, True), b"\n"] for i, t, *_ in corpus()}
     for i, w in texts.items():
