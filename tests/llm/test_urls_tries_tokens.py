@@ -5,8 +5,11 @@ import hashlib
 import random
 import re
 import string
+import tracemalloc
 import zlib
 
+import pyarrow as pa
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +202,33 @@ def test_token_alignment_ids(spark):
     docs = named.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 1, 1).cast("bigint"))
     rows = lambda df: sorted(tuple(r)[1:] for r in token_alignment.align(df, *paths).collect())
     assert rows(docs) == rows(named)
+
+
+def test_token_alignment_memory(monkeypatch):
+    """Units that a worker remembers are few bytes each and no more than it may; chunks of any size give the same documents."""
+    import public_tokenizers
+
+    monkeypatch.setattr(pyspark, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c()), "partitionId": lambda self: 0}))
+    paths, rng = (byte_bpe(), public_tokenizers.path("piece_bpe_32k.model")), random.Random(4)
+    texts = [" ".join(f"{rng.choice('abcdefg')}{rng.randrange(10**7)}" for _ in range(1_000)) for _ in range(60)] + TEXTS
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    run = token_alignment._chunks(*paths, "doc_id", "text")
+    monkeypatch.setattr(token_alignment, "_pairs", {})
+    token_alignment._pair(*paths)
+    of = lambda: [tuple(x) for c in run([rows]) for x in zip(*(c.column(n)[0].as_py() for n in ("docs", "n_a", "n_b", "n_groups", "n_links", "hashes")), strict=True)]
+
+    tracemalloc.start()
+    try:
+        before, arrow = tracemalloc.get_traced_memory()[0], pa.total_allocated_bytes()
+        collections.deque(run([rows]), 0)
+        grown = tracemalloc.get_traced_memory()[0] - before + pa.total_allocated_bytes() - arrow
+    finally:
+        tracemalloc.stop()
+    assert grown < 250 * 60_000, grown / 60_000
+    want = of()
+    for held, remembered, at_once in ((50_000, 500, 100), (1_000, 20, 7)):
+        for name, value in (("HELD", held), ("REMEMBERED", remembered), ("AT_ONCE", at_once), ("_pairs", {})):
+            monkeypatch.setattr(token_alignment, name, value)
+        assert of() == want
+        pair = token_alignment._pair(*paths)
+        assert len(pair.known_units) == len(pair.known.good) == remembered
